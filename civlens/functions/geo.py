@@ -276,41 +276,57 @@ def project_multipolygon(mp: Column) -> Column:
     return F.transform(mp, lambda poly: F.transform(poly, project_line))
 
 
-def clipped_length(line: Column, mp: Column) -> Column:
+def polygon_edges(mp: Column) -> Column:
+    """All edges of a multipolygon as ARRAY<STRUCT<a, b>>."""
+    return F.flatten(F.transform(_all_rings(mp), lambda r: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(r) - 2, F.lit(0))),
+        lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, i + 1).alias("b")))))
+
+
+def clipped_length(line: Column, mp: Column, edges: Column | None = None) -> Column:
     """SP-08: length of the part of ``line`` inside ``mp`` (same planar units).
 
     Each segment is cut at its crossings with every polygon edge; a piece counts when its
-    midpoint lies inside (boundary included).
+    midpoint lies inside (boundary included). Work is staged through arrays of structs
+    (segments -> segments with sorted cut parameters -> piece lengths) so that no
+    sub-expression is re-evaluated inside the lambdas. Pass ``edges`` (from
+    ``polygon_edges``) as a column to avoid rebuilding it per row.
     """
-    rings = _all_rings(mp)
-    edges = F.flatten(F.transform(rings, lambda r: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(r) - 2, F.lit(0))),
-        lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, i + 1).alias("b")))))
+    edges = edges if edges is not None else polygon_edges(mp)
+    n = F.size(line)
+    segs = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
+                       lambda i: F.struct(F.get(line, i).alias("p"), F.get(line, i + 1).alias("q")))
 
-    def seg_len(p, q):
+    def with_cuts(s):
+        p, q = s["p"], s["q"]
         dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-        den_t = lambda e: dx * (e["b"]["y"] - e["a"]["y"]) - dy * (e["b"]["x"] - e["a"]["x"])
 
         def t_of(e):
-            den = den_t(e)
-            t = ((e["a"]["x"] - p["x"]) * (e["b"]["y"] - e["a"]["y"]) - (e["a"]["y"] - p["y"]) * (e["b"]["x"] - e["a"]["x"])) / den
+            ex, ey = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+            den = dx * ey - dy * ex
+            t = ((e["a"]["x"] - p["x"]) * ey - (e["a"]["y"] - p["y"]) * ex) / den
             u = ((e["a"]["x"] - p["x"]) * dy - (e["a"]["y"] - p["y"]) * dx) / den
             return F.when((den != 0) & (u >= 0) & (u <= 1) & (t > 0) & (t < 1), t)
 
         cuts = F.filter(F.transform(edges, t_of), lambda t: t.isNotNull())
         ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
-        k = F.sequence(F.lit(0), F.size(ts) - 2)
-        total = F.sqrt(dx * dx + dy * dy)
+        return F.struct(p.alias("p"), dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("len"),
+                        ts.alias("ts"))
+
+    def seg_inside(s):
+        ts = s["ts"]
+        pieces = F.transform(F.sequence(F.lit(0), F.size(ts) - 2),
+                             lambda i: F.struct(F.get(ts, i).alias("t0"), F.get(ts, i + 1).alias("t1")))
 
-        def piece(i):
-            t0, t1 = F.get(ts, i), F.get(ts, i + 1)
-            tm = (t0 + t1) / 2
-            inside = contains_point(mp, p["x"] + dx * tm, p["y"] + dy * tm, strict=False)
-            return F.when(inside, (t1 - t0) * total).otherwise(F.lit(0.0))
+        def piece_len(pc):
+            tm = (pc["t0"] + pc["t1"]) / 2
+            inside = contains_point(mp, s["p"]["x"] + s["dx"] * tm, s["p"]["y"] + s["dy"] * tm, strict=False)
+            return F.when(inside, (pc["t1"] - pc["t0"]) * s["len"]).otherwise(F.lit(0.0))
 
-        return F.aggregate(F.transform(k, piece), F.lit(0.0), lambda a, b: a + b)
+        return F.aggregate(F.transform(pieces, piece_len), F.lit(0.0), lambda a, b: a + b)
 
-    return _edges(line, seg_len, F.lit(0.0))
+    staged = F.transform(F.transform(segs, with_cuts), seg_inside)
+    return F.when(n >= 2, F.aggregate(staged, F.lit(0.0), lambda a, b: a + b)).otherwise(F.lit(0.0))
 
 
 # ---------------------------------------------------------------- GeoJSON and WKT

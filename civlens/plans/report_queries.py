@@ -18,8 +18,12 @@ from civlens.sources.tables import REPORT_LINES_SQL, REPORTS_SQL, with_ctes
 RECENT_FROM_YEAR = 2000
 
 R = REPORTS_SQL
-YEAR = F.year("date_input").cast("bigint").alias("year")
-MONTH = F.month("date_input").cast("bigint").alias("month")
+def YEAR():
+    return F.year("date_input").cast("bigint").alias("year")
+
+def MONTH():
+    return F.month("date_input").cast("bigint").alias("month")
+
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +68,7 @@ SELECT year, count, LAG(count) OVER (ORDER BY year) AS count_previous_year,
 FROM yc""")
 def w01_yearly_change(spark, d):
     """W-01: reports per year, previous year's count and % change."""
-    yc = _reports(spark, d).groupBy(YEAR).agg(F.count(F.lit(1)).alias("count"))
+    yc = _reports(spark, d).groupBy(YEAR()).agg(F.count(F.lit(1)).alias("count"))
     return W.lag_change(yc, ["year"], "count", "count_previous_year", "perc_diff")
 
 
@@ -74,7 +78,7 @@ ym AS (SELECT CAST(year(date_input) AS BIGINT) AS year, CAST(month(date_input) A
 SELECT year, month, count, LAG(count) OVER (ORDER BY year, month) AS count_previous_month FROM ym""")
 def w02_year_month_change(spark, d):
     """W-02: reports per (year, month) and the previous month's count."""
-    ym = _reports(spark, d).groupBy(YEAR, MONTH).agg(F.count(F.lit(1)).alias("count"))
+    ym = _reports(spark, d).groupBy(YEAR(), MONTH()).agg(F.count(F.lit(1)).alias("count"))
     return W.lag_change(ym, ["year", "month"], "count", "count_previous_month", None)
 
 
@@ -83,7 +87,7 @@ m AS (SELECT CAST(month(date_input) AS BIGINT) AS month, COUNT(*) AS count FROM
 SELECT month, count, LAG(count) OVER (ORDER BY month) AS count_previous_month FROM m""")
 def w03_month_change(spark, d):
     """W-03: reports per calendar month and the previous month's count."""
-    m = _reports(spark, d).groupBy(MONTH).agg(F.count(F.lit(1)).alias("count"))
+    m = _reports(spark, d).groupBy(MONTH()).agg(F.count(F.lit(1)).alias("count"))
     return W.lag_change(m, ["month"], "count", "count_previous_month", None)
 
 
@@ -100,7 +104,7 @@ SELECT year, round(AVG(count), 6) AS avg_count FROM w GROUP BY year""")
 def a12_avg_weekly_count(spark, d):
     """A-12: average of weekly counts per year (Sunday-first weeks, 0-53)."""
     r = _reports(spark, d)
-    return A.avg_of_group_counts(r, [YEAR], [dates.week_sunday_first(F.col("date_input")).alias("week")])
+    return A.avg_of_group_counts(r, [YEAR()], [dates.week_sunday_first(F.col("date_input")).alias("week")])
 
 
 @register("a13_count_by_postcode", with_ctes(R) + """
@@ -122,7 +126,7 @@ SELECT category_FR, CAST(year(date_input) AS BIGINT) AS year, COUNT(*) AS count
 FROM reports GROUP BY 1, 2""")
 def a13_count_by_category_year(spark, d):
     """A-13: reports per (category, year)."""
-    return W.ordered(A.count_by(_reports(spark, d), ["category_FR", YEAR]), "count", desc=True)
+    return W.ordered(A.count_by(_reports(spark, d), ["category_FR", YEAR()]), "count", desc=True)
 
 
 @register("a13_count_by_etat", with_ctes(R) + """
@@ -179,7 +183,7 @@ WHERE code_postal_id IS NOT NULL AND quartier_id IS NOT NULL AND category_FR IS
 GROUP BY ALL""")
 def a02_count_ym_district_category(spark, d):
     """A-02: counts per (year, month, postcode, district, category), frame counting rules."""
-    return A.count_by(_reports(spark, d), [YEAR, MONTH, "code_postal_id", "quartier_id", "category_FR"],
+    return A.count_by(_reports(spark, d), [YEAR(), MONTH(), "code_postal_id", "quartier_id", "category_FR"],
                       count_col="id_dmr", drop_null_keys=True)
 
 
@@ -197,7 +201,7 @@ WHERE r.code_postal_id IS NOT NULL AND category_FR IS NOT NULL
 GROUP BY 1, 2, 3, 4""")
 def a03_density_ym_postcode_category(spark, d):
     """A-03: counts and counts per km2 by (year, month, postcode, category)."""
-    return _density(spark, d, [YEAR, MONTH, "code_postal_id", "category_FR"])
+    return _density(spark, d, [YEAR(), MONTH(), "code_postal_id", "category_FR"])
 
 
 @register("a04_density_year_postcode", with_ctes(R, AREAS_SQL) + """
@@ -208,7 +212,7 @@ WHERE r.code_postal_id IS NOT NULL
 GROUP BY 1, 2""")
 def a04_density_year_postcode(spark, d):
     """A-04: counts and counts per km2 by (year, postcode)."""
-    return _density(spark, d, [YEAR, "code_postal_id"])
+    return _density(spark, d, [YEAR(), "code_postal_id"])
 
 
 @register("a05_top_category_year_postcode", with_ctes(R, AREAS_SQL, """
@@ -221,7 +225,7 @@ SELECT year, code_postal_id, category_FR, count, round(per_km2, 6) AS count_per_
 FROM c""")
 def a05_top_category_year_postcode(spark, d):
     """A-05 / W-04: per (year, postcode, category) counts, density and the group's top category."""
-    c = _density(spark, d, [YEAR, "code_postal_id", "category_FR"])
+    c = _density(spark, d, [YEAR(), "code_postal_id", "category_FR"])
     return W.top_value_per_group(c, ["year", "code_postal_id"], "category_FR")
 
 
@@ -237,7 +241,7 @@ SELECT year, code_postal_id, quartier_id, category_FR, count, round(per_km2, 6)
 FROM c""")
 def a06_top_category_year_district(spark, d):
     """A-06 / W-04: as A-05 with the district in the keys."""
-    c = _density(spark, d, [YEAR, "code_postal_id", "quartier_id", "category_FR"])
+    c = _density(spark, d, [YEAR(), "code_postal_id", "quartier_id", "category_FR"])
     return W.top_value_per_group(c, ["year", "code_postal_id", "quartier_id"], "category_FR")
 
 
@@ -251,7 +255,7 @@ GROUP BY ALL""")
 def a07_count_weekend_subcategory(spark, d):
     """A-07: counts by (year, month, weekend flag, postcode, category, sub-category)."""
     det = _details(spark, d)
-    keys = [YEAR, MONTH, dates.is_weekend(F.col("date_input")).cast("bigint").alias("weekend"),
+    keys = [YEAR(), MONTH(), dates.is_weekend(F.col("date_input")).cast("bigint").alias("weekend"),
             "code_postal_id", "category_FR", "subcategory_FR"]
     return A.count_by(det, keys, count_col="id_dmr", drop_null_keys=True)
 
@@ -266,7 +270,7 @@ GROUP BY ALL""")
 def a08_count_dayofweek_subcategory(spark, d):
     """A-08: counts by (year, month, day of week Monday=0, postcode, category, sub-category)."""
     det = _details(spark, d)
-    keys = [YEAR, MONTH, dates.day_of_week_monday0(F.col("date_input")).cast("bigint").alias("dayofweek"),
+    keys = [YEAR(), MONTH(), dates.day_of_week_monday0(F.col("date_input")).cast("bigint").alias("dayofweek"),
             "code_postal_id", "category_FR", "subcategory_FR"]
     return A.count_by(det, keys, count_col="id_dmr", drop_null_keys=True)
 
@@ -279,7 +283,7 @@ WHERE code_postal_id IS NOT NULL AND category_FR IS NOT NULL AND subcategory_FR
 GROUP BY ALL""")
 def a09_count_subcategory(spark, d):
     """A-09: counts by (year, month, postcode, category, sub-category)."""
-    return A.count_by(_details(spark, d), [YEAR, MONTH, "code_postal_id", "category_FR", "subcategory_FR"],
+    return A.count_by(_details(spark, d), [YEAR(), MONTH(), "code_postal_id", "category_FR", "subcategory_FR"],
                       count_col="id_dmr", drop_null_keys=True)
 
 
@@ -293,7 +297,7 @@ GROUP BY ALL""")
 def a10_count_etat_recent(spark, d):
     """A-10 / S-04: counts with status for the recent years (a date predicate on the scan)."""
     r = tables.reports(spark, d, date_from=f"{RECENT_FROM_YEAR}-01-01")
-    return A.count_by(r, [YEAR, MONTH, "code_postal_id", "quartier_id", "category_FR", "etat"],
+    return A.count_by(r, [YEAR(), MONTH(), "code_postal_id", "quartier_id", "category_FR", "etat"],
                       count_col="id_dmr", drop_null_keys=True)
 
 

@@ -116,7 +116,7 @@ SELECT CAST(year(date_input) AS BIGINT) AS year, CAST(strftime(date_input, '%U')
 def d05_week_of_year(spark, d):
     """D-05: reports per (year, Sunday-first week 0-53)."""
     r = _reports(spark, d)
-    return r.groupBy(YEAR, dates.week_sunday_first(F.col("date_input")).alias("week")).agg(
+    return r.groupBy(YEAR(), dates.week_sunday_first(F.col("date_input")).alias("week")).agg(
         F.count(F.lit(1)).alias("count"))
 
 
@@ -260,7 +260,7 @@ def p05_u01_union_padded(spark, d):
     old = r.where(F.year("date_input") < 2000).select("date_input")
     schema = T.StructType([T.StructField("date_input", T.DateType()), T.StructField("etat", T.StringType())])
     u = W.union_all([recent, P.pad_columns(old, schema)])
-    return u.groupBy(YEAR, "etat").agg(F.count(F.lit(1)).alias("count"))
+    return u.groupBy(YEAR(), "etat").agg(F.count(F.lit(1)).alias("count"))
 
 
 @register("p06_bbox_filter", with_ctes(R) + """
