@@ -150,13 +150,18 @@ def roll_up_rows(
 def median_of(df: DataFrame, col: str, keys: Sequence[str] = (), skip_null: bool = True, name: str = "median") -> DataFrame:
     """A-25: exact median. ``skip_null=False`` gives null as soon as one value is null/NaN
     (numpy parity)."""
+    from civlens.operators.ranking import exact_median
+
+    med = exact_median(df, col, keys, name)
+    if skip_null:
+        return med
     c = F.col(col)
-    med = F.median(c)
-    if not skip_null:
-        bad = F.sum(F.when(c.isNull() | F.isnan(c), 1).otherwise(0)) > 0
-        med = F.when(bad, F.lit(None)).otherwise(med)
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    return g.agg(med.alias(name))
+    bad = df.groupBy(*keys).agg((F.sum(F.when(c.isNull() | F.isnan(c), 1).otherwise(0)) > 0).alias("__bad"))
+    if keys:
+        out = bad.join(med, list(keys), "left")
+    else:
+        out = bad.withColumn(name, med.select(name).scalar())
+    return out.select(*keys, F.when(F.col("__bad"), F.lit(None)).otherwise(F.col(name)).alias(name))
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = (), pct: bool = False) -> DataFrame:
