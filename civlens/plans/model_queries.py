@@ -1 +1,277 @@
-"""Registered queries."""
+"""Feature, model-dataset, training and evaluation jobs (M-01..M-27)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from civlens.functions import dates, geo
+from civlens.operators import features as FE
+from civlens.operators import ml as ML
+from civlens.operators import windows as W
+from civlens.operators.aggregates import count_by
+from civlens.operators.joins import chain_left_joins, left_join_dim
+from civlens.plans.catalog import register
+from civlens.plans.spatial_queries import (
+    CELL,
+    GEOREF_SHOPS_SQL,
+    _PARKING_SQL,
+    georef_shops,
+    parking,
+)
+from civlens.operators import spatial as S
+from civlens.sources import tables
+from civlens.sources.tables import REPORTS_SQL, with_ctes
+
+rt = tables.read_table
+R = REPORTS_SQL
+
+
+@register("m01_ordinal_encode", with_ctes(R) + """
+SELECT category_FR, CAST(dense_rank() OVER (ORDER BY category_FR) - 1 AS BIGINT) AS code, COUNT(*) AS count
+FROM reports GROUP BY category_FR""")
+def m01_ordinal_encode(spark, d):
+    """M-01: categories coded 0..n-1 in sorted order (fitted StringIndexer)."""
+    _, enc = FE.ordinal_encode(tables.reports(spark, d), "category_FR", "code")
+    return enc.groupBy("category_FR", "code").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("m02_one_hot_drop_first", with_ctes(R) + "SELECT id_dmr, " + ", ".join(
+    [f"CAST(isodow(date_input) - 1 = {k} AS BIGINT) AS dayofweek_{k}" for k in range(1, 7)]
+    + [f"CAST(month(date_input) = {m} AS BIGINT) AS month_{m}" for m in range(2, 13)]) + " FROM reports")
+def m02_one_hot_drop_first(spark, d):
+    """M-02: day-of-week and month one-hot columns, first present level dropped."""
+    r = tables.reports(spark, d).select("id_dmr", dates.day_of_week_monday0(F.col("date_input")).alias("dayofweek"),
+                                        F.month("date_input").alias("month"))
+    r = FE.one_hot_drop_first(r, "dayofweek")
+    r = FE.one_hot_drop_first(r, "month")
+    return r.drop("dayofweek", "month")
+
+
+def district_features(spark, d):
+    """M-27 / J-05 / M-03 / M-04: one row per district with area, shops, population,
+    parking and densities; ``zti`` = the district holds at least one parking lot."""
+    dist = tables.districts(spark, d).select("quartier_id", "name", geo.area(F.col("geometry")).alias("surface_km2"))
+    shops = count_by(georef_shops(spark, d), ["quartier_id"], "number_shops", "id_")
+    pop = rt(spark, d, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("quartier_id")).agg(
+        F.count(F.lit(1)).alias("pop_2021"))
+    pk = S.assign_geometries(parking(spark, d), tables.districts(spark, d), "s_suppkey", F.col("geometry"),
+                             ["quartier_id"], predicate="within", cell=CELL)
+    pk = pk.where(F.col("poly_quartier_id").isNotNull()).select(F.col("poly_quartier_id").alias("quartier_id"))
+    n_pk = count_by(pk, ["quartier_id"], "n_parking")
+    out = chain_left_joins(dist, [shops, pop, n_pk], "quartier_id")
+    out = FE.membership_flag(out, pk, "quartier_id", "zti")
+    out = out.fillna(0, subset=["number_shops", "pop_2021", "n_parking"])
+    return FE.per_area(out, ["number_shops", "pop_2021"], "surface_km2")
+
+
+@register("m27_district_features", with_ctes(GEOREF_SHOPS_SQL, _PARKING_SQL, """
+w AS (SELECT s_suppkey, floor(lon - h) AS x, floor(lat - h) AS y, lon, lat, h FROM pk),
+pw AS (SELECT CAST(x + 5 * y AS BIGINT) AS quartier_id FROM w
+       WHERE x BETWEEN 0 AND 4 AND y BETWEEN 0 AND 4 AND lon + h <= x + 1 AND lat + h <= y + 1
+         AND NOT (lon + h > x + 0.5 AND lat + h > y + 0.5)),
+sc AS (SELECT quartier_id, COUNT(id_) AS number_shops FROM shop_georef GROUP BY 1),
+po AS (SELECT CAST(c_nationkey AS BIGINT) AS quartier_id, COUNT(*) AS pop_2021 FROM customer GROUP BY 1),
+np AS (SELECT quartier_id, COUNT(*) AS n_parking FROM pw GROUP BY 1)""") + """
+SELECT CAST(n.n_nationkey AS BIGINT) AS quartier_id, n.n_name AS name, CAST(0.75 AS DOUBLE) AS surface_km2,
+       coalesce(sc.number_shops, 0) AS number_shops, coalesce(po.pop_2021, 0) AS pop_2021,
+       coalesce(np.n_parking, 0) AS n_parking, CAST(np.n_parking IS NOT NULL AS BIGINT) AS zti,
+       round(coalesce(sc.number_shops, 0) / 0.75, 6) AS number_shops_p_km2,
+       round(coalesce(po.pop_2021, 0) / 0.75, 6) AS pop_2021_p_km2
+FROM nation n LEFT JOIN sc ON n.n_nationkey = sc.quartier_id LEFT JOIN po ON n.n_nationkey = po.quartier_id
+     LEFT JOIN np ON n.n_nationkey = np.quartier_id""")
+def m27_district_features(spark, d):
+    """M-27: district feature table end to end (joins, densities, zone flag)."""
+    return district_features(spark, d)
+
+
+_SCALE_SQL = with_ctes(R, """
+t AS (SELECT * FROM reports WHERE year(date_input) < 2000)""")
+
+
+@register("m09_minmax_scale", _SCALE_SQL + """
+SELECT id_dmr, CAST(year(date_input) >= 2000 AS BIGINT) AS is_test,
+       round(CASE WHEN (SELECT MAX(lon) - MIN(lon) FROM t) = 0 THEN 0
+                  ELSE (lon - (SELECT MIN(lon) FROM t)) / (SELECT MAX(lon) - MIN(lon) FROM t) END, 6) AS lon,
+       round(CASE WHEN (SELECT MAX(lat) - MIN(lat) FROM t) = 0 THEN 0
+                  ELSE (lat - (SELECT MIN(lat) FROM t)) / (SELECT MAX(lat) - MIN(lat) FROM t) END, 6) AS lat
+FROM reports""")
+def m09_minmax_scale(spark, d):
+    """M-09: min-max scaling fitted on the train years, applied to all rows."""
+    r = tables.reports(spark, d).select("id_dmr", "date_input", "lon", "lat")
+    stats = ML.minmax_fit(r.where(F.year("date_input") < 2000), ["lon", "lat"])
+    out = ML.minmax_apply(r, stats, ["lon", "lat"])
+    return out.select("id_dmr", (F.year("date_input") >= 2000).cast("bigint").alias("is_test"), "lon", "lat")
+
+
+@register("m10_standard_scale", _SCALE_SQL + """
+SELECT id_dmr, round((lon - (SELECT AVG(lon) FROM t)) / (SELECT stddev_pop(lon) FROM t), 6) AS lon,
+       round((lat - (SELECT AVG(lat) FROM t)) / (SELECT stddev_pop(lat) FROM t), 6) AS lat
+FROM reports""")
+def m10_standard_scale(spark, d):
+    """M-10: standard scaling (population std) fitted on the train years."""
+    r = tables.reports(spark, d).select("id_dmr", "date_input", "lon", "lat")
+    stats = ML.standard_fit(r.where(F.year("date_input") < 2000), ["lon", "lat"])
+    return ML.standard_apply(r, stats, ["lon", "lat"]).select("id_dmr", "lon", "lat")
+
+
+@register("m07_sample_quarter", "SELECT CAST(round(COUNT(*) * 0.25) AS BIGINT) AS n_sampled FROM orders")
+def m07_sample_quarter(spark, d):
+    """M-07: exact-size random quarter of the rows (hash order, distributed rank)."""
+    o = rt(spark, d, "orders")
+    return ML.sample_fraction(o, "o_orderkey", 0.25, seed=11).agg(F.count(F.lit(1)).alias("n_sampled"))
+
+
+@register("m08_split_data", """
+SELECT 'test' AS split, CAST(ceil(COUNT(*) * 0.25) AS BIGINT) AS count FROM orders
+UNION ALL SELECT 'train', COUNT(*) - CAST(ceil(COUNT(*) * 0.25) AS BIGINT) FROM orders""")
+def m08_split_data(spark, d):
+    """M-08: exact-size 75/25 shuffle split, sizes reported."""
+    o = rt(spark, d, "orders").select("o_orderkey")
+    train, test = ML.split_data(o, "o_orderkey", 0.25, seed=3)
+    return train.select(F.lit("train").alias("split")).unionByName(test.select(F.lit("test").alias("split"))).groupBy(
+        "split").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("m12_downsample", """
+WITH c AS (SELECT label, COUNT(*) AS n FROM embeddings GROUP BY label)
+SELECT CAST(label AS BIGINT) AS label, (SELECT MIN(n) FROM c) AS count FROM c""")
+def m12_downsample(spark, d):
+    """M-12: every class sampled down to the smallest class size."""
+    e = rt(spark, d, "embeddings").select("vec_id", "label")
+    return ML.downsample(e, "label", "vec_id", seed=5).groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+
+
+_CM_SQL = "WITH cc AS (SELECT quality AS label, toxic AS pred, COUNT(*) AS n FROM labels GROUP BY 1, 2),\n" \
+          "cl AS (SELECT label AS c FROM cc UNION SELECT pred FROM cc),\n" \
+          "per AS (SELECT cl.c, coalesce((SELECT SUM(n) FROM cc WHERE label = cl.c AND pred = cl.c), 0) AS tp,\n" \
+          "  coalesce((SELECT SUM(n) FROM cc WHERE label = cl.c), 0) AS n_actual,\n" \
+          "  coalesce((SELECT SUM(n) FROM cc WHERE pred = cl.c), 0) AS n_pred FROM cl)\n"
+
+
+@register("m21_classification_metrics", _CM_SQL + """
+SELECT round(SUM(tp) / SUM(n_actual), 6) AS accuracy,
+       round(AVG(CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0 END), 6) AS precision_macro,
+       round(AVG(CASE WHEN n_actual > 0 THEN tp / n_actual ELSE 0 END), 6) AS recall_macro FROM per""")
+def m21_classification_metrics(spark, d):
+    """M-21: accuracy, macro precision and recall from one confusion aggregate."""
+    return ML.classification_metrics(rt(spark, d, "labels"), "quality", "toxic")
+
+
+@register("m22_confusion_matrix", """
+SELECT CAST(quality AS BIGINT) AS label, COUNT(*) FILTER (WHERE toxic = 0) AS pred_0,
+       COUNT(*) FILTER (WHERE toxic = 1) AS pred_1 FROM labels GROUP BY 1""")
+def m22_confusion_matrix(spark, d):
+    """M-22: confusion matrix, labels x predictions."""
+    return ML.confusion_matrix(rt(spark, d, "labels"), "quality", "toxic", [0, 1])
+
+
+@register("m23_ovr_auc", _CM_SQL + """
+SELECT CAST(c AS BIGINT) AS class,
+       round((tp / n_actual + ((SELECT SUM(n) FROM cc) - n_actual - (n_pred - tp)) / ((SELECT SUM(n) FROM cc) - n_actual)) / 2, 6)
+       AS auc
+FROM per WHERE n_actual > 0""")
+def m23_ovr_auc(spark, d):
+    """M-23: one-vs-rest AUC of hard predictions per class."""
+    return ML.ovr_auc_hard(rt(spark, d, "labels"), "quality", "toxic")
+
+
+@register("m24_regression_metrics", """
+WITH t AS (SELECT l_quantity AS y, l_discount * 500 AS p FROM lineitem)
+SELECT round(sqrt(AVG((y - p) * (y - p))), 6) AS rmse,
+       round(1 - SUM((y - p) * (y - p)) / SUM((y - (SELECT AVG(y) FROM t)) * (y - (SELECT AVG(y) FROM t))), 6) AS r2,
+       round(AVG((y - p) / y), 6) AS bias, round(AVG(abs((y - p) / y)) * 100, 6) AS mape FROM t""")
+def m24_regression_metrics(spark, d):
+    """M-24: rmse, r2, bias and mape of a prediction column."""
+    li = rt(spark, d, "lineitem").select(F.col("l_quantity").alias("y"), (F.col("l_discount") * 500).alias("p"))
+    return ML.regression_metrics(li, "y", "p")
+
+
+def _embedding_split(spark, d):
+    e = rt(spark, d, "embeddings")
+    e = ML.assemble(e, "embedding").withColumn("label", F.col("label").cast("double"))
+    return ML.split_data(e, "vec_id", 0.25, seed=1)
+
+
+def _predictions(model, test):
+    return model.transform(test).select("vec_id", F.col("label").cast("bigint").alias("label"),
+                                        F.col("prediction").cast("bigint").alias("prediction"))
+
+
+@register("m15_random_forest")
+def m15_random_forest(spark, d):
+    """M-15 / M-26: 300-tree forest on the embedding features; test predictions exported."""
+    train, test = _embedding_split(spark, d)
+    return _predictions(ML.random_forest(num_trees=300, seed=0).fit(train), test)
+
+
+@register("m16_logistic_regression")
+def m16_logistic_regression(spark, d):
+    """M-16: multinomial logistic regression; test predictions."""
+    train, test = _embedding_split(spark, d)
+    return _predictions(ML.logistic_multinomial().fit(train), test)
+
+
+@register("m17_decision_tree")
+def m17_decision_tree(spark, d):
+    """M-17: decision tree; test predictions."""
+    train, test = _embedding_split(spark, d)
+    return _predictions(ML.decision_tree().fit(train), test)
+
+
+@register("m21_forest_test_metrics")
+def m21_forest_test_metrics(spark, d):
+    """M-15 + M-21: forest accuracy and macro precision / recall on the test split."""
+    return ML.classification_metrics(m15_random_forest(spark, d), "label", "prediction")
+
+
+@register("m19_grid_search")
+def m19_grid_search(spark, d):
+    """M-19 / M-20: 5-fold grid search (trees 600/500/400 x depth 8/10, balanced weights);
+    cross-validated accuracy per parameter set."""
+    train, _ = _embedding_split(spark, d)
+    cv = ML.grid_search(train, parallelism=4)
+    rows = [(int(pm[cv.getEstimator().numTrees]), int(pm[cv.getEstimator().maxDepth]), float(m))
+            for pm, m in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
+    return spark.createDataFrame(rows, "num_trees bigint, max_depth bigint, cv_accuracy double")
+
+
+@register("m18_stacking")
+def m18_stacking(spark, d):
+    """M-18: stacked forest + linear SVC -> logistic regression; test predictions."""
+    train, test = _embedding_split(spark, d)
+    out = ML.stacking(train, test)
+    return _predictions_from(out)
+
+
+def _predictions_from(df):
+    return df.select("vec_id", F.col("label").cast("bigint").alias("label"),
+                     F.col("prediction").cast("bigint").alias("prediction"))
+
+
+@register("m06_class_dataset")
+def m06_class_dataset(spark, d):
+    """M-06: report-level class dataset: location, delay, encoded category, one-hot day
+    and month, district features; nulls filled with 0 then incomplete rows dropped."""
+    r = tables.reports(spark, d)
+    lines = tables.report_lines(spark, d).groupBy("id_dmr").agg(F.min("date_etat_ts").alias("first_status"))
+    r = r.join(lines, "id_dmr", "left").withColumn(
+        "deltadays_signal_etat", dates.elapsed_days(F.col("date_input").cast("timestamp"), F.col("first_status")))
+    _, r = FE.ordinal_encode(r, "category_FR", "category_code")
+    r = r.withColumn("dayofweek", dates.day_of_week_monday0(F.col("date_input"))).withColumn(
+        "month", F.month("date_input"))
+    r = FE.one_hot_drop_first(r, "dayofweek", levels=list(range(7)))
+    r = FE.one_hot_drop_first(r, "month", levels=list(range(1, 13)))
+    feats = district_features(spark, d).drop("name")
+    out = left_join_dim(r, feats, "quartier_id")
+    out = out.drop("date_input", "first_status", "etat", "category_FR", "dayofweek", "month", "code_postal_id")
+    return out.fillna(0).dropna()
+
+
+@register("m05_count_dataset")
+def m05_count_dataset(spark, d):
+    """M-05: daily counts per district with 3 lead features, weekday and district features."""
+    daily = tables.reports(spark, d).groupBy(F.col("date_input").alias("date"), "quartier_id").agg(
+        F.count(F.lit(1)).alias("count"))
+    leads = W.lead_features(daily, "count", 3, ["date"], ["quartier_id"])
+    leads = leads.withColumn("dayofweek", dates.day_of_week_monday0(F.col("date")))
+    return left_join_dim(leads, district_features(spark, d).drop("name"), "quartier_id")
