@@ -173,6 +173,8 @@ def contains_point(mp: Column, x: Column, y: Column, strict: bool = True) -> Col
     )
     if strict:
         inside = inside & ~on_boundary(mp, x, y)
+    else:
+        inside = inside | on_boundary(mp, x, y)
     return F.when(x.isNull() | y.isNull() | F.isnan(x) | F.isnan(y), F.lit(None).cast("boolean")).otherwise(inside)
 
 
