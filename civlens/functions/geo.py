@@ -371,7 +371,7 @@ def geojson_point(txt: Column) -> Column:
 
 
 def _fmt(v: Column) -> Column:
-    return F.regexp_replace(F.format_string("%.15g", v), r"^-0$", "0")
+    return v.cast("double").cast("string")  # shortest round-trip text of the double
 
 
 def _wkt_coords(line: Column) -> Column:

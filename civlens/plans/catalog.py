@@ -66,4 +66,5 @@ def load_all() -> None:
         spatial_queries,
         quality_queries,
         model_queries,
+        cleaning_queries,
     )
