@@ -190,27 +190,27 @@ def line_length_in_polygons(
     parity, the highest rank with a positive length). Output: line columns, payload,
     ``length_in`` (null when no polygon holds a part of the line)."""
     rank = rank if rank is not None else F.col(payload[0])
-    cells = polygon_cells(polygons, geom, cell, payload, rank)
+    # Polygons are projected (and their edges listed) once, inside the small cell table;
+    # lines are projected once per line, before the cell explode.
+    pg = geo.project_multipolygon(F.col(geom)) if project else F.col(geom)
+    polys = polygons.withColumn("__pg", pg).withColumn("__pe", geo.polygon_edges(F.col("__pg")))
+    cells = polygon_cells(polys, geom, cell, [*payload, "__pg", "__pe"], rank)
     lb = geo.line_bounds(F.col(line_col))
-    base = lines.select(F.col(line_key), F.col(line_col).alias("__l"), lb.alias("__lb"))
+    ln = geo.project_line(F.col(line_col)) if project else F.col(line_col)
+    base = lines.select(F.col(line_key), ln.alias("__ln"), lb.alias("__lb"))
     ex = base.withColumn("cx", F.explode(geo.cell_range(F.col("__lb.minx"), F.col("__lb.maxx"), cell))).withColumn(
         "cy", F.explode(geo.cell_range(F.col("__lb.miny"), F.col("__lb.maxy"), cell)))
     j = _join_cells(ex, cells, F.col("cx"), F.col("cy"), "inner")
-    hits = j.select(line_key, "__l", F.explode("cands").alias("h")).withColumn("__hr", F.col("h.rank"))
+    hits = j.select(line_key, "__ln", F.explode("cands").alias("h")).withColumn("__hr", F.col("h.rank"))
     hits = hits.dropDuplicates([line_key, "__hr"])
-    # Projected geometries are materialised as columns first, so the clipping expression
-    # refers to them instead of repeating the projection subtree at every use.
-    hits = hits.withColumn("__ln", geo.project_line(F.col("__l")) if project else F.col("__l"))
-    hits = hits.withColumn("__pg", geo.project_multipolygon(F.col("h.g")) if project else F.col("h.g"))
-    hits = hits.withColumn("__pe", geo.polygon_edges(F.col("__pg")))
-    hits = hits.withColumn("__len", geo.clipped_length(F.col("__ln"), F.col("__pg"), F.col("__pe")))
+    hits = hits.withColumn("__len", geo.clipped_length(F.col("__ln"), F.col("h.__pg"), F.col("h.__pe")))
     hits = hits.where(F.col("__len") > 1e-9)
     chooser = F.max_by if pick == "last" else F.min_by
-    best = hits.groupBy(line_key).agg(
-        chooser(F.struct(F.col("h").alias("h"), F.col("__len").alias("len")), F.col("h.rank")).alias("__hit"))
+    keep = F.struct(*[F.col("h")[c].alias(c) for c in payload], F.col("__len").alias("len"))
+    best = hits.groupBy(line_key).agg(chooser(keep, F.col("__hr")).alias("__hit"))
     out = lines.join(best, line_key, "left")
     return out.select(*[F.col(f"`{c}`") for c in lines.columns],
-                      *[F.col("__hit.h")[c].alias(prefix + c) for c in payload],
+                      *[F.col("__hit")[c].alias(prefix + c) for c in payload],
                       F.col("__hit.len").alias("length_in"))
 
 

@@ -250,3 +250,19 @@ def test_spatial_plans_have_no_nested_loop_join(spark):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_line_length_in_polygons_pick(spark):
+    polys = spark.createDataFrame(
+        [(1, _poly([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)])), (2, _poly([(1, 0), (2, 0), (2, 1), (1, 1), (1, 0)]))],
+        f"pid int, geometry {geo.MULTIPOLYGON_T}")
+    lines = spark.createDataFrame([(7, [{"x": 0.5, "y": 0.5}, {"x": 1.8, "y": 0.5}]), (8, [{"x": 5.0, "y": 5.0},
+                                                                                         {"x": 6.0, "y": 5.0}])],
+                                  f"k int, line {geo.LINE_T}")
+    last = {r.k: (r.poly_pid, r.length_in) for r in S.line_length_in_polygons(
+        lines, polys, "k", "line", ["pid"], cell=0.5, pick="last", project=False).collect()}
+    first = {r.k: (r.poly_pid, r.length_in) for r in S.line_length_in_polygons(
+        lines, polys, "k", "line", ["pid"], cell=0.5, pick="first", project=False).collect()}
+    assert last[7][0] == 2 and last[7][1] == pytest.approx(0.8)
+    assert first[7][0] == 1 and first[7][1] == pytest.approx(0.5)
+    assert last[8] == (None, None)
