@@ -92,7 +92,7 @@ def columns_by_type(df: DataFrame, kinds: tuple = (T.FloatType, T.DoubleType)) -
     return hit, [c for c in df.columns if c not in hit]
 
 
-def relabel_rare(y: Column, keep: Sequence[int] = (0, 1, 3, 8), other: int = 9) -> Column:
+def relabel_rare(y: Column, other: int = 9) -> Column:
     """P-17: ``(y == 2) or (y > 3 and y != 8)`` -> 9; 0, 1, 3 and 8 are kept."""
     rare = (y == 2) | ((y > 3) & (y != 8))
     return F.when(rare, F.lit(other)).otherwise(y)
