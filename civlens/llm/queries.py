@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from civlens.llm.mixing import OP4_SQL, op4_mixing
 from civlens.llm.simple8b import op5_simple8b
+from civlens.llm.warc import op10_warc
 
-QUERIES = {"op5_simple8b": op5_simple8b}
+QUERIES = {
+    "op4_mixing": op4_mixing,
+    "op5_simple8b": op5_simple8b,
+    "op10_warc": op10_warc,
+}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL}
