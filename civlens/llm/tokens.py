@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -83,11 +84,12 @@ class PieceTokenizer:
         """Numbers of the pieces; they stay valid until the next call."""
         if len(self.code) > CACHE_PIECES:
             self._clear()
-        new = list(set(parts) - self.code.keys())
-        if new:
-            new.sort()  # the same numbers in any process
-            self._learn(new)
-        return np.fromiter(map(self.code.__getitem__, parts), np.int64, len(parts))
+        got = np.fromiter(map(self.code.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(got < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys([parts[k] for k in missing])))
+            got[missing] = [self.code[parts[k]] for k in missing]
+        return got
 
     def expand(self, codes: np.ndarray) -> np.ndarray:
         lens = self.count[codes]
