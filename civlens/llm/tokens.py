@@ -13,10 +13,10 @@ from itertools import repeat
 
 import numpy as np
 
-# A space that touches other white space belongs to a white-space run; those texts are cut by CUT.
-RUN = re.compile(r" \s|[^\S ] ")
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE_PIECES = 400_000
+#: White space other than the space; by code, all that Python's ``\s`` has.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+CACHE_PIECES = 1_000_000
 SEGMENT_CHARS = 1 << 20
 
 
@@ -26,10 +26,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def has_run(text: str) -> bool:
+    """Whether a space touches other white space; such a space is no safe place to cut."""
+    return "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in OTHER_SPACE)
+
+
 def pieces(text: str) -> list[str]:
     if not text:
         return []
-    parts = CUT.split(text) if RUN.search(text) else text.split(" ")
+    parts = CUT.split(text) if has_run(text) else text.split(" ")
     out = [" " + p for p in parts]
     out[0] = parts[0]
     return out if out[0] else out[1:]
@@ -55,6 +60,10 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        added = self.tok.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        marks = [(t.content, i) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark, self.mark_id = marks[0] if marks else ("", -1)
         self._clear()
 
     def _clear(self):
@@ -64,10 +73,39 @@ class PieceTokenizer:
         self.count = np.empty(1 << 14, np.int32)
         self.used = 0
 
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for each piece. Pieces are encoded many at a time, parted by a
+        special token, which the library cuts out before it splits a text."""
+        flat, lens = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for a in range(0, len(new) if self.mark else 0, 128):
+            joined = self.mark.join(new[a : a + 128])
+            ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            at = ids == self.mark_id
+            lens.append(np.diff(np.flatnonzero(at), prepend=-1, append=len(ids)) - 1)
+            flat.append(ids[~at])
+        if not self.mark:
+            rows = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, rows), np.int64, len(rows)))
+            flat += [np.array(r, np.uint32) for r in rows]
+        return np.concatenate(flat), np.concatenate(lens)
+
     def _learn(self, new: list[str]):
-        rows = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        lens = np.fromiter(map(len, rows), np.int32, len(rows))
-        flat = np.fromiter((i for r in rows for i in r), np.uint32, int(lens.sum()))
+        # closing punctuation after a letter or digit is a token of its own: its stem may be known
+        stems = {p: p[:-1] for p in new if len(p) > 2 and p[-1] in ",.;:!?" and p[-2].isalnum()}
+        parts = dict.fromkeys([stems.get(p, p) for p in new] + [p[-1] for p in stems])
+        fresh = [p for p in parts if p not in self.code]
+        odd = [p for p in fresh if any(t in p for t in self.added)]  # holds an added token's text
+        if odd:
+            rows = [e.ids for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]
+            flat = np.array([i for r in rows for i in r], np.uint32)
+            self._store(odd, flat, np.fromiter(map(len, rows), np.int64, len(rows)))
+            fresh = [p for p in fresh if p not in self.code]
+        self._store(fresh, *self._encoded(fresh))
+        if stems:
+            both = np.array([(self.code[s], self.code[p[-1]]) for p, s in stems.items()])
+            self._store(list(stems), self.expand(both.ravel()), self.count[both].sum(axis=1))
+
+    def _store(self, new: list[str], flat: np.ndarray, lens: np.ndarray):
         base, n = len(self.code), len(new)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
