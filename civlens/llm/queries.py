@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from civlens.llm.fingerprints import op2_fingerprints
 from civlens.llm.mixing import OP4_SQL, op4_mixing
 from civlens.llm.packing import op6_packing
 from civlens.llm.simple8b import op5_simple8b
 from civlens.llm.warc import op10_warc
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_simple8b": op5_simple8b,
     "op6_packing": op6_packing,
