@@ -5,6 +5,8 @@ from __future__ import annotations
 from civlens.llm.fingerprints import op2_fingerprints
 from civlens.llm.mixing import OP4_SQL, op4_mixing
 from civlens.llm.packing import op6_packing
+from civlens.llm.pii import op8_pii
+from civlens.llm.repetition import op9_repetition
 from civlens.llm.simple8b import op5_simple8b
 from civlens.llm.warc import op10_warc
 
@@ -13,6 +15,8 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_simple8b": op5_simple8b,
     "op6_packing": op6_packing,
+    "op8_pii": op8_pii,
+    "op9_repetition": op9_repetition,
     "op10_warc": op10_warc,
 }
 
