@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from civlens.llm.fingerprints import op2_fingerprints
+from civlens.llm.html_text import op7_html
 from civlens.llm.mixing import OP4_SQL, op4_mixing
 from civlens.llm.packing import op6_packing
 from civlens.llm.pii import op8_pii
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_simple8b": op5_simple8b,
     "op6_packing": op6_packing,
+    "op7_html": op7_html,
     "op8_pii": op8_pii,
     "op9_repetition": op9_repetition,
     "op10_warc": op10_warc,
