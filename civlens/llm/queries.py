@@ -9,9 +9,11 @@ from civlens.llm.packing import op6_packing
 from civlens.llm.pii import op8_pii
 from civlens.llm.repetition import op9_repetition
 from civlens.llm.simple8b import op5_simple8b
+from civlens.llm.toxicity import op1_toxicity
 from civlens.llm.warc import op10_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_simple8b": op5_simple8b,
