@@ -37,9 +37,12 @@ SELECTORS = [
 ]
 COUNTS = np.array([c for c, _ in SELECTORS], np.int64)
 DOC = np.dtype([("doc_id", "<i8"), ("null", "<u1"), ("first", "<u8"), ("n", "<u8")])
-FLUSH_BLOCKS = 256
+FLUSH_BLOCKS = 1024
+#: Texts that are encoded together.
+TEXTS = 1024
 #: Documents that one reading task handles.
 SPLIT_DOCS = 4096
+MAX_TASKS = 20_000
 
 
 def _windows(widths: np.ndarray, counts: list[int]) -> dict[int, np.ndarray]:
@@ -130,11 +133,12 @@ class Writer:
         self.n_ids = self.n_words = 0
         sink.write(MAGIC)
 
-    def add(self, doc_id, ids: np.ndarray):
-        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, self.n_ids, len(ids)))
-        self.n_ids += len(ids)
-        self.pending.append(ids)
-        self.held += len(ids)
+    def add(self, doc_id, *ids: np.ndarray):
+        n = sum(map(len, ids))
+        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, self.n_ids, n))
+        self.n_ids += n
+        self.pending += ids
+        self.held += n
         if self.held >= FLUSH_BLOCKS * BLOCK:
             self._flush(self.held // BLOCK * BLOCK)
 
@@ -208,14 +212,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.s8b"
         end = np.array([end_id], np.uint32)
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a in range(0, len(texts), 256):
-                flat, ends = tok.encode([t or "" for t in texts[a : a + 256]])
-                for k, stop in enumerate(ends.tolist()):
-                    out = out or Writer(fs.open_output_stream(f"{root}/{name}"))
-                    doc_id = pdf["doc_id"].iat[a + k]
-                    begin = int(ends[k - 1]) if k else 0
-                    out.add(None if pd.isna(doc_id) else int(doc_id), np.append(flat[begin:stop], end))
+            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
+            for a in range(0, len(texts), TEXTS):
+                flat, ends = tok.encode([t or "" for t in texts[a : a + TEXTS]])
+                out = out or Writer(fs.open_output_stream(f"{root}/{name}"))
+                begin = 0
+                for doc_id, stop in zip(ids[a : a + TEXTS], ends.tolist(), strict=True):
+                    out.add(None if pd.isna(doc_id) else int(doc_id), flat[begin:stop], end)
+                    begin = stop
         if out:
             yield pd.DataFrame([{"part": context.partitionId(), "file": f"{folder}/{name}"} | out.close()])
 
@@ -233,8 +237,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     splits = (
         manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
         .select("file", "base", F.explode(F.sequence(F.lit(0), F.col("n_docs") - 1, F.lit(SPLIT_DOCS))).alias("a"))
-        .repartition("file", "a")
     )
+    # a number of its own: few bytes name much work, so sizes must not merge the splits
+    n = manifest.agg(F.sum(F.ceil(F.col("n_docs") / SPLIT_DOCS))).first()[0] or 1
+    splits = splits.repartition(min(int(n), MAX_TASKS), "file", "a")
 
     def read(batches):
         import pyarrow.fs

@@ -1,8 +1,10 @@
 """Token ids of whole texts with the tokenizers library, cached per piece of text.
 
-A byte-level BPE never merges across the space between two non-space characters, so a text may
-be cut at those spaces and each piece (with its leading space) encoded once per worker. The ids
-are those of encoding the whole text; a test compares them on adversarial texts.
+A byte-level BPE never merges across a lone space or line feed between two characters that are no
+white space, so a text may be cut in front of those and each piece encoded once per worker. The cuts
+and a hash of each piece are found in numpy over the bytes of many texts; only the different pieces
+of a batch are looked up. The ids are those of encoding the whole text; a test compares them on
+adversarial texts.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from itertools import repeat
 import numpy as np
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space other than the space; by code, all that Python's ``\s`` has.
-OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 800_000
 SEGMENT_CHARS = 1 << 20
+BATCH_CHARS = 3 << 20
+#: Longer pieces are not told apart by their hash.
+HASHED_BYTES = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def default_path() -> str:
@@ -26,18 +30,57 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def has_run(text: str) -> bool:
-    """Whether a space touches other white space; such a space is no safe place to cut."""
-    return "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in OTHER_SPACE)
-
-
-def pieces(text: str) -> list[str]:
-    if not text:
-        return []
-    parts = CUT.split(text) if has_run(text) else text.split(" ")
-    out = [" " + p for p in parts]
-    out[0] = parts[0]
-    return out if out[0] else out[1:]
+def _tables(n: int, known: dict = {}) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: B006
+    """A random number for each byte, powers of an odd number and of its inverse (mod 2^64)."""
+    if "byte" not in known:
+        known["byte"] = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        known["n"] = 0
+    if known["n"] < n:
+        known["n"] = n = max(n, BATCH_CHARS + (1 << 20))
+        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+        for name, base in (("up", _ODD), ("down", inverse)):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            known[name] = np.multiply.accumulate(x)
+    return known["byte"], known["up"], known["down"]
+
+
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of texts that begin at ``starts``: there, and at each lone
+    space or line feed between characters that are no white space. Characters of three bytes that
+    may be white space count as white space here, which only makes pieces longer."""
+    n = len(data)
+    low = data <= 32
+    space = low & ((data == 32) | ((data >= 9) & (data <= 13)) | (data >= 28))
+    lone = (data == 32) | (data == 10)
+    wide = np.zeros(n + 6, np.uint8)
+    wide[3 : n + 3] = data
+
+    def at(k):  # the byte k places further on
+        return wide[3 + k : n + 3 + k]
+
+    two = lambda a, b: (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    three = lambda a: (a >= 0xE1) & (a <= 0xE3)
+    spot = np.flatnonzero(lone)
+    spot = spot[(spot > 0) & (spot < n - 1)]
+    before, after = spot - 1, spot + 1
+    ok = ~space[before] & ~space[after]
+    ok &= ~two(at(-2)[spot], at(-1)[spot]) & ~(three(at(-3)[spot]) & (at(-1)[spot] >= 0x80))
+    ok &= ~two(at(1)[spot], at(2)[spot]) & ~three(at(1)[spot])
+    first = np.zeros(n + 1, bool)
+    first[spot[ok]] = first[starts] = True
+    return np.flatnonzero(first[:n])
+
+
+def joinable(piece: bytes) -> bool:
+    """Whether a piece may follow and precede others in one text: it begins with a lone space or line
+    feed and has no white space at its other end."""
+    inner, last = piece[1:4], piece[-3:]
+    return (
+        len(piece) > 1 and piece[0] in b" \n" and inner[0] > 32 and last[-1] > 32
+        and not 0xE1 <= inner[0] <= 0xE3 and inner[:2] not in (b"\xc2\x85", b"\xc2\xa0")
+        and not 0xE1 <= last[0] <= 0xE3 and last[-2:] not in (b"\xc2\x85", b"\xc2\xa0")
+    )
 
 
 def segments(text: str, size: int = SEGMENT_CHARS):
@@ -60,52 +103,55 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = self.tok.get_added_tokens_decoder()
-        self.added = [t.content for t in added.values()]
-        marks = [(t.content, i) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.mark, self.mark_id = marks[0] if marks else ("", -1)
+        # a byte-level token is written with one character a byte
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        for i, token in self.tok.get_added_tokens_decoder().items():
+            self.width[i] = len(token.content.encode())
         self._clear()
 
     def _clear(self):
-        self.code: dict[str, int] = {}
+        self.code: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.empty(1 << 14, np.int64)
         self.count = np.empty(1 << 14, np.int32)
         self.used = 0
 
-    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and their number for each piece. Pieces are encoded many at a time, parted by a
-        special token, which the library cuts out before it splits a text."""
-        flat, lens = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-        for a in range(0, len(new) if self.mark else 0, 128):
-            joined = self.mark.join(new[a : a + 128])
-            ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            at = ids == self.mark_id
-            lens.append(np.diff(np.flatnonzero(at), prepend=-1, append=len(ids)) - 1)
-            flat.append(ids[~at])
-        if not self.mark:
-            rows = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-            lens.append(np.fromiter(map(len, rows), np.int64, len(rows)))
-            flat += [np.array(r, np.uint32) for r in rows]
-        return np.concatenate(flat), np.concatenate(lens)
-
-    def _learn(self, new: list[str]):
+    def _learn_new(self, new: list[bytes]):
+        """Encode and store pieces. Those that begin with their space or line feed are encoded many
+        at a time in one text; the ids' byte lengths tell where each one ends."""
+        plain = [p for p in new if joinable(p)]
+        single = [p for p in new if not joinable(p)]
+        for a in range(0, len(plain), 1024):
+            some = plain[a : a + 1024]
+            ids = np.array(self._ids(b"".join(some)), np.uint32)
+            ends = np.cumsum(self.width[ids])
+            stops = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+            at = np.searchsorted(ends, stops)
+            if ends[-1] == stops[-1] and (ends[at] == stops).all():
+                self._store(some, ids, np.diff(at, prepend=-1))
+            else:
+                single += some
+        rows = [self._ids(p) for p in single]
+        flat = np.array([i for r in rows for i in r], np.uint32)
+        self._store(single, flat, np.fromiter(map(len, rows), np.int64, len(rows)))
+
+    def _ids(self, piece: bytes) -> list[int]:
+        return self.tok.encode_batch_fast([piece.decode()], add_special_tokens=False)[0].ids
+
+    def _learn(self, new: list[bytes]):
         # closing punctuation after a letter or digit is a token of its own: its stem may be known
-        stems = {p: p[:-1] for p in new if len(p) > 2 and p[-1] in ",.;:!?" and p[-2].isalnum()}
-        parts = dict.fromkeys([stems.get(p, p) for p in new] + [p[-1] for p in stems])
+        stems = {p: p[:-1] for p in new if len(p) > 2 and p[-1] in b",.;:!?" and p[-2:-1].isalnum()}
+        parts = dict.fromkeys([stems.get(p, p) for p in new] + [p[-1:] for p in stems])
         fresh = [p for p in parts if p not in self.code]
-        odd = [p for p in fresh if any(t in p for t in self.added)]  # holds an added token's text
-        if odd:
-            rows = [e.ids for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]
-            flat = np.array([i for r in rows for i in r], np.uint32)
-            self._store(odd, flat, np.fromiter(map(len, rows), np.int64, len(rows)))
-            fresh = [p for p in fresh if p not in self.code]
-        self._store(fresh, *self._encoded(fresh))
+        self._learn_new(fresh)
         if stems:
-            both = np.array([(self.code[s], self.code[p[-1]]) for p, s in stems.items()])
+            both = np.array([(self.code[s], self.code[p[-1:]]) for p, s in stems.items()])
             self._store(list(stems), self.expand(both.ravel()), self.count[both].sum(axis=1))
 
-    def _store(self, new: list[str], flat: np.ndarray, lens: np.ndarray):
+    def _store(self, new: list[bytes], flat: np.ndarray, lens: np.ndarray):
         base, n = len(self.code), len(new)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
@@ -118,16 +164,35 @@ class PieceTokenizer:
         self.used += len(flat)
         self.code.update(zip(new, range(base, base + n), strict=True))
 
-    def codes(self, parts: list[str]) -> np.ndarray:
-        """Numbers of the pieces; they stay valid until the next call."""
+    def room(self):
+        """Forget the pieces if there are too many. Codes got before are void then."""
         if len(self.code) > CACHE_PIECES:
             self._clear()
-        got = np.fromiter(map(self.code.get, parts, repeat(-1)), np.int64, len(parts))
-        missing = np.flatnonzero(got < 0).tolist()
+
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts, and the position after each text's last piece.
+        The numbers hold until ``room`` is called."""
+        raw = [t.encode() for t in texts]
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        blob = b"".join(raw)
+        data = np.frombuffer(blob, np.uint8)
+        starts = np.cumsum(lens) - lens
+        first = cuts(data, starts[lens > 0])
+        stop = np.append(first[1:], len(data))[: len(first)]
+        byte, up, down = _tables(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
+        key = (sums[stop] - sums[first]) * down[first]
+        long = np.flatnonzero(stop - first > HASHED_BYTES)
+        key[long] = long
+        _, place, piece = np.unique(key, return_index=True, return_inverse=True)
+        different = [blob[a:b] for a, b in zip(first[place].tolist(), stop[place].tolist(), strict=True)]
+        known = np.fromiter(map(self.code.get, different, repeat(-1)), np.int64, len(different))
+        missing = np.flatnonzero(known < 0).tolist()
         if missing:
-            self._learn(list(dict.fromkeys([parts[k] for k in missing])))
-            got[missing] = [self.code[parts[k]] for k in missing]
-        return got
+            self._learn(list(dict.fromkeys([different[k] for k in missing])))
+            known[missing] = [self.code[different[k]] for k in missing]
+        return known[piece], np.searchsorted(first, starts + lens)
 
     def expand(self, codes: np.ndarray) -> np.ndarray:
         lens = self.count[codes]
@@ -137,32 +202,29 @@ class PieceTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the position after each text's last id."""
-        out, counts = [], np.zeros(len(texts), np.int64)
-        parts: list[str] = []
-        owner: list[tuple[int, int]] = []
-
-        def flush():
-            if parts:
-                codes = self.codes(parts)
-                out.append(self.expand(codes))
-                at, lens = 0, self.count[codes]
-                sums = np.concatenate([[0], np.cumsum(lens)])
-                for k, n in owner:
-                    counts[k] += sums[at + n] - sums[at]
-                    at += n
-                parts.clear()
-                owner.clear()
-
-        for k, text in enumerate(texts):
-            for segment in segments(text):
-                got = pieces(segment)
-                parts += got
-                owner.append((k, len(got)))
-                if len(parts) > 300_000:
-                    flush()
-        flush()
-        flat = np.concatenate(out) if out else np.empty(0, np.uint32)
-        return flat, np.cumsum(counts)
+        out, counts = [np.empty(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for owner, parts in batches(texts):
+            self.room()
+            codes, ends = self.codes(parts)
+            out.append(self.expand(codes))
+            sums = np.concatenate([[0], np.cumsum(self.count[codes])])[ends]
+            np.add.at(counts, owner, np.diff(sums, prepend=0))
+        return np.concatenate(out), np.cumsum(counts)
+
+
+def batches(texts: list[str], size: int = BATCH_CHARS):
+    """(numbers of texts, their segments) of about ``size`` characters at a time."""
+    owner, parts, held = [], [], 0
+    for k, text in enumerate(texts):
+        for segment in segments(text):
+            owner.append(k)
+            parts.append(segment)
+            held += len(segment)
+            if held >= size:
+                yield owner, parts
+                owner, parts, held = [], [], 0
+    if parts:
+        yield owner, parts
 
 
 _CACHE: dict[str, PieceTokenizer] = {}

@@ -29,6 +29,7 @@ from civlens.llm.common import scratch, written
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
+MAX_TASKS = 20_000
 CHUNK = 1 << 16
 #: Bytes of a member that a validation decodes at most, before the whole member is decoded.
 PROBE = 512
@@ -207,7 +208,9 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                     if rows:
                         yield pd.DataFrame(rows)
 
-    got = ranges.repartition("file", "start").mapInPandas(read, ROWS)
+    # a number of its own: few bytes name much work, so sizes must not merge the ranges
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    got = ranges.repartition(min(int(n), MAX_TASKS), "file", "start").mapInPandas(read, ROWS)
     return got.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
