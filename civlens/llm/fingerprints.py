@@ -82,14 +82,15 @@ def densified(minima):
 
 
 def low_bits(text):
-    """The fingerprint as an array of the bins' low bits."""
-    return F.transform(densified(bin_minima(shingle_hashes(text))), lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
+    """The fingerprint as an array of the bins' low bits, less 128 to fit bytes."""
+    full = densified(bin_minima(shingle_hashes(text)))
+    return F.transform(full, lambda x: (x.bitwiseAND(F.lit((1 << BITS) - 1)) - 128).cast("tinyint"))
 
 
 def packed(bits):
     """Lowercase hex, two digits a bin."""
     digits = F.array(*[F.lit(f"{v:02x}") for v in range(1 << BITS)])
-    return F.array_join(F.transform(bits, lambda x: F.get(digits, x)), "")
+    return F.array_join(F.transform(bits, lambda x: F.get(digits, x.cast("int") + 128)), "")
 
 
 def likeness(a, b):
@@ -106,28 +107,31 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     of the next document in descending doc_id order (null last; after the last the first).
 
     Rows that share doc_id follow each other by a digest of (doc_id, text); equal rows take one place
-    in the order and get equal results. Only ids, lengths and fingerprints are ordered globally; each
-    text is shuffled once to be edited and its first third once to its neighbour.
+    in the order and get equal results. Only ids and lengths are ordered globally; each text is
+    shuffled once, by the digest, and its first part once more, to the document that it goes into.
     """
     text = F.coalesce("text", F.lit(""))
     tagged = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit(":"), text)
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(F.encode(tagged, "utf-8"))).alias("k"))
-    own = written(keyed.select("doc_id", "k", F.length("text").alias("n"), low_bits(F.col("text")).alias("bits")), "oph-own")
-    single = own.dropDuplicates(["k"])
-    chain = written(with_global_index(single, [F.col("doc_id").desc_nulls_last(), F.col("k")], "oph-order"), "oph-chain")
+    # the two joins read the same columns, so that they share one exchange of the texts
+    keyed = docs.select(text.alias("text"), F.unhex(F.md5(F.encode(tagged, "utf-8"))).alias("k"))
+    every = docs.select("doc_id", F.unhex(F.md5(F.encode(tagged, "utf-8"))).alias("k"), F.length(text).alias("n"), low_bits(text).alias("bits"))
+    own = written(every, "oph-own")
+    marks = own.select("k", "bits").dropDuplicates(["k"])
+    order = [F.col("doc_id").desc_nulls_last(), F.col("k")]
+    single = own.select("k", "doc_id", "n").distinct()
+    chain = written(with_global_index(single, order, "oph-order"), "oph-chain")
     total, rows = chain.count(), own.count()
-    following = chain.select(
-        F.pmod(F.col("idx") - 1, F.lit(max(total, 1))).alias("idx"), F.col("k").alias("from"), F.col("bits").alias("next_bits")
-    )
+    following = chain.select(F.pmod(F.col("idx") - 1, F.lit(max(total, 1))).alias("idx"), F.col("k").alias("from"))
     links = chain.join(following, "idx").select(
-        "from", F.col("k").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("m"), "bits", "next_bits"
+        "from", "doc_id", F.col("k").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("m")
     )
-    sent = keyed.join(links, keyed["k"] == links["from"]).select(
-        "to", "m", "bits", "next_bits", F.substring("text", F.lit(1), F.col("m")).alias("head")
+    sender = keyed.join(links, keyed["k"] == links["from"]).join(marks.withColumnRenamed("k", "from"), "from")
+    sent = sender.select(
+        "to", "doc_id", "m", F.col("bits").alias("next_bits"), F.substring("text", F.lit(1), F.col("m")).alias("head")
     )
     if rows > total:  # equal rows have sent the same head more than once
         sent = sent.dropDuplicates(["to"])
-    both = keyed.join(sent, keyed["k"] == sent["to"])
+    both = keyed.join(sent, keyed["k"] == sent["to"]).join(marks, "k")
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.col("m")), F.col("head"))
     made = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "bits", "next_bits")
