@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from civlens.llm.fingerprints import op2_fingerprints
 from civlens.llm.html_text import op7_html
+from civlens.llm.jaccard_join import op3_jaccard_join
 from civlens.llm.mixing import OP4_SQL, op4_mixing
 from civlens.llm.packing import op6_packing
 from civlens.llm.pii import op8_pii
@@ -15,6 +17,7 @@ from civlens.llm.warc import op10_warc
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_mixing": op4_mixing,
     "op5_simple8b": op5_simple8b,
     "op6_packing": op6_packing,
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_repetition": op9_repetition,
     "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -30,7 +30,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tables(n: int, known: dict = {}) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: B006
+def byte_tables(n: int, known: dict = {}) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: B006
     """A random number for each byte, powers of an odd number and of its inverse (mod 2^64)."""
     if "byte" not in known:
         known["byte"] = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -179,7 +179,7 @@ class PieceTokenizer:
         starts = np.cumsum(lens) - lens
         first = cuts(data, starts[lens > 0])
         stop = np.append(first[1:], len(data))[: len(first)]
-        byte, up, down = _tables(len(data))
+        byte, up, down = byte_tables(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
         key = (sums[stop] - sums[first]) * down[first]
