@@ -6,6 +6,7 @@ executor costs only the tasks that were running, and every branch of a plan read
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps: it does so once the driver's JVM has
+    collected the plans that owned them, which a large driver may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def words(text):
     """Column: the words of a text as an array (null text: empty array), in native expressions."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WORD_SPACE}]+"), lambda w: w != "")

@@ -4,7 +4,7 @@ Documents with the same set of word shingles form a class; classes are joined. A
 order (by hash). Two sets that are similar enough share at least l elements of their l-prefixes, the
 first n - ceil(t n) + l elements. Each class gets its own l:
 
-1. every class sends its longest prefix (l = MAX_MATCHES); Spark counts in how many classes each
+1. every class sends its longest prefix; Spark counts in how many classes each
    prefix element occurs. Elements of one class only can't match and are dropped;
 2. a class takes the l of least estimated cost: the candidates its prefix generates, and their
    checks, of which a longer prefix with more required matches leaves fewer. Elements in more than
@@ -38,11 +38,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civlens.llm.common import written
+from civlens.llm.common import release, written
 from civlens.llm.tokens import batches, byte_tables
 
-MAX_MATCHES = 4
-HOT = 64
+#: The l a class may choose: numbers, and 4 plus a share of its size.
+MATCHES, MORE_MATCHES = (1, 2, 4), (24, 12)
+HOT = 128
 #: Cost of checking a candidate, in generated ones.
 CHECK_COST = 4.0
 TILE = 64
@@ -110,21 +111,34 @@ class Rule:
     def prefix(self, size, matches):
         return F.least(size, size - self.common(size) + matches)
 
+    def choices(self, size):
+        """The l that a set of ``size`` may choose (columns, ascending)."""
+        return [F.lit(m) for m in MATCHES] + [(F.floor(size / d) + max(MATCHES)).cast("int") for d in MORE_MATCHES]
+
+    def longest(self, size: int) -> int:
+        """Elements of the longest prefix."""
+        return min(size, size - -(-size * self.num // self.den) + max(MATCHES) + size // min(MORE_MATCHES))
+
     def overlap(self, a, b):
         """Elements that two similar sets share, at least (column)."""
         return F.ceil((a + b) * self.num / (self.den + self.num)).cast("int")
 
 
+def slices(pdfs, rows: int = 512):
+    """Smaller frames, so that what is made of one stays small."""
+    for pdf in pdfs:
+        for a in range(0, len(pdf), rows):
+            yield pdf.iloc[a : a + rows]
+
+
 def class_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, cid, n, prefix) of every document: its class, set size and longest prefix."""
 
-    def run(batches_):
-        for pdf in batches_:
+    def run(pdfs):
+        for pdf in slices(pdfs):
             rows = []
             for doc_id, s in zip(pdf["doc_id"], shingle_sets([t or "" for t in pdf["text"]], rule.n), strict=True):
-                size = len(s)
-                take = min(size, size - -(-size * rule.num // rule.den) + MAX_MATCHES)
-                rows.append((doc_id, set_key(s), size, s[:take].astype(np.int64)))
+                rows.append((doc_id, set_key(s), len(s), s[: rule.longest(len(s))].astype(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "cid", "n", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
@@ -139,8 +153,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
         wanted.select("doc_id").distinct().alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi"
     )
 
-    def run(batches_):
-        for pdf in batches_:
+    def run(pdfs):
+        for pdf in slices(pdfs):
             rows = []
             for s in shingle_sets([t or "" for t in pdf["text"]], rule.n):
                 rows.append((set_key(s), len(s), np.ascontiguousarray(s.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
@@ -215,22 +229,26 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("v", "label")
 
 
-def planned(live: DataFrame, rule: Rule) -> DataFrame:
-    """(cid, matches, need, heavy) of every class: its l, and the matches outside hot elements."""
+def planned(live: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """(cid, n, matches, need, heavy) of every class with live elements: its l, and the matches
+    outside hot elements. live: (token, cid, pos, df); sizes: (cid, n)."""
     sums = []
-    for m in range(1, MAX_MATCHES + 1):
-        inside = F.col("pos") < rule.prefix(F.col("n"), F.lit(m))
-        sums.append(F.count_if(inside & (F.col("df") > HOT)).cast("int").alias(f"h{m}"))
-        sums.append(F.sum(F.when(inside & (F.col("df") <= HOT), F.col("df") - 1).otherwise(0)).alias(f"g{m}"))
-    per = live.groupBy("cid").agg(*sums)
-    costs = [
-        F.when(F.col(f"h{m}") < m, F.struct((F.col(f"g{m}") * (1 + CHECK_COST / (m - F.col(f"h{m}")))).alias("cost"), F.lit(m).alias("m"), (m - F.col(f"h{m}")).alias("need")))
-        for m in range(1, MAX_MATCHES + 1)
-    ]
+    known = live.join(sizes, "cid")
+    for k, m in enumerate(rule.choices(F.col("n"))):
+        inside = F.col("pos") < rule.prefix(F.col("n"), m)
+        sums.append(F.count_if(inside & (F.col("df") > HOT)).cast("int").alias(f"h{k}"))
+        sums.append(F.sum(F.when(inside & (F.col("df") <= HOT), F.col("df") - 1).otherwise(0)).alias(f"g{k}"))
+    per = known.groupBy("cid", "n").agg(*sums)
+    costs = []
+    for k, m in enumerate(rule.choices(F.col("n"))):
+        need = m - F.col(f"h{k}")
+        cost = F.col(f"g{k}") * (1 + CHECK_COST / F.greatest(need, F.lit(1)))
+        costs.append(F.when(need > 0, F.struct(cost.alias("cost"), m.alias("m"), need.alias("need"))))
     best = F.array_min(F.filter(F.array(*costs), lambda x: x.isNotNull()))
     return per.withColumn("best", best).select(
         "cid",
-        F.coalesce("best.m", F.lit(MAX_MATCHES)).alias("matches"),
+        "n",
+        F.coalesce("best.m", rule.choices(F.col("n"))[-1]).alias("matches"),
         F.coalesce("best.need", F.lit(0)).alias("need"),
         F.col("best").isNull().alias("heavy"),
     )
@@ -267,10 +285,11 @@ def light_pairs(live: DataFrame, plan: DataFrame, rule: Rule) -> DataFrame:
 def heavy_prefixes(sets: DataFrame, heavy: DataFrame, rule: Rule) -> DataFrame:
     """(token, cid, n, pos, df) of the heavy classes' prefixes, rarest elements first."""
 
-    def explode(batches_):
-        for pdf in batches_:
-            for cid, n, e in zip(pdf["cid"], pdf["n"], pdf["elements"], strict=True):
-                yield pd.DataFrame({"cid": cid, "n": n, "token": unpacked(e).astype(np.int64)})
+    def explode(pdfs):
+        for pdf in slices(pdfs, 64):
+            tokens = [unpacked(e).astype(np.int64) for e in pdf["elements"]]
+            lens = list(map(len, tokens))
+            yield pd.DataFrame({"cid": np.repeat(pdf["cid"], lens), "n": np.repeat(pdf["n"], lens), "token": np.concatenate(tokens)})
 
     own = sets.join(heavy.select("cid"), "cid", "left_semi")
     tokens = written(own.mapInPandas(explode, "cid long, n int, token long"), "join-heavy")
@@ -317,17 +336,22 @@ def heavy_pairs(prefix: DataFrame, rule: Rule, sets: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     rule = Rule(n, num, den)
+    spark = docs.sparkSession
     rows = written(class_rows(docs, rule), "join-classes")
     classes = rows.where("n > 0").dropDuplicates(["cid"])
-    tokens = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = classes.select("cid", F.posexplode("prefix").alias("pos", "token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     live = written(tokens.join(counts, "token"), "join-live")
-    plan = written(planned(live, rule), "join-plan")
+    release(spark)
+    firsts = rows.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("doc_id"))
+    plan = written(planned(live, firsts.select("cid", "n"), rule), "join-plan")
     pairs = written(light_pairs(live, plan, rule), "join-candidates")
     heavy = plan.where("heavy").select("cid")
-    firsts = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     wanted = functools.reduce(DataFrame.union, [pairs.select("a"), pairs.select("b"), heavy]).toDF("cid").distinct()
-    sets = written(sets_of(docs, firsts.join(wanted, "cid", "left_semi"), rule), "join-sets")
+    wanted = written(firsts.join(wanted, "cid", "left_semi").select("cid", "doc_id"), "join-wanted")
+    release(spark)
+    sets = written(sets_of(docs, wanted, rule), "join-sets")
+    release(spark)
     links = checked(pairs, sets, rule).union(heavy_pairs(heavy_prefixes(sets, heavy, rule), rule, sets))
     label = components(written(links, "join-links"))
     own = rows.select("doc_id", "cid", "n").join(label, rows["cid"] == label["v"], "left")
