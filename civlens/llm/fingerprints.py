@@ -84,7 +84,9 @@ def densified(minima):
 def low_bits(text):
     """The fingerprint as an array of the bins' low bits, less 128 to fit bytes."""
     full = densified(bin_minima(shingle_hashes(text)))
-    return F.transform(full, lambda x: (x.bitwiseAND(F.lit((1 << BITS) - 1)) - 128).cast("tinyint"))
+    # hashed with its bin, so that a value copied to many bins has other low bits in each
+    low = F.lit((1 << BITS) - 1)
+    return F.transform(full, lambda x: (F.xxhash64(x).bitwiseAND(low) - 128).cast("tinyint"))
 
 
 def packed(bits):
