@@ -6,7 +6,7 @@ or id) is bad; a block made mostly of links is bad; a block outside the article
 long and dense in stop words, bad if it is long and has hardly any, and else undecided; inside an
 article or main container a long block is good whatever its stop words. Second pass: undecided short
 blocks inherit the label of the nearest decided neighbours of the same container: the one both
-share, else the nearer one's; the edges of an article count as good, those of the page as bad. A
+share, else the nearer one's, bad if both are as near; the edges of an article count as good, those of the page as bad. A
 heading inherits from the block below it.
 
 Result: the good blocks in page order, white space inside a block as one space, joined by an empty
@@ -199,7 +199,7 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
         if found[k].heading and j > k:
             out.append(b)
             continue
-        out.append(a if a == b or k - i <= j - k else b)
+        out.append(a if a == b else a if k - i < j - k else b if j - k < k - i else False)
     return out
 
 

@@ -361,36 +361,36 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(weights, bias, _logistic(rows[:, : TOP + 1], rows[:, TOP + 1], rows[:, TOP + 2]))
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with score and predicted."""
-    fields = [docs.schema[c] for c in keep]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_of(model: Model, text, spark):
+    """Column: the score of a text."""
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict[str, float] = {}
         for series in batches:
-            texts = [t or "" for t in series]
-            m = shared.value
+            texts, m = [t or "" for t in series], shared.value
             if m.weights is None:
                 yield pd.Series(np.zeros(len(texts)))
                 continue
             parts = [m.scores(m.measures(texts[a:b], cache)) for a, b in _batches(texts)]
             yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
-    score = F.pandas_udf(run, "double")
-    out = docs.select(*[f.name for f in fields], score("text").alias("score"))
+    return F.pandas_udf(run, "double")(text)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, predicted) of every document."""
+    out = docs.select("doc_id", score_of(model, F.col("text"), docs.sparkSession).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns."""
-    names = docs.columns
-    kept = scored(docs, train(docs, labels), names)
-    return kept.where("predicted = 0").select(*names)
+    return docs.where(score_of(train(docs, labels), F.col("text"), docs.sparkSession) < THRESHOLD)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = scored(docs, model, ["doc_id"])
+    rows = scored(docs, model)
     return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
