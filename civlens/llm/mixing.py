@@ -124,12 +124,12 @@ def mixed_documents(docs: DataFrame, seed: int = 0, weights=WEIGHTS) -> DataFram
         & (F.col("d.__size") == F.col("t.size")) & (F.col("d.__k") == F.col("t.__k")),
     )
     pieces = F.split(F.col("d.text"), f"(?<=[^{WORD_SPACE}])(?=[{WORD_SPACE}])")
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("taken").cast("int")), "")
-    text = F.when(F.col("taken") < F.col("t.size"), cut).otherwise(F.col("d.text"))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("t.taken").cast("int")), "")
+    text = F.when(F.col("t.taken") < F.col("t.size"), cut).otherwise(F.col("d.text"))
     out = {c: F.col(f"d.{c}") for c in docs.columns} | {"text": text}
     if "n_chars" in out:
         out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return both.orderBy("virtual_finish", F.col("d.source").asc_nulls_last(), "d.doc_id", "copy").select(
+    return both.orderBy("t.virtual_finish", F.col("d.source").asc_nulls_last(), "d.doc_id", "t.copy").select(
         *[c.alias(k) for k, c in out.items()]
     )
 
