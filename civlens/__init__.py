@@ -7,7 +7,6 @@ functions/  column-expression builders (dates, text, geometry, fuzzy scores)
 operators/  DataFrame -> DataFrame operators (filters, joins, spatial, aggregates,
             windows, quality profiles, features, ML)
 plans/      end-to-end jobs composed from operators, and the query catalog
-streaming/  incremental ingest of report files with Structured Streaming
 """
 
 __version__ = "0.1.0"

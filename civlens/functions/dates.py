@@ -27,7 +27,7 @@ def convert_date_format(
     of the column (per group, e.g. per source file); if none does, the result is null.
 
     One small aggregate decides the format per group (a partial + final aggregation over
-    ``len(formats)`` booleans); the answer is joined back by broadcast, it holds one row
+    ``len(formats)`` booleans); the answer is joined back, it holds one row
     per group.
     """
     out = out or column
@@ -41,7 +41,7 @@ def convert_date_format(
     for i in reversed(range(len(formats))):
         chosen = F.when(F.col(f"__ok{i}"), F.try_to_timestamp(c, F.lit(formats[i]))).otherwise(chosen)
     if group_by:
-        joined = df.join(F.broadcast(decision), on=list(group_by), how="left")
+        joined = df.join(decision, on=list(group_by), how="left")
     else:
         joined = _attach_one_row(df, decision)
     return joined.withColumn(out, chosen).drop(*[f"__ok{i}" for i in range(len(formats))])

@@ -22,19 +22,26 @@ def default_process(s: str | None) -> str:
     return "".join(c if c.isalnum() else " " for c in s.lower()).strip()
 
 
-def lcs_length(a: str, b: str) -> int:
-    m = len(a)
-    if m == 0 or not b:
-        return 0
+def masks_of(a: str) -> dict[str, int]:
+    """Bit positions of each character of ``a``."""
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | (1 << i)
+    return masks
+
+
+def lcs_length(a: str, b: str, masks: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence; ``masks`` of ``a`` may be given."""
+    m = len(a)
+    if m == 0 or not b:
+        return 0
+    masks = masks_of(a) if masks is None else masks
     full = (1 << m) - 1
     s = full
     for ch in b:
         u = s & masks.get(ch, 0)
         s = ((s + u) | (s - u)) & full
-    return m - bin(s).count("1")
+    return m - s.bit_count()
 
 
 def ratio(a: str | None, b: str | None) -> int:
@@ -47,25 +54,15 @@ def partial_ratio(a: str | None, b: str | None) -> int:
     if not a or not b:
         return 0
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
-    m = len(short)
-    best = 0
-    for i in range(len(long_) - m + 1):
-        best = max(best, ratio(short, long_[i:i + m]))
-        if best == 100:
-            break
-    return best
-
-
-@F.pandas_udf(T.IntegerType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="int32")
+    if short in long_:
+        return 100
+    m, masks = len(short), masks_of(short)
+    best = max(lcs_length(short, long_[i : i + m], masks) for i in range(len(long_) - m + 1))
+    return int(round(100.0 * best / m))
 
 
 @F.pandas_udf(T.IntegerType())
-def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-@F.pandas_udf(T.StringType())
-def default_process_udf(a: pd.Series) -> pd.Series:
-    return pd.Series([default_process(x) for x in a], dtype="object")
+def best_window_udf(text: pd.Series, name: pd.Series) -> pd.Series:
+    """partial_ratio of the processed text and name; each different value is processed once."""
+    done = {s: default_process(s) for s in {*text, *name}}
+    return pd.Series([partial_ratio(done[x], done[y]) for x, y in zip(text, name, strict=True)], dtype="int32")

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civlens.operators.joins import broadcast_if_small, lookup_divide
+from civlens.operators.joins import lookup_divide
 
 
 def count_by(
@@ -44,13 +44,6 @@ def daily_count(df: DataFrame, date_col: str = "date_input", name: str = "count"
     return df.groupBy(F.to_date(date_col).alias("date")).agg(F.count(F.lit(1)).alias(name))
 
 
-def calendar_keys(date_col: str = "date_input") -> dict[str, Column]:
-    return {
-        "year": F.year(date_col).cast("bigint"),
-        "month": F.month(date_col).cast("bigint"),
-    }
-
-
 def count_per_area(
     counts: DataFrame,
     areas: DataFrame,
@@ -64,8 +57,9 @@ def count_per_area(
 
 
 def share_of_total(df: DataFrame, value: str = "count", out: str = "share_pct") -> DataFrame:
-    """A-17: value / total * 100, the total attached as a scalar subquery."""
-    total = df.agg(F.sum(value)).scalar()
+    """A-17: value / total * 100. ``df`` is a grouped result: the total is a window over it, so
+    that the facts are read once."""
+    total = F.sum(value).over(Window.partitionBy())
     return df.withColumn(out, F.col(value) / total * F.lit(100.0))
 
 
@@ -166,18 +160,13 @@ def median_of(df: DataFrame, col: str, keys: Sequence[str] = (), skip_null: bool
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = (), pct: bool = False) -> DataFrame:
     """A-26/M-25: count per value (null values dropped, as in a frame value count), with
-    the share within ``by`` in percent when ``pct``. The share divides by a group total
-    joined back, the totals table holds one row per ``by`` group."""
+    the share within ``by`` in percent when ``pct``: a window over the grouped counts."""
     base = df.where(F.col(col).isNotNull())
     counts = base.groupBy(*by, col).agg(F.count(F.lit(1)).alias("count"))
     if not pct:
         return counts
-    if by:
-        totals = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__tot"))
-        out = counts.join(broadcast_if_small(totals), on=list(by), how="inner")
-    else:
-        out = counts.withColumn("__tot", base.agg(F.count(F.lit(1))).scalar())
-    return out.withColumn("pct", F.col("count") / F.col("__tot") * F.lit(100.0)).drop("__tot")
+    total = F.sum("count").over(Window.partitionBy(*by))
+    return counts.withColumn("pct", F.col("count") / total * F.lit(100.0))
 
 
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:
@@ -194,13 +183,14 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def pivot_years_with_total(
     df: DataFrame, keys: Sequence[str], year_col: str, years: Sequence[int]
 ) -> DataFrame:
-    """A-33: counts of keys x year, with a Total column and the share of each key row
-    within its first key (category)."""
-    p = df.groupBy(*keys).pivot(year_col, list(years)).agg(F.count(F.lit(1))).fillna(0)
-    total = None
-    for y in years:
-        total = F.col(str(y)) if total is None else total + F.col(str(y))
-    p = p.withColumn("Total", total)
-    cat_tot = p.groupBy(keys[0]).agg(F.sum("Total").alias("__cat"))
-    p = p.join(broadcast_if_small(cat_tot), on=keys[0], how="inner")
-    return p.withColumn("share_in_category", F.col("Total") / F.col("__cat") * F.lit(100.0)).drop("__cat")
+    """A-33: counts of keys x year for the ``years`` that become columns, ``other_years`` for all
+    other rows, a Total of all rows, and the share of each key row within its first key. One
+    grouped count; the share is a window over it."""
+    year = F.col(year_col)
+    p = df.groupBy(*keys).agg(
+        *[F.count_if(year == y).alias(str(y)) for y in years],
+        F.count_if(~F.coalesce(year.isin(list(years)), F.lit(False))).alias("other_years"),
+        F.count(F.lit(1)).alias("Total"),
+    )
+    total = F.sum("Total").over(Window.partitionBy(keys[0]))
+    return p.withColumn("share_in_category", F.col("Total") / total * F.lit(100.0))

@@ -5,14 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civlens.operators.joins import broadcast_if_small
-
-# Categorical levels are collected to the driver only up to this many distinct values.
-MAX_LEVELS = 10_000
-
 
 def ordinal_encode(df: DataFrame, col: str, out: str | None = None):
     """M-01: sorted categories -> 0..n-1 (``StringIndexer``, alphabetical). Returns the
@@ -22,21 +17,11 @@ def ordinal_encode(df: DataFrame, col: str, out: str | None = None):
     return model, model.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
-def levels_of(df: DataFrame, col: Column | str, limit: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-null values of a categorical column (bounded; checked)."""
-    c = F.col(col) if isinstance(col, str) else col
-    vals = df.select(c.alias("v")).where(F.col("v").isNotNull()).distinct().limit(limit + 1).collect()
-    if len(vals) > limit:
-        raise ValueError(f"more than {limit} levels; not a categorical column")
-    return sorted(r["v"] for r in vals)
-
-
-def one_hot_drop_first(df: DataFrame, col: str, prefix: str | None = None, levels: Sequence | None = None) -> DataFrame:
-    """M-02: one 0/1 column per level except the first present level, named
-    ``{prefix}_{level}``. Levels are given or read as the sorted distinct values."""
+def one_hot_drop_first(df: DataFrame, col: str, levels: Sequence, prefix: str | None = None) -> DataFrame:
+    """M-02: one 0/1 column per level except the first, named ``{prefix}_{level}``. The caller
+    states the levels (the schema depends on them); another value gives zeros, as the first does."""
     prefix = prefix or col
-    lv = list(levels) if levels is not None else levels_of(df, col)
-    cols = [(F.col(col) == F.lit(v)).cast("int").alias(f"{prefix}_{v}") for v in lv[1:]]
+    cols = [(F.col(col) == F.lit(v)).cast("int").alias(f"{prefix}_{v}") for v in list(levels)[1:]]
     return df.select("*", *cols)
 
 
@@ -45,11 +30,7 @@ def per_area(df: DataFrame, cols: Sequence[str], area: str, suffix: str = "_p_km
     return df.select("*", *[F.try_divide(F.col(c), F.col(area)).alias(f"{c}{suffix}") for c in cols])
 
 
-def m2_to_km2(c: str) -> F.Column:
-    return F.col(c) / F.lit(1_000_000.0)
-
-
 def membership_flag(base: DataFrame, members: DataFrame, key: str, out: str = "zti") -> DataFrame:
     """M-04: 1 when the key occurs in ``members``, else 0 (left join on distinct keys)."""
     m = members.select(key).where(F.col(key).isNotNull()).distinct().withColumn(out, F.lit(1))
-    return base.join(broadcast_if_small(m), key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+    return base.join(m, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))

@@ -1,85 +1,61 @@
 """Sub-category correction against official lists (T-06, T-08).
 
-Plan: distinct (category, text) pairs -> exact matches joined away -> the rest joined to
-the official names of their category (a small, size-checked broadcast) -> partial-ratio
-scores by pandas UDF -> best name per pair by ``max_by`` -> rule ladder as column
-expressions -> joined back to every report on (category, text). Python runs once per
-distinct pair and candidate, never per report row.
+Distinct (category, text) pairs that equal an official name keep it. The others are scored
+against the names of their category by one Arrow UDF call per pair; the best name wins from
+MATCH_THRESHOLD on. Below it, a small table of rules (category, pattern, label) decides, then the
+category's fallback. Results are joined back on (category, text); Python never runs per report.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civlens.functions.fuzzy import default_process_udf, partial_ratio_udf, ratio_udf
-from civlens.operators.joins import broadcast_if_small
-
-# Category names and fallback labels of the correction ladder.
-CAT_ABANDONED = "Objets abandonnés"
-CAT_GRAFFITI = "Graffitis, tags, affiches et autocollants"
-CAT_CLEANLINESS = "Propreté"
-TO_REQUALIFY = "A requalifier"
-OTHER = "Autres"
-ABANDONED_OTHER = "Autres objets encombrants abandonnés"
-BEDBUGS = "Objets infestés de punaises de lit"
-POSTERS_OTHER = "Affiches, autocollants ou graffitis sur autres supports"
-POSTERS_CF = "Affiches ou graffitis à traiter per Circonscription Fonctionnelle"
-GRAFFITI_WALL = "Graffitis et autocollants sur mur, façade sur rue, pont et descente d'eau pluviale"
-OUT_OF_SCOPE = "Hors champ de compétence"
-
-# Texts the ladder compares against (in ladder order).
-P_REQUALIFY = "a requalifier"
-P_TAPED = "Objets abandonnés rubalisés"
-P_HOMELESS = "Objets appartenant à des personnes à la rue"
-P_INFESTED = "Objets infestés"
-P_CARTS = "Cadenas, chaîne, caddie, chariot"
-P_ON_SUPPORT = "...sur [a-z]"
-P_POSTER_HIGH = "Affiche à plus de "
-P_GRAFFITI_HIGH = "Graffitis à plus de "
-P_CF = "circonscription fonctionnelle"
-P_OUT_OF_SCOPE = "Hors champ"
-P_OTHER_PROBLEM = "autre problème "
+from civlens.functions import fuzzy
 
 MATCH_THRESHOLD = 70
+OTHER = "Autres"
 
+#: Category (empty: any), text to compare with, label of a text that is close to it.
+#: The first rule that holds decides.
+RULES = [
+    ("", "a requalifier", "A requalifier"),
+    ("Objets abandonnés", "Objets abandonnés rubalisés", "Autres objets encombrants abandonnés"),
+    ("Objets abandonnés", "Objets appartenant à des personnes à la rue", "Autres objets encombrants abandonnés"),
+    ("Objets abandonnés", "Objets infestés", "Objets infestés de punaises de lit"),
+    ("Graffitis, tags, affiches et autocollants", "...sur [a-z]",
+     "Affiches, autocollants ou graffitis sur autres supports"),
+    ("Graffitis, tags, affiches et autocollants", "Affiche à plus de ",
+     "Affiches, autocollants ou graffitis sur autres supports"),
+    ("Graffitis, tags, affiches et autocollants", "Graffitis à plus de ",
+     "Affiches, autocollants ou graffitis sur autres supports"),
+    ("Graffitis, tags, affiches et autocollants", "circonscription fonctionnelle",
+     "Affiches ou graffitis à traiter per Circonscription Fonctionnelle"),
+    ("Propreté", "Hors champ", "Hors champ de compétence"),
+]
+#: Label of a category's texts that no rule takes.
+FALLBACKS = {
+    "Objets abandonnés": "Autres objets encombrants abandonnés",
+    "Graffitis, tags, affiches et autocollants": "Affiches, autocollants ou graffitis sur autres supports",
+    "Propreté": OTHER,
+}
+#: Fixed value: in categories without a fallback, a text close to this is OTHER; else the best name stays.
+LAST_RULE = "autre problème "
+#: Rules that any likeness at all satisfies unless ``strict`` (Q-07).
+LOOSE = {"Objets appartenant à des personnes à la rue"}
 
-def _r(text: Column, pattern: str) -> Column:
-    return ratio_udf(text, F.lit(pattern))
 
-
-def ladder(text: Column, category: Column, best: Column, score: Column, strict: bool = False) -> Column:
-    """The rule ladder applied when the best official match scores below 70.
-
-    ``strict=False`` keeps the reference's missing ``> 70`` on the second abandoned-object
-    test (any nonzero score passes, Q-07); ``strict=True`` uses ``> 70`` there too.
-    """
-    t = MATCH_THRESHOLD
-    homeless = _r(text, P_HOMELESS) > t if strict else _r(text, P_HOMELESS) != 0
-    abandoned = (
-        F.when((_r(text, P_TAPED) > t) | homeless, F.lit(ABANDONED_OTHER))
-        .when(_r(text, P_INFESTED) > t, F.lit(BEDBUGS))
-        .when(_r(text, P_CARTS) > t, F.lit(ABANDONED_OTHER))
-        .otherwise(F.lit(ABANDONED_OTHER))
-    )
-    graffiti = (
-        F.when(_r(text, P_ON_SUPPORT) > t, F.lit(POSTERS_OTHER))
-        .when((_r(text, P_POSTER_HIGH) > t) | (_r(text, P_GRAFFITI_HIGH) > t), F.lit(POSTERS_OTHER))
-        .when(_r(text, P_CF) > t, F.lit(POSTERS_CF))
-        .when(_r(text, P_GRAFFITI_HIGH) > t, F.lit(GRAFFITI_WALL))
-        .otherwise(F.lit(POSTERS_OTHER))
-    )
-    cleanliness = F.when(_r(text, P_OUT_OF_SCOPE) > t, F.lit(OUT_OF_SCOPE)).otherwise(F.lit(OTHER))
-    low = (
-        F.when(_r(text, P_REQUALIFY) > t, F.lit(TO_REQUALIFY))
-        .when(category == CAT_ABANDONED, abandoned)
-        .when(category == CAT_GRAFFITI, graffiti)
-        .when(category == CAT_CLEANLINESS, cleanliness)
-        .when(_r(text, P_OTHER_PROBLEM) > t, F.lit(OTHER))
-        .otherwise(best)
-    )
-    empty = text.isNull() | (text == "")
-    return F.when(empty, F.lit(None).cast("string")).when(score >= t, best).otherwise(low)
+def label_below_threshold(category: str, text: str, best: str, strict: bool = False) -> str:
+    """Label of a text whose best official name scores below MATCH_THRESHOLD."""
+    for rule_category, pattern, label in RULES:
+        if rule_category in ("", category):
+            least = 0 if pattern in LOOSE and not strict else MATCH_THRESHOLD
+            if fuzzy.ratio(text, pattern) > least:
+                return label
+    if category in FALLBACKS:
+        return FALLBACKS[category]
+    return OTHER if fuzzy.ratio(text, LAST_RULE) > MATCH_THRESHOLD else best
 
 
 def correct_subcategories(
@@ -100,20 +76,25 @@ def correct_subcategories(
     """
     order = order or name
     off = official.select(F.col(category).alias("__cat"), F.col(name).alias("__name"), F.col(order).alias("__ord"))
-    off = broadcast_if_small(off.withColumn("__pname", default_process_udf(F.col("__name"))), 100_000)
     pairs = df.select(F.col(category).alias("__cat"), F.col(text).alias("__txt")).distinct()
-    cand = pairs.join(off, "__cat", "inner").withColumn("__ptxt", default_process_udf(F.col("__txt")))
-    scored = cand.withColumn("__score", partial_ratio_udf(F.col("__ptxt"), F.col("__pname")))
-    best = scored.groupBy("__cat", "__txt").agg(
-        F.min_by(F.struct(F.col("__name").alias("n"), F.col("__score").alias("s")),
-                 F.struct((-F.col("__score")).alias("neg"), F.col("__ord").alias("o"))).alias("__b")
-    )
-    fixed = best.select(
-        "__cat", "__txt",
-        ladder(F.col("__txt"), F.col("__cat"), F.col("__b.n"), F.col("__b.s"), strict).alias("__fixed"),
-    )
+    told = pairs.where("__cat is not null and __txt is not null and __txt <> ''")
+    # names of one category are few by nature; a pair meets each name of its own category once
+    equal = F.col("__txt") == F.col("__name")
+    exact = told.join(off.select("__cat", "__name"), "__cat").where(equal).select("__cat", "__txt").distinct()
+    rest = told.join(exact, ["__cat", "__txt"], "left_anti").join(off, "__cat")
+    scored = rest.withColumn("__score", fuzzy.best_window_udf(F.col("__txt"), F.col("__name")))
+    rank = F.struct((-F.col("__score")).alias("neg"), F.col("__ord").alias("o"), F.col("__name").alias("n"))
+    best = scored.groupBy("__cat", "__txt").agg(F.min(rank).alias("__b"))
+
+    @F.pandas_udf("string")
+    def labelled(cats: pd.Series, texts: pd.Series, names: pd.Series, scores: pd.Series) -> pd.Series:
+        rows = zip(cats, texts, names, scores, strict=True)
+        return pd.Series([n if s >= MATCH_THRESHOLD else label_below_threshold(c, t, n, strict) for c, t, n, s in rows], dtype="object")
+
+    fixed = best.select("__cat", "__txt", labelled("__cat", "__txt", "__b.n", -F.col("__b.neg")).alias("__fixed"))
+    fixed = fixed.union(exact.select("__cat", "__txt", F.col("__txt").alias("__fixed")))
     has_list = off.select("__cat").distinct().withColumn("__has", F.lit(True))
-    lookup = pairs.join(broadcast_if_small(has_list), "__cat", "left").join(fixed, ["__cat", "__txt"], "left")
+    lookup = pairs.join(has_list, "__cat", "left").join(fixed, ["__cat", "__txt"], "left")
     lookup = lookup.select(
         "__cat", "__txt",
         F.when(F.col("__cat").isNull(), F.lit(None).cast("string"))

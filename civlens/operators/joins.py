@@ -1,8 +1,8 @@
-"""Join operators (J-01..J-12) and the size-checked broadcast.
+"""Join operators (J-01..J-12).
 
-Every join here is an equi join. Dimension sides are broadcast only after their row count
-was checked against a bound (``broadcast_if_small``); above the bound the join stays a
-shuffle join and AQE re-plans it at run time (and splits skewed partitions).
+Every join here is a plain equi join without hints: Spark broadcasts a side only below its own
+byte threshold, re-plans at run time (AQE) and splits skewed partitions. Building a query runs
+no job.
 """
 
 from __future__ import annotations
@@ -12,31 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension, in rows, that is ever broadcast by this library.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Reads at most max_rows + 1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven to hold at most ``max_rows`` rows."""
-    if row_count_at_most(df, max_rows):
-        return F.broadcast(df)
-    return df
-
 
 def left_join_dim(
     fact: DataFrame,
     dim: DataFrame,
     on: str | Sequence[str],
-    max_rows: int = DEFAULT_BROADCAST_ROWS,
     how: str = "left",
 ) -> DataFrame:
     """J-01/J-02/J-03/J-05/J-07: fact left join a dimension on shared key names."""
-    return fact.join(broadcast_if_small(dim, max_rows), on=on, how=how)
+    return fact.join(dim, on=on, how=how)
 
 
 def chain_left_joins(base: DataFrame, dims: Sequence[DataFrame], on: str | Sequence[str]) -> DataFrame:
@@ -60,14 +44,5 @@ def lookup_divide(
     No match, or a zero mean, gives null (the reference gives NaN).
     """
     means = lookup.groupBy(key).agg(F.avg(denominator).alias("__den"))
-    joined = fact.join(broadcast_if_small(means), on=key, how="left")
+    joined = fact.join(means, on=key, how="left")
     return joined.withColumn(out, F.try_divide(F.col(numerator), F.col("__den"))).drop("__den")
-
-
-def attach_total(df: DataFrame, value: str, total_name: str = "total") -> DataFrame:
-    """J-12: attach a one-row total to every row (scalar subquery as a broadcast cross join).
-
-    The total side is one row by construction, so the broadcast is bounded.
-    """
-    total = df.agg(F.sum(value).alias(total_name))
-    return df.crossJoin(F.broadcast(total))

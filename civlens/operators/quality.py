@@ -1,7 +1,7 @@
 """Data-quality and profiling operators (A-27..A-31, S-12, U-03).
 
 Each profile is one aggregation pass over the data (per-column expressions inside a single
-``agg``), then a reshape of its one-row result with ``stack`` -- no per-column jobs.
+``agg``), then a reshape of its one-row result -- no per-column jobs.
 """
 
 from __future__ import annotations
@@ -11,93 +11,84 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civlens.operators.ranking import exact_quantiles
+from civlens.operators.ranking import quantiles_of
 
 
 def _stack(one_row: DataFrame, names: Sequence[str], fields: Sequence[str], key: str = "column") -> DataFrame:
-    """Reshape a one-row frame holding ``{name}__{field}`` columns into one row per name."""
-    parts = []
-    for n in names:
-        parts.append(f"'{n}'")
-        parts += [f"`{n}__{f}`" for f in fields]
-    expr = f"stack({len(names)}, {', '.join(parts)}) AS ({key}, {', '.join(fields)})"
-    return one_row.selectExpr(expr)
+    """Reshape a one-row frame holding ``{place}__{field}`` columns, by the place of a name in
+    ``names``, into one row per name. Names may hold any character."""
+    rows = [
+        F.struct(F.lit(n).alias(key), *[F.col(f"{k}__{f}").alias(f) for f in fields]) for k, n in enumerate(names)
+    ]
+    return one_row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _col(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """A-27: null count and null percentage per column (NaN counts as null, as in pandas)."""
     cols = list(columns or df.columns)
     aggs = [F.count(F.lit(1)).alias("__rows")]
-    for c in cols:
-        t = df.schema[c].dataType.typeName()
-        miss = F.col(f"`{c}`").isNull()
-        if t in ("double", "float"):
-            miss = miss | F.isnan(F.col(f"`{c}`"))
-        aggs.append(F.sum(miss.cast("bigint")).alias(f"{c}__n_null"))
+    for k, c in enumerate(cols):
+        miss = _col(c).isNull()
+        if df.schema[c].dataType.typeName() in ("double", "float"):
+            miss = miss | F.isnan(_col(c))
+        aggs.append(F.sum(miss.cast("bigint")).alias(f"{k}__n_null"))
     one = df.agg(*aggs)
-    for c in cols:
-        one = one.withColumn(f"{c}__pct_null", F.col(f"{c}__n_null") / F.col("__rows") * F.lit(100.0))
+    for k in range(len(cols)):
+        one = one.withColumn(f"{k}__pct_null", F.col(f"{k}__n_null") / F.col("__rows") * F.lit(100.0))
     return _stack(one, cols, ["n_null", "pct_null"])
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A-29: count, mean, sample std, min, quartiles (exact, interpolated) and max per column."""
-    base = [
-        F.count(c).alias(f"{c}__count") for c in columns
-    ] + [F.avg(c).alias(f"{c}__mean") for c in columns] + [
-        F.stddev_samp(c).alias(f"{c}__std") for c in columns
-    ] + [F.min(c).cast("double").alias(f"{c}__min") for c in columns] + [
-        F.max(c).cast("double").alias(f"{c}__max") for c in columns
-    ]
-    stats = _stack(df.agg(*base), columns, ["count", "mean", "std", "min", "max"])
-    qs = None
-    for c in columns:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], names=["q25", "q50", "q75"]).withColumn("column", F.lit(c))
-        qs = q if qs is None else qs.unionByName(q)
-    return stats.join(qs, "column", "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    """A-29: count, mean, sample std, min, quartiles (exact, interpolated) and max per column: one
+    pass for the moments, one for the quartiles of all columns."""
+    makers = {"count": F.count, "mean": F.avg, "std": F.stddev_samp}
+    makers |= {"min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double")}
+    aggs = [make(_col(c)).alias(f"{k}__{f}") for k, c in enumerate(columns) for f, make in makers.items()]
+    stats = _stack(df.agg(*aggs), columns, list(makers))
+    quartiles = quantiles_of(df, columns, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+    return stats.join(quartiles, "column", "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def iqr_outliers(df: DataFrame, features: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
     """A-30: rows beyond q25 - 1.5 IQR or q75 + 1.5 IQR of a feature; a row is repeated
     once per feature it is an outlier on, with ``Outlier`` = that feature's name.
 
-    The bounds of every feature come from exact quantiles (one small row each) attached
-    as scalar subqueries, then one ``explode`` flags all features in a single pass.
+    The bounds of all features come from one pass of exact quantiles (a row a feature), joined to
+    the rows' (feature, value) pairs.
     """
-    out = df
-    flags = []
-    for f in features:
-        q = exact_quantiles(df, f, [0.25, 0.75], names=["q25", "q75"])
-        q25, q75 = q.select("q25").scalar(), q.select("q75").scalar()
-        iqr = q75 - q25
-        lo, hi = q25 - iqr * 1.5, q75 + iqr * 1.5
-        flags.append(F.when((F.col(f) < lo) | (F.col(f) > hi), F.lit(f)))
-    exploded = out.withColumn("Outlier", F.explode(F.array(*flags)))
-    return exploded.where(F.col("Outlier").isNotNull())
+    bounds = quantiles_of(df, features, [0.25, 0.75], ["q25", "q75"])
+    span = (F.col("q75") - F.col("q25")) * 1.5
+    bounds = bounds.select(F.col("column").alias("Outlier"), (F.col("q25") - span).alias("__lo"), (F.col("q75") + span).alias("__hi"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), _col(f).cast("double").alias("v")) for f in features]))
+    long = df.withColumn("__p", pairs)
+    out = long.join(bounds, F.col("__p.f") == F.col("Outlier"))
+    return out.where("__p.v < __lo or __p.v > __hi").drop("__p", "__lo", "__hi")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A-31: Pearson correlation of every pair (long form), one aggregation pass,
     rows with a null in any of the columns left out (as a dropna before the matrix)."""
     clean = df.dropna(subset=list(columns))
-    aggs = []
-    names = []
-    for a in columns:
-        for b in columns:
-            names.append(f"{a}|{b}")
-            aggs.append(F.corr(a, b).alias(f"{a}|{b}__corr"))
-    one = clean.agg(*aggs)
-    s = _stack(one, names, ["corr"], key="pair")
-    return s.select(F.split("pair", r"\|")[0].alias("col_a"), F.split("pair", r"\|")[1].alias("col_b"), "corr")
+    pairs = [(a, b) for a in columns for b in columns]
+    one = clean.agg(*[F.corr(_col(a), _col(b)).alias(str(k)) for k, (a, b) in enumerate(pairs)])
+    rows = [
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(str(k)).alias("corr"))
+        for k, (a, b) in enumerate(pairs)
+    ]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-# Value patterns accepted by the type ladder (order-free, Q-20 decision).
+# Value patterns accepted by the type inference (order-free, Q-20 decision).
 INT_PATTERN = r"^\s*[+-]?\d+(_\d+)*\s*$"
 FLOAT_PATTERN = (r"^\s*[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][+-]?\d+(_\d+)*)?|\d+(_\d+)*\.([eE][+-]?\d+)?"
                  r"|(?i:nan|inf|infinity))\s*$")
 
 
-def _type_flags(c: Column, name: str) -> list[Column]:
+def _type_flags(c: Column, name: int) -> list[Column]:
     s = c.cast("string")
     present = s.isNotNull()
     return [
@@ -113,8 +104,8 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     non-null value (as text), from one aggregation pass over all columns."""
     cols = list(columns or df.columns)
     aggs = []
-    for c in cols:
-        aggs += _type_flags(F.col(f"`{c}`"), c)
+    for k, c in enumerate(cols):
+        aggs += _type_flags(_col(c), k)
     one = df.agg(*aggs)
     st = _stack(one, cols, ["is_int", "is_float", "is_json", "max_len"])
     sql_type = (

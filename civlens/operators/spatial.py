@@ -8,9 +8,8 @@ Point-in-polygon assignment without a nested-loop join:
      whose bounds and ring test accept the point is picked with ``filter(...)[0]``.
 
 Step 3 is a projection after a join that never fans out (one row per cell), so no
-shuffle on the point side is needed to pick the match. The per-cell table is broadcast
-only when its row count is checked under a bound; above it the join is a shuffle join
-on the cell key and AQE splits skewed cells.
+further shuffle is needed to pick the match. The join on the cell key is planned by Spark
+(a small cell table is broadcast, skewed cells of a large one are split).
 """
 
 from __future__ import annotations
@@ -22,9 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civlens.functions import geo
-from civlens.operators.joins import broadcast_if_small
 
-CELL_ROWS_BROADCAST_LIMIT = 1_000_000
 
 
 def polygon_cells(
@@ -48,9 +45,7 @@ def polygon_cells(
 
 def _join_cells(df: DataFrame, cells: DataFrame, cx: Column, cy: Column, how: str) -> DataFrame:
     keyed = df.withColumn("__cx", cx).withColumn("__cy", cy)
-    cells = broadcast_if_small(
-        cells.withColumnRenamed("cx", "__cx").withColumnRenamed("cy", "__cy"), CELL_ROWS_BROADCAST_LIMIT
-    )
+    cells = cells.withColumnRenamed("cx", "__cx").withColumnRenamed("cy", "__cy")
     return keyed.join(cells, ["__cx", "__cy"], how)
 
 
@@ -204,7 +199,7 @@ def line_length_in_polygons(
     hits = j.select(line_key, "__ln", F.explode("cands").alias("h")).withColumn("__hr", F.col("h.rank"))
     hits = hits.dropDuplicates([line_key, "__hr"])
     hits = hits.withColumn("__len", geo.clipped_length(F.col("__ln"), F.col("h.__pg"), F.col("h.__pe")))
-    hits = hits.where(F.col("__len") > 1e-9)
+    hits = hits.where(F.col("__len") > 0)
     chooser = F.max_by if pick == "last" else F.min_by
     keep = F.struct(*[F.col("h")[c].alias(c) for c in payload], F.col("__len").alias("len"))
     best = hits.groupBy(line_key).agg(chooser(keep, F.col("__hr")).alias("__hit"))

@@ -3,9 +3,9 @@
 Rules used here:
   * a window without ``partitionBy`` runs in one task, so it is applied only to grouped
     results whose size is bounded by the calendar (years, months, days x districts);
-  * per-key choices over raw rows (dedup, top-1) are aggregations (``max_by``/``min_by``)
-    with map-side partial aggregation, not windows, so a hot key never lands whole in
-    one task;
+  * per-key choices over raw rows (dedup, top-1) are ``row_number() == 1`` windows, which Spark
+    also limits per key before the shuffle (WindowGroupLimit), so that a hot key sends one
+    row a task;
   * duplicate flags come from a grouped count joined back, for the same reason.
 """
 
@@ -16,8 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civlens.operators.joins import broadcast_if_small
-
 
 def lag_change(
     df: DataFrame,
@@ -46,14 +44,13 @@ def top_value_per_group(
     count_col: str = "count",
     out: str = "top_category",
 ) -> DataFrame:
-    """W-04: the value with the highest count in each group, broadcast to the group's rows.
+    """W-04: the value with the highest count in each group, on each of the group's rows.
 
-    Ties are broken by the smallest value (Q-10). The best value per group is a
-    ``max_by`` aggregate (map-side combined) joined back on the group keys.
+    Ties are broken by the smallest value (Q-10). ``counts`` is a grouped result, so one window
+    over it reads the facts once.
     """
-    rank = F.struct((-F.col(count_col)).alias("c"), F.col(value_col).alias("v"))
-    best = counts.groupBy(*keys).agg(F.min_by(F.col(value_col), rank).alias(out))
-    return counts.join(broadcast_if_small(best), on=list(keys), how="left")
+    w = Window.partitionBy(*keys).orderBy(F.col(count_col).desc(), F.col(value_col))
+    return counts.withColumn(out, F.first(value_col).over(w))
 
 
 def lead_features(
@@ -85,12 +82,11 @@ def lead_features(
 def dedup_keep_last(df: DataFrame, key: str, seq: str) -> DataFrame:
     """W-06: one row per key, the one with the largest ``seq`` (the last in source order).
 
-    ``max_by(struct(row), seq)`` is a hash aggregate with partial aggregation: each map
-    task reduces a hot key to one row before the shuffle.
+    Each map task keeps one row of a key before the shuffle (WindowGroupLimit).
     """
-    others = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(seq)).alias("__row"))
-    return picked.select(key, *[F.col(f"__row.{c}").alias(c) for c in others])
+    w = Window.partitionBy(key).orderBy(F.col(seq).desc())
+    columns = [key, *[c for c in df.columns if c != key]]
+    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(*columns)
 
 
 def mark_duplicates(df: DataFrame, keys: Sequence[str], out: str = "is_dup") -> DataFrame:
@@ -109,30 +105,33 @@ def choose_version(
     keep_all: bool = False,
 ) -> DataFrame:
     """W-08: among rows sharing ``key``: when some rows ended before ``cutoff`` drop
-    those; otherwise keep the row with the earliest start. ``keep_all`` reproduces Q-15
-    (nothing dropped)."""
+    those; otherwise keep the row with the earliest start, one of equal ones (the first by its
+    other columns). ``keep_all`` reproduces Q-15 (nothing dropped)."""
     if keep_all:
         return df
+    rest = [c for c in df.columns if c not in (key, start)]
+    row = F.struct(F.col(start).isNull().alias("__none"), start, *rest)
     stats = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("__n"),
         F.max((F.col(end) < F.lit(cutoff).cast("date")).cast("int")).alias("__any_ended"),
-        F.min(start).alias("__first_start"),
+        F.min(row).alias("__first"),
     )
     j = df.join(stats, on=key, how="inner")
     ended = F.coalesce(F.col(end) < F.lit(cutoff).cast("date"), F.lit(False))
     keep = (F.col("__n") == 1) | (
-        F.when(F.col("__any_ended") == 1, ~ended).otherwise(F.col(start) == F.col("__first_start"))
+        F.when(F.col("__any_ended") == 1, ~ended).otherwise(row.eqNullSafe(F.col("__first")))
     )
-    return j.where(keep).drop("__n", "__any_ended", "__first_start")
+    return j.where(keep).drop("__n", "__any_ended", "__first")
 
 
 def top1_by(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Sequence[str], desc: bool = True) -> DataFrame:
     """W-10: first row per group after sorting by ``order_col``."""
-    pick = F.max_by if desc else F.min_by
-    row = F.struct(*[F.col(c) for c in value_cols])
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    out = g.agg(pick(row, F.col(order_col)).alias("__r"))
-    return out.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in value_cols])
+    order = F.col(order_col).desc() if desc else F.col(order_col).asc()
+    names = list(dict.fromkeys([*keys, *value_cols]))
+    if not keys:
+        return df.orderBy(order).select(*names).limit(1)
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(*names)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

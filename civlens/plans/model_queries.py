@@ -42,8 +42,8 @@ def m02_one_hot_drop_first(spark, d):
     """M-02: day-of-week and month one-hot columns, first present level dropped."""
     r = tables.reports(spark, d).select("id_dmr", dates.day_of_week_monday0(F.col("date_input")).alias("dayofweek"),
                                         F.month("date_input").alias("month"))
-    r = FE.one_hot_drop_first(r, "dayofweek")
-    r = FE.one_hot_drop_first(r, "month")
+    r = FE.one_hot_drop_first(r, "dayofweek", list(range(7)))
+    r = FE.one_hot_drop_first(r, "month", list(range(1, 13)))
     return r.drop("dayofweek", "month")
 
 
@@ -114,31 +114,37 @@ def m10_standard_scale(spark, d):
     return ML.standard_apply(r, stats, ["lon", "lat"]).select("id_dmr", "lon", "lat")
 
 
-@register("m07_sample_quarter", "SELECT CAST(round(COUNT(*) * 0.25) AS BIGINT) AS n_sampled FROM orders")
+def _hash_sql(seed, key):
+    return f"('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 15))::BIGINT"
+
+
+@register("m07_sample_quarter", f"""
+SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {_hash_sql(11, 'o_orderkey')}) AS r,
+                               COUNT(*) OVER () AS n FROM orders)
+WHERE r <= floor(n * 0.25)""")
 def m07_sample_quarter(spark, d):
-    """M-07: exact-size random quarter of the rows (hash order, distributed rank)."""
-    o = rt(spark, d, "orders")
-    return ML.sample_fraction(o, "o_orderkey", 0.25, seed=11).agg(F.count(F.lit(1)).alias("n_sampled"))
+    """M-07: exact-size random quarter of the rows (hash order)."""
+    return ML.sample_fraction(rt(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.25, seed=11)
 
 
-@register("m08_split_data", """
-SELECT 'test' AS split, CAST(ceil(COUNT(*) * 0.25) AS BIGINT) AS count FROM orders
-UNION ALL SELECT 'train', COUNT(*) - CAST(ceil(COUNT(*) * 0.25) AS BIGINT) FROM orders""")
+@register("m08_split_data", f"""
+SELECT CASE WHEN r <= ceil(n * 0.25) THEN 'test' ELSE 'train' END AS split, o_orderkey
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {_hash_sql(3, 'o_orderkey')}) AS r,
+             COUNT(*) OVER () AS n FROM orders)""")
 def m08_split_data(spark, d):
-    """M-08: exact-size 75/25 shuffle split, sizes reported."""
+    """M-08: exact-size 75/25 shuffle split."""
     o = rt(spark, d, "orders").select("o_orderkey")
     train, test = ML.split_data(o, "o_orderkey", 0.25, seed=3)
-    return train.select(F.lit("train").alias("split")).unionByName(test.select(F.lit("test").alias("split"))).groupBy(
-        "split").agg(F.count(F.lit(1)).alias("count"))
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
-@register("m12_downsample", """
-WITH c AS (SELECT label, COUNT(*) AS n FROM embeddings GROUP BY label)
-SELECT CAST(label AS BIGINT) AS label, (SELECT MIN(n) FROM c) AS count FROM c""")
+@register("m12_downsample", f"""
+SELECT CAST(label AS BIGINT) AS label, vec_id
+FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {_hash_sql(5, 'vec_id')}) AS r FROM embeddings)
+WHERE r <= (SELECT MIN(n) FROM (SELECT COUNT(*) AS n FROM embeddings GROUP BY label))""")
 def m12_downsample(spark, d):
     """M-12: every class sampled down to the smallest class size."""
-    e = rt(spark, d, "embeddings").select("vec_id", "label")
-    return ML.downsample(e, "label", "vec_id", seed=5).groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+    return ML.downsample(rt(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", seed=5)
 
 
 _CM_SQL = "WITH cc AS (SELECT quality AS label, toxic AS pred, COUNT(*) AS n FROM labels GROUP BY 1, 2),\n" \
@@ -239,7 +245,7 @@ def m19_grid_search(spark, d):
 def m18_stacking(spark, d):
     """M-18: stacked forest + linear SVC -> logistic regression; test predictions."""
     train, test = _embedding_split(spark, d)
-    out = ML.stacking(train, test)
+    out = ML.stacking(train, test, "vec_id")
     return _predictions_from(out)
 
 

@@ -12,14 +12,14 @@ rt = tables.read_table
 
 
 def _doc_labels(spark, d):
-    doc = rt(spark, d, "documents").select("doc_id", "lang")
+    doc = rt(spark, d, "documents")
     return doc.join(rt(spark, d, "labels"), "doc_id", "left")
 
 
-_NULL_COLS = ["doc_id", "lang", "quality", "toxic"]
+_NULL_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 
 
-@register("a27_null_profile", "WITH t AS (SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d "
+@register("a27_null_profile", "WITH t AS (SELECT d.*, l.quality, l.toxic FROM documents d "
           "LEFT JOIN labels l ON d.doc_id = l.doc_id)\n" + "\nUNION ALL\n".join(
               f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS n_null, "
               f"round((COUNT(*) - COUNT({c})) / COUNT(*) * 100.0, 6) AS pct_null FROM t" for c in _NULL_COLS))
@@ -28,7 +28,8 @@ def a27_null_profile(spark, d):
     return Q.null_profile(_doc_labels(spark, d), _NULL_COLS)
 
 
-_DESC_COLS = ["l_quantity", "l_discount", "l_tax"]
+# All numeric columns of the table.
+_DESC_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @register("a29_describe", "\nUNION ALL\n".join(
@@ -40,7 +41,8 @@ def a29_describe(spark, d):
     return Q.describe(rt(spark, d, "lineitem"), _DESC_COLS)
 
 
-_OUT_FEATURES = ["value", "user_id"]
+# All numeric columns of the table.
+_OUT_FEATURES = ["event_id", "user_id", "value"]
 
 
 @register("a30_iqr_outliers", "\nUNION ALL\n".join(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from civlens.functions import dates, geo, text
 from civlens.operators import aggregates as A
 from civlens.operators import windows as W
-from civlens.operators.joins import broadcast_if_small
 from civlens.plans.catalog import register
 from civlens.sources import tables
 from civlens.sources.tables import REPORT_LINES_SQL, REPORTS_SQL, with_ctes
@@ -319,7 +318,7 @@ def a22_rollup_postcodes(spark, d):
     pop = cust.groupBy(F.col("c_nationkey").cast("bigint").alias("quartier_id")).agg(
         F.count(F.lit(1)).alias("population"))
     dist = tables.districts(spark, d).select("quartier_id", geo.area(F.col("geometry")).alias("surface_km2"))
-    pop = pop.join(broadcast_if_small(dist), "quartier_id", "inner")
+    pop = pop.join(dist, "quartier_id", "inner")
     pop = pop.withColumn("density", F.col("population") / F.col("surface_km2"))
     return A.roll_up_rows(pop, "quartier_id", [0, 1, 2, 3], -1, ["population", "surface_km2"],
                           {"density": ("population", "surface_km2")})

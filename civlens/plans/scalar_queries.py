@@ -458,10 +458,11 @@ v AS (SELECT l_orderkey AS arc, l_linenumber AS version, CAST(l_shipdate AS DATE
 
 
 @register("w08_choose_version", with_ctes(_VERSIONS_SQL, """
-s AS (SELECT arc, COUNT(*) AS n, MAX(CAST(fin < DATE '1999-01-01' AS INTEGER)) AS any_ended, MIN(start) AS first_start
+s AS (SELECT arc, COUNT(*) AS n, MAX(CAST(fin < DATE '1999-01-01' AS INTEGER)) AS any_ended,
+             MIN({'a': start, 'b': version, 'c': fin}) AS first_row
       FROM v GROUP BY arc)""") + """
 SELECT v.arc, CAST(v.version AS BIGINT) AS version FROM v JOIN s USING (arc)
-WHERE s.n = 1 OR (CASE WHEN s.any_ended = 1 THEN NOT (v.fin < DATE '1999-01-01') ELSE v.start = s.first_start END)""")
+WHERE s.n = 1 OR (CASE WHEN s.any_ended = 1 THEN NOT (v.fin < DATE '1999-01-01') ELSE {'a': v.start, 'b': v.version, 'c': v.fin} = s.first_row END)""")
 def w08_choose_version(spark, d):
     """W-08: per duplicated arc drop versions ended before the cutoff, else keep the earliest."""
     li = rt(spark, d, "lineitem")
@@ -511,9 +512,7 @@ FROM supplier GROUP BY 1""")
 def a20_a21_sum_mean_by_district(spark, d):
     """A-20 / A-21: sum and mean per district."""
     s = rt(spark, d, "supplier").withColumnRenamed("s_nationkey", "quartier_id")
-    total = A.sum_by(s, ["quartier_id"], ["s_acctbal"])
-    mean = A.mean_by(s, ["quartier_id"], ["s_acctbal"]).withColumnRenamed("s_acctbal", "mean_acctbal")
-    return total.join(mean, "quartier_id")
+    return s.groupBy("quartier_id").agg(F.sum("s_acctbal").alias("s_acctbal"), F.avg("s_acctbal").alias("mean_acctbal"))
 
 
 # Fixed role: the five event types in sorted order stand for traffic states 0..4.
@@ -526,13 +525,18 @@ SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, user_id,
        COUNT(*) FILTER (WHERE event_type = 'error') AS etat_trafic_1,
        COUNT(*) FILTER (WHERE event_type = 'purchase') AS etat_trafic_2,
        COUNT(*) FILTER (WHERE event_type = 'signup') AS etat_trafic_3,
-       COUNT(*) FILTER (WHERE event_type = 'view') AS etat_trafic_4
+       COUNT(*) FILTER (WHERE event_type = 'view') AS etat_trafic_4,
+       COUNT(*) FILTER (WHERE event_type IS NULL OR event_type NOT IN
+                        ('click', 'error', 'purchase', 'signup', 'view')) AS etat_other
 FROM events GROUP BY 1, 2""")
 def a23_pivot_states(spark, d):
     """A-23: pivot counts of states by (date, arc), zeros filled, renamed etat_trafic_i."""
     e = rt(spark, d, "events").select(F.to_date("ts").alias("date"), "user_id", "event_type")
-    p = A.pivot_count(e, ["date", "user_id"], "event_type", EVENT_STATES)
-    return p.withColumnsRenamed({s: f"etat_trafic_{i}" for i, s in enumerate(EVENT_STATES)})
+    known = F.coalesce(F.col("event_type").isin(EVENT_STATES), F.lit(False))
+    e = e.withColumn("event_type", F.when(known, F.col("event_type")).otherwise("other"))
+    p = A.pivot_count(e, ["date", "user_id"], "event_type", [*EVENT_STATES, "other"])
+    names = {s: f"etat_trafic_{i}" for i, s in enumerate(EVENT_STATES)}
+    return p.withColumnsRenamed(names | {"other": "etat_other"})
 
 
 @register("a24_sum_by_date_district", """
@@ -575,7 +579,8 @@ YEARS = list(range(1995, 2002))
 @register("a33_pivot_years_total", with_ctes(DETAILS_SQL, """
 p AS (SELECT category_FR, subcategory_FR,
 """ + ",\n".join(f"COUNT(*) FILTER (WHERE year(date_input) = {y}) AS \"{y}\"" for y in YEARS) + """,
-             COUNT(*) FILTER (WHERE year(date_input) BETWEEN 1995 AND 2001) AS "Total"
+             COUNT(*) FILTER (WHERE NOT coalesce(year(date_input) BETWEEN 1995 AND 2001, false)) AS other_years,
+             COUNT(*) AS "Total"
       FROM details GROUP BY 1, 2)""") + """
 SELECT *, round("Total" / SUM("Total") OVER (PARTITION BY category_FR) * 100.0, 6) AS share_in_category FROM p""")
 def a33_pivot_years_total(spark, d):

@@ -11,14 +11,6 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings this library relies on. Applied only where the session leaves them unset.
-DEFAULTS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-}
-
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "civlens") -> SparkSession:
     """Session for tests and local benchmarks."""
@@ -44,8 +36,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names; set a scratch one only if unset.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is.
-    The local fallback exists for tests on one machine only.
+    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is; without it
+    this raises. Only a local master, where driver and tasks are one machine, gets a scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -55,12 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="civlens-ckpt-")
     sc.setCheckpointDir(local)
     return local
-
-
-def apply_defaults(spark: SparkSession) -> None:
-    for key, value in DEFAULTS.items():
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)

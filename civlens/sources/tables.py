@@ -22,7 +22,6 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civlens.operators.joins import broadcast_if_small
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -58,7 +57,7 @@ def reports(spark: SparkSession, sf_dir: str, date_from: str | None = None) -> D
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     # customer is a large dimension at scale: a plain equi join, AQE picks the strategy.
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner").join(
-        broadcast_if_small(nation, 10_000), F.col("c_nationkey") == F.col("n_nationkey"), "inner"
+        nation, F.col("c_nationkey") == F.col("n_nationkey"), "inner"
     )
     return joined.select(
         F.col("o_orderkey").alias("id_dmr"),

@@ -185,10 +185,43 @@ def test_rank_and_quantiles_match_pandas(spark):
         assert q.loc[g, "a"] == pytest.approx(grp.v.quantile(0.1))
         assert q.loc[g, "b"] == pytest.approx(grp.v.quantile(0.5))
         assert q.loc[g, "c"] == pytest.approx(grp.v.quantile(0.9))
-    r = RK.rank_within(df, ["v"], ["g"]).toPandas()
-    for _, grp in r.groupby("g"):
-        assert sorted(grp["rank"]) == list(range(len(grp)))
-        assert list(grp.sort_values("v")["rank"]) == list(range(len(grp)))
+def test_quantiles_with_ties_nulls_and_many_columns(spark):
+    random.seed(2)
+    pdf = pd.DataFrame({"a": [float(random.randrange(9)) for _ in range(5000)], "b'x|": [random.random() for _ in range(5000)]})
+    pdf.loc[::7, "a"] = None
+    df = spark.createDataFrame(pdf).repartition(8)
+    got = RK.quantiles_of(df, ["a", "b'x|"], [0.0, 0.25, 0.5, 1.0], ["p0", "p25", "p50", "p100"]).toPandas().set_index("column")
+    for c in pdf:
+        for name, p in (("p0", 0), ("p25", 0.25), ("p50", 0.5), ("p100", 1)):
+            assert got.loc[c, name] == pytest.approx(pdf[c].quantile(p))
+
+
+def test_tied_values_are_one_row_before_the_window(spark):
+    """9 distinct values of many rows: what is dealt out after counting is one row a value."""
+    df = spark.range(20000).selectExpr("id", "cast(id % 9 as double) v")
+    counts = df.groupBy(F.struct(F.lit("v").alias("column")).alias("g"), F.col("v")).agg(F.count("*").alias("n"))
+    ranks = {r.v: (r.before, r.total) for r in RK.value_ranks(counts).collect()}
+    assert len(ranks) == 9 and {t for _, t in ranks.values()} == {20000}
+    assert [ranks[float(k)][0] for k in range(9)] == [sum(len(range(j, 20000, 9)) for j in range(k)) for k in range(9)]
+
+
+def test_samples_are_exact_and_repeatable(spark):
+    df = spark.range(1003).withColumn("g", F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 10 < 9, "b"))
+    for part in (1, 8):
+        train, test = ML.split_data(df.repartition(part), "id", 0.25, seed=3)
+        ids = sorted(r.id for r in test.collect())
+        assert len(ids) == 251 and train.count() == 752
+        sizes = {r.g: r["count"] for r in ML.downsample(df.repartition(part), "g", "id").groupBy("g").count().collect()}
+        assert sizes == {"a": 100, "b": 100, None: 100}
+    assert ML.sample_fraction(df.limit(6), "id", 0.25).count() == 1
+
+
+def test_names_with_an_apostrophe(spark):
+    df = spark.createDataFrame([(1, 2.0, "x"), (2, None, "y"), (4, 1.0, "z")], "`l'a` int, `b|c` double, `d``e` string")
+    assert {r["column"]: r.n_null for r in Q.null_profile(df).collect()} == {"l'a": 0, "b|c": 1, "d`e": 0}
+    assert {r["column"]: r["count"] for r in Q.describe(df, ["l'a", "b|c"]).collect()} == {"l'a": 3, "b|c": 2}
+    assert len(Q.correlation_matrix(df, ["l'a", "b|c"]).collect()) == 4
+    assert {r["column"] for r in Q.infer_types(df).collect()} == {"l'a", "b|c", "d`e"}
 
 
 def test_minmax_constant_column_is_zero(spark):

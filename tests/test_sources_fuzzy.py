@@ -93,20 +93,3 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.write_new_table(df, str(tmp_path / "n"))
     assert readers.etat_dimension(spark).count() == 12
-
-
-def test_streaming_ingest_matches_batch(spark, tmp_path):
-    from civlens.streaming.ingest import report_stream, start_ingest
-
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "event_type")
-    landing = str(tmp_path / "landing")
-    events.where("event_type = 'click'").write.parquet(landing + "/a")
-    events.where("event_type <> 'click'").write.parquet(landing + "/b")
-    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(landing)
-    q = start_ingest(stream, str(tmp_path / "table"), str(tmp_path / "daily"), str(tmp_path / "ckpt"),
-                     date_col="ts", once=True)
-    q.awaitTermination(120)
-    daily = {(str(r.date), r["count"]) for r in spark.read.parquet(str(tmp_path / "daily")).collect()}
-    want = {(str(r.date), r["count"]) for r in events.groupBy(F.to_date("ts").alias("date")).count().collect()}
-    assert daily == want
-    assert report_stream  # public entry point for parquet landing folders
