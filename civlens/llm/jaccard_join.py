@@ -47,6 +47,7 @@ HOT = 128
 #: Cost of checking a candidate, in generated ones.
 CHECK_COST = 4.0
 TILE = 64
+BITMAP_BITS = 1 << 23
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -147,20 +148,39 @@ def class_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def bitmap_of(ids, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap of the hashes of the column values ``ids`` (one column); at most bits / 64 words, one
+    row each, reach the driver, however many values there are."""
+    place = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(bits))
+    words = ids.select((place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("b"))).alias("v")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["w"].to_numpy(int)] = rows["v"].to_numpy(np.int64)
+    return out
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(cid, n, elements) of the classes ``wanted`` (cid, doc_id): six bytes an element, sorted."""
-    own = docs.select("doc_id", "text").alias("d").join(
-        wanted.select("doc_id").distinct().alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi"
-    )
+    """(cid, n, elements) of the classes ``wanted`` (cid, doc_id): six bytes an element, sorted.
 
-    def run(pdfs):
-        for pdf in slices(pdfs):
-            rows = []
-            for s in shingle_sets([t or "" for t in pdf["text"]], rule.n):
-                rows.append((set_key(s), len(s), np.ascontiguousarray(s.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
-            yield pd.DataFrame(rows, columns=["cid", "n", "elements"])
+    Texts aren't shuffled: tasks skip the documents whose doc_id isn't in a bitmap of fixed size.
+    What it lets pass by chance is dropped by class; a full one only costs time.
+    """
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(id_key)))
+    place = F.pmod(F.xxhash64(id_key), F.lit(BITMAP_BITS))
 
-    made = own.select("text").mapInPandas(run, "cid long, n int, elements binary")
+    def run(pdfs):
+        for pdf in pdfs:
+            at = pdf["at"].to_numpy(np.int64)
+            kept = pdf["text"][(bitmap.value[at >> 6] >> (at & 63)) & 1 == 1].tolist()
+            for a in range(0, len(kept), 512):
+                rows = []
+                for s in shingle_sets([t or "" for t in kept[a : a + 512]], rule.n):
+                    six = np.ascontiguousarray(s.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+                    rows.append((set_key(s), len(s), six.tobytes()))
+                yield pd.DataFrame(rows, columns=["cid", "n", "elements"])
+
+    made = docs.select(place.alias("at"), "text").mapInPandas(run, "cid long, n int, elements binary")
     return made.join(wanted.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
 
 
