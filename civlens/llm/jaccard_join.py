@@ -312,6 +312,8 @@ def heavy_prefixes(sets: DataFrame, heavy: DataFrame, rule: Rule) -> DataFrame:
             yield pd.DataFrame({"cid": np.repeat(pdf["cid"], lens), "n": np.repeat(pdf["n"], lens), "token": np.concatenate(tokens)})
 
     own = sets.join(heavy.select("cid"), "cid", "left_semi")
+    # dealt out evenly: these classes come from few files
+    own = own.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tokens = written(own.mapInPandas(explode, "cid long, n int, token long"), "join-heavy")
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (
