@@ -153,7 +153,7 @@ def bitmap_of(ids, bits: int = BITMAP_BITS) -> np.ndarray:
     row each, reach the driver, however many values there are."""
     place = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(bits))
     words = ids.select((place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("b"))).alias("v")).toPandas()
+    rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[rows["w"].to_numpy(int)] = rows["v"].to_numpy(np.int64)
     return out
