@@ -201,12 +201,19 @@ def _edges_cross_any(line: Column, mp: Column) -> Column:
 
 
 def polygon_within(inner: Column, outer: Column) -> Column:
-    """SP-03: every vertex of ``inner`` is inside or on ``outer`` and no edge of ``inner``
-    properly crosses an edge of ``outer``."""
-    verts = F.flatten(F.flatten(inner))
-    all_in = F.forall(verts, lambda v: contains_point(outer, v["x"], v["y"], strict=False))
-    no_cross = ~F.exists(_all_rings(inner), lambda r: _edges_cross_any(r, outer))
-    return all_in & no_cross
+    """SP-03: no part of ``inner`` lies outside ``outer``: each of its rings runs inside or on the
+    border all along, and no hole of ``outer`` has a corner strictly inside it."""
+    edges = polygon_edges(outer)
+
+    def runs_inside(ring):
+        length = line_length(ring)
+        return clipped_length(ring, outer, edges) >= length * (1 - 1e-9)
+
+    holes = F.flatten(F.transform(outer, lambda poly: F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0)))))
+    corners = F.flatten(holes)
+    return F.forall(_all_rings(inner), runs_inside) & ~F.exists(
+        corners, lambda v: contains_point(inner, v["x"], v["y"], strict=True)
+    )
 
 
 def polygons_intersect(a: Column, b: Column) -> Column:
@@ -355,19 +362,19 @@ def geojson_to_multipolygon(txt: Column) -> Column:
     )
 
 
-def geojson_to_line(txt: Column) -> Column:
-    """GeoJSON LineString -> line; MultiLineString -> its parts concatenated."""
+def geojson_to_lines(txt: Column) -> Column:
+    """GeoJSON LineString or MultiLineString -> ARRAY<line>; null otherwise."""
     t = geojson_type(txt)
     coords = F.get_json_object(txt, "$.coordinates")
     return (
-        F.when(t == "LineString", _to_pts(F.from_json(coords, "array<array<double>>")))
-        .when(t == "MultiLineString", F.flatten(F.transform(F.from_json(coords, "array<array<array<double>>>"), _to_pts)))
+        F.when(t == "LineString", F.array(_to_pts(F.from_json(coords, "array<array<double>>"))))
+        .when(t == "MultiLineString", F.transform(F.from_json(coords, "array<array<array<double>>>"), _to_pts))
     )
 
 
-def geojson_point(txt: Column) -> Column:
-    c = F.from_json(F.get_json_object(txt, "$.coordinates"), "array<double>")
-    return F.when(geojson_type(txt) == "Point", F.struct(F.get(c, 0).alias("x"), F.get(c, 1).alias("y")))
+def lines_length(lines: Column) -> Column:
+    """Sum of the lengths of the parts; nothing between them counts."""
+    return F.aggregate(F.transform(lines, line_length), F.lit(0.0), lambda a, b: a + b)
 
 
 def _fmt(v: Column) -> Column:
@@ -393,26 +400,18 @@ def point_to_wkt(x: Column, y: Column) -> Column:
     return F.concat(F.lit("POINT ("), _fmt(x), F.lit(" "), _fmt(y), F.lit(")"))
 
 
-def line_to_wkt(line: Column) -> Column:
-    return F.concat(F.lit("LINESTRING ("), _wkt_coords(line), F.lit(")"))
-
-
-def wkt_point(txt: Column) -> Column:
-    """SP-14 read: POINT (x y) -> struct(x, y); null when not a point."""
-    m = r"^\s*POINT\s*\(\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)\s*\)\s*$"
-    return F.when(txt.rlike(m), F.struct(
-        F.regexp_extract(txt, m, 1).cast("double").alias("x"),
-        F.regexp_extract(txt, m, 2).cast("double").alias("y")))
-
-
 def wkt_polygon(txt: Column) -> Column:
-    """SP-14 read: POLYGON ((..), (..)) -> multipolygon of one polygon."""
-    body = F.regexp_extract(txt, r"^\s*POLYGON\s*\(\s*(.*)\s*\)\s*$", 1)
-    rings = F.split(F.regexp_replace(body, r"^\(|\)$", ""), r"\)\s*,\s*\(")
-    ring = lambda r: F.transform(F.split(F.trim(r), r"\s*,\s*"), lambda s: F.struct(
-        F.split(F.trim(s), r"\s+")[0].cast("double").alias("x"),
-        F.split(F.trim(s), r"\s+")[1].cast("double").alias("y")))
-    return F.when(txt.rlike(r"^\s*POLYGON\s*\("), F.array(F.transform(rings, ring)))
+    """SP-14 read: POLYGON or MULTIPOLYGON text -> multipolygon; null otherwise."""
+    kind = F.upper(F.regexp_extract(txt, r"^\s*(\w+)", 1))
+    number = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
+    pairs = F.regexp_replace(F.regexp_replace(txt, r"^\s*\w+\s*", ""), rf"({number})\s+({number})", "[$1,$2]")
+    coords = F.translate(pairs, "()", "[]")
+    poly = F.from_json(coords, "array<array<array<double>>>")
+    mpoly = F.from_json(coords, "array<array<array<array<double>>>>")
+    return (
+        F.when(kind == "POLYGON", F.array(F.transform(poly, _to_pts)))
+        .when(kind == "MULTIPOLYGON", F.transform(mpoly, lambda p: F.transform(p, _to_pts)))
+    )
 
 
 def multipolygon_to_geojson(mp: Column) -> Column:

@@ -74,8 +74,8 @@ def first_of_list(c: Column, sep: str = ";") -> Column:
 
 
 def normalise_apostrophes(c: Column) -> Column:
-    """T-10: typographic apostrophes to ASCII."""
-    return F.translate(c, "’‘´`", "''''")
+    """T-10: the typographic apostrophe to ASCII."""
+    return F.translate(c, "’", "'")
 
 
 def is_ascii(c: Column) -> Column:

@@ -3,8 +3,8 @@
 read -> standardise names -> parse dates (layout chosen per file) -> dedup (keep last)
 -> bounding-box filter -> district assignment (grid join) -> sub-category split,
 category translation, schema alignment -> fuzzy sub-category correction -> typed,
-year-partitioned write. Shuffles: dedup on ``id_dmr``, the spatial cell join (broadcast
-when the cell table is small), the distinct-pair fuzzy join and its join back.
+year-partitioned write. Shuffles: dedup on ``id_dmr``, the spatial cell join, the
+distinct-pair fuzzy join and its join back.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def clean_reports(
     raw: DataFrame,
     districts: DataFrame,
     official_subcategories: DataFrame,
-    bbox: Sequence[float] = P.DEFAULT_BBOX,
+    bbox: Sequence[float] = P.CITY_BBOX,
     cell: float = 0.005,
     seq: str = "_seq",
 ) -> DataFrame:
@@ -69,12 +69,16 @@ def clean_reports(
     df = parse_report_dates(df)
     df = W.dedup_keep_last(df, "id_dmr", seq)
     df = P.bbox_filter(df, bbox, keep_null=True)
+    if "code_postal_id" not in df.columns:
+        df = df.withColumn("code_postal_id", F.lit(None).cast("string"))
     df = S.assign_points(df, districts, ["quartier_id", "code_postal_id"], cell=cell, how="left")
     df = df.withColumn("quartier_id", F.col("poly_quartier_id").cast("string")).withColumn(
         "code_postal_id", F.coalesce(F.col("poly_code_postal_id").cast("string"), F.col("code_postal_id")))
     st = text.parse_soustype(F.col("soustype"))
     df = df.withColumn("subcategory_FR", st["main"]).withColumn("extrainfo", st["extra"])
     df = df.withColumn("category_FR", text.utrim(F.col("category_FR")))
+    # a report without a district's postcode or without a category leaves the table
+    df = df.where("code_postal_id is not null and category_FR is not null")
     df = df.withColumn("category_EN", text.translate_category(F.col("category_FR")))
     df = correct_subcategories(df, official_subcategories)
     return P.pad_columns(df, CLEAN_SCHEMA).withColumn("year", F.year("date_input"))

@@ -299,3 +299,41 @@ def test_line_length_in_polygons_pick(spark):
     assert last[7][0] == 2 and last[7][1] == pytest.approx(0.8)
     assert first[7][0] == 1 and first[7][1] == pytest.approx(0.5)
     assert last[8] == (None, None)
+
+
+def _shape(*polygons):
+    """Multipolygon literal from rings of corner pairs."""
+    def ring(points):
+        return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in [*points, points[0]]])
+    return F.array(*[F.array(*[ring(r) for r in rings]) for rings in polygons])
+
+
+def test_within_sees_holes_and_notches(spark):
+    square = [(0, 0), (4, 0), (4, 4), (0, 4)]
+    hole = [(1, 1), (3, 1), (3, 3), (1, 3)]
+    ell = [(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)]
+    small = [(0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)]
+    cases = [
+        (_shape([small]), _shape([square]), True), (_shape([square]), _shape([square]), True),
+        (_shape([[(0.5, 0.5), (3.5, 0.5), (3.5, 3.5), (0.5, 3.5)]]), _shape([square, hole]), False),
+        (_shape([small]), _shape([square, hole]), True),
+        (_shape([[(4, 1), (4, 2), (2, 4)]]), _shape([ell]), False),
+        (_shape([[(0, 0), (4, 0), (0, 4)]]), _shape([ell]), True),
+        (_shape([small], [[(9, 9), (9.5, 9), (9, 9.5)]]), _shape([square]), False),
+        (_shape([small], [[(9, 9), (9.5, 9), (9, 9.5)]]), _shape([square], [[(8, 8), (10, 8), (10, 10), (8, 10)]]), True),
+    ]
+    row = spark.range(1).select(*[geo.polygon_within(a, b).alias(str(k)) for k, (a, b, _) in enumerate(cases)]).first()
+    assert [bool(v) for v in row] == [w for *_, w in cases]
+
+
+def test_multi_part_lines_and_wkt(spark):
+    text = F.lit('{"type": "MultiLineString", "coordinates": [[[0, 0], [0, 1]], [[10, 1], [10, 2]]]}')
+    two = _shape([[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)]], [[(8, 8), (9.5, 8), (8, -1e-3)]])
+    one = _shape([[(0, 0), (1, 0), (0, 1)]])
+    row = spark.range(1).select(
+        geo.lines_length(geo.geojson_to_lines(text)).alias("n"),
+        (geo.wkt_polygon(geo.multipolygon_to_wkt(two)) == two).alias("two"),
+        (geo.wkt_polygon(geo.multipolygon_to_wkt(one)) == one).alias("one"),
+        geo.wkt_polygon(F.lit("POINT (1 2)")).isNull().alias("point"),
+    ).first()
+    assert (row.n, row.two, row.one, row.point) == (2.0, True, True, True)

@@ -87,9 +87,50 @@ def test_sinks(spark, tmp_path):
     sinks.write_typed_table(df, str(tmp_path / "t"), schema, varchar_limits={"s": 5})
     back = spark.read.parquet(str(tmp_path / "t"))
     assert sorted((r.s, r.year) for r in back.collect()) == [("a", 2021), ("bb", 2022)]
-    with pytest.raises(ValueError):
-        sinks.check_lengths(df, {"s": 1})
+    with pytest.raises(Exception, match="longer than 1"):
+        sinks.write_typed_table(df, str(tmp_path / "t2"), schema, varchar_limits={"s": 1})
     sinks.write_new_table(df, str(tmp_path / "n"))
     with pytest.raises(Exception):
         sinks.write_new_table(df, str(tmp_path / "n"))
     assert readers.etat_dimension(spark).count() == 12
+
+
+def test_yearly_files_with_different_headers_to_clean_table(spark, tmp_path):
+    """CSV to partitioned Parquet: other headers by year, a Latin-1 file, a folder with a space, a
+    quoted line break, a repeated id (the last row counts), a report without a postcode."""
+    from civlens.plans.cleaning import CLEAN_SCHEMA, clean_reports
+
+    folder = tmp_path / "années brutes"
+    folder.mkdir()
+    (folder / "DMR_2020.csv").write_bytes(
+        "\ufeffID_DMR;TYPE;SOUSTYPE;DATEDECL;X;Y;OID_\n1;Propreté;Déchets;2020-03-01 10:00:00;2,3;48,85;9\n"
+        "2;Propreté;Déchets;2020-03-02 10:00:00;9,9;48,85;9\n".encode()
+    )
+    (folder / "DMR_2021.csv").write_bytes(
+        'ID_DMR;TYPE;SOUSTYPE;ADRESSE;DATEDECL;ETAT;X;Y\n3;Propreté;Déchets;"1 rue\nhaute";04/05/2021 10:00;Nouveau;2,3;48,86\n'
+        "4;Eau;Fuite;x;04/05/2021 11:00;Nouveau;;\n".encode("latin-1")
+    )
+    (folder / "DMR_2022.csv").write_bytes(
+        "ID_DMR;TYPE;SOUSTYPE;ADRESSE;DATEDECL;ETAT;X;Y\n3;Propreté;dechets;b;01/01/2022 09:00:00;Rejeté;2,3;48,86\n".encode()
+    )
+    raw = readers.read_delimited(spark, str(folder / "*.csv"), numeric=["X", "Y"], quoted_newlines=True)
+    got = {r.ID_DMR + r._file_name: r for r in raw.collect()}
+    assert got["1DMR_2020.csv"].ETAT is None and got["1DMR_2020.csv"].X == 2.3
+    assert got["3DMR_2021.csv"].ADRESSE == "1 rue\nhaute" and got["3DMR_2021.csv"].TYPE == "Propreté"
+    ring = "array(array(array(struct(2.2D as x, 48.8D as y), struct(2.4D as x, 48.8D as y), struct(2.4D as x, 48.9D as y), struct(2.2D as x, 48.9D as y), struct(2.2D as x, 48.8D as y))))"
+    districts = spark.range(1).selectExpr("'q1' quartier_id", "'75001' code_postal_id", f"{ring} geometry")
+    official = spark.createDataFrame([("Propreté", "Déchets")], "category_FR string, name_FR string")
+    cleaned = clean_reports(raw, districts, official)
+    sinks.write_typed_table(cleaned, str(tmp_path / "clean"), CLEAN_SCHEMA, varchar_limits={"etat": 20})
+    back = {r.id_dmr: r for r in spark.read.parquet(str(tmp_path / "clean")).collect()}
+    assert set(back) == {"1", "3"}
+    assert (back["3"].year, back["3"].etat, back["3"].subcategory_FR) == (2022, "Rejeté", "Déchets")
+    assert (back["1"].quartier_id, back["1"].code_postal_id) == ("q1", "75001")
+
+
+def test_osm_members_without_geometry_are_skipped(spark, tmp_path):
+    osm = ('{"elements": [{"type": "relation", "id": 3, "tags": {"shop": "mall"}, "members": [{"lat": 1.0, "lon": 2.0},'
+           ' {"type": "way"}, {"geometry": [{"lat": 3.0, "lon": 4.0}, {"lat": 3.0, "lon": 4.0}]}]}]}')
+    (tmp_path / "m.json").write_text(osm)
+    row = readers.read_osm_elements(spark, str(tmp_path / "m.json"), "shop").first()
+    assert row.lat is not None and row.lon is not None and row.geometry is not None
