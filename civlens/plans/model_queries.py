@@ -64,21 +64,25 @@ def district_features(spark, d):
     return FE.per_area(out, ["number_shops", "pop_2021"], "surface_km2")
 
 
-@register("m27_district_features", with_ctes(GEOREF_SHOPS_SQL, _PARKING_SQL, """
+_FEATURES_SQL = """
 w AS (SELECT s_suppkey, floor(lon - h) AS x, floor(lat - h) AS y, lon, lat, h FROM pk),
 pw AS (SELECT CAST(x + 5 * y AS BIGINT) AS quartier_id FROM w
        WHERE x BETWEEN 0 AND 4 AND y BETWEEN 0 AND 4 AND lon + h <= x + 1 AND lat + h <= y + 1
          AND NOT (lon + h > x + 0.5 AND lat + h > y + 0.5)),
 sc AS (SELECT quartier_id, COUNT(id_) AS number_shops FROM shop_georef GROUP BY 1),
 po AS (SELECT CAST(c_nationkey AS BIGINT) AS quartier_id, COUNT(*) AS pop_2021 FROM customer GROUP BY 1),
-np AS (SELECT quartier_id, COUNT(*) AS n_parking FROM pw GROUP BY 1)""") + """
+np AS (SELECT quartier_id, COUNT(*) AS n_parking FROM pw GROUP BY 1),
+feats AS (
 SELECT CAST(n.n_nationkey AS BIGINT) AS quartier_id, n.n_name AS name, CAST(0.75 AS DOUBLE) AS surface_km2,
        coalesce(sc.number_shops, 0) AS number_shops, coalesce(po.pop_2021, 0) AS pop_2021,
        coalesce(np.n_parking, 0) AS n_parking, CAST(np.n_parking IS NOT NULL AS BIGINT) AS zti,
        round(coalesce(sc.number_shops, 0) / 0.75, 6) AS number_shops_p_km2,
        round(coalesce(po.pop_2021, 0) / 0.75, 6) AS pop_2021_p_km2
 FROM nation n LEFT JOIN sc ON n.n_nationkey = sc.quartier_id LEFT JOIN po ON n.n_nationkey = po.quartier_id
-     LEFT JOIN np ON n.n_nationkey = np.quartier_id""")
+     LEFT JOIN np ON n.n_nationkey = np.quartier_id)"""
+
+
+@register("m27_district_features", with_ctes(GEOREF_SHOPS_SQL, _PARKING_SQL, _FEATURES_SQL) + "SELECT * FROM feats")
 def m27_district_features(spark, d):
     """M-27: district feature table end to end (joins, densities, zone flag)."""
     return district_features(spark, d)
@@ -254,30 +258,95 @@ def _predictions_from(df):
                      F.col("prediction").cast("bigint").alias("prediction"))
 
 
-@register("m06_class_dataset")
+# Fixed role: status 'P' stands for rejected reports.
+REJECTED = "P"
+_ONE_HOT_SQL = ", ".join(
+    [f"CAST(isodow(r.date_input) - 1 = {k} AS BIGINT) AS dayofweek_{k}" for k in range(1, 7)]
+    + [f"CAST(month(r.date_input) = {m} AS BIGINT) AS month_{m}" for m in range(2, 13)])
+
+
+@register("m06_class_dataset", with_ctes(R, tables.REPORT_LINES_SQL, GEOREF_SHOPS_SQL, _PARKING_SQL, _FEATURES_SQL, f"""
+kept AS (SELECT * FROM reports WHERE etat <> '{REJECTED}'),
+st AS (SELECT id_dmr, MIN(date_etat_ts) AS first_status FROM report_lines GROUP BY 1),
+codes AS (SELECT category_FR, CAST(row_number() OVER (ORDER BY category_FR) - 1 AS BIGINT) AS category_code
+          FROM (SELECT DISTINCT category_FR FROM kept WHERE category_FR IS NOT NULL))""") + f"""
+SELECT r.lon, r.lat,
+       round((epoch(st.first_status) - epoch(CAST(r.date_input AS TIMESTAMP))) / 86400.0, 6) AS deltadays_signal_etat,
+       c.category_code, {_ONE_HOT_SQL}, f.surface_km2, f.number_shops, f.pop_2021, f.n_parking, f.zti,
+       f.number_shops_p_km2, f.pop_2021_p_km2
+FROM kept r JOIN st ON r.id_dmr = st.id_dmr JOIN codes c ON r.category_FR = c.category_FR
+     JOIN feats f ON r.quartier_id = f.quartier_id
+WHERE r.lon IS NOT NULL AND r.lat IS NOT NULL AND st.first_status IS NOT NULL""")
 def m06_class_dataset(spark, d):
-    """M-06: report-level class dataset: location, delay, encoded category, one-hot day
-    and month, district features; nulls filled with 0 then incomplete rows dropped."""
-    r = tables.reports(spark, d)
+    """M-06: report-level class dataset without rejected reports: location, delay, encoded
+    category, one-hot day and month, district features. The count of parking lots, the one feature
+    that is missing where there is none, is filled with 0; then incomplete rows are dropped."""
+    r = tables.reports(spark, d).where(F.col("etat") != REJECTED)
     lines = tables.report_lines(spark, d).groupBy("id_dmr").agg(F.min("date_etat_ts").alias("first_status"))
     r = r.join(lines, "id_dmr", "left").withColumn(
         "deltadays_signal_etat", dates.elapsed_days(F.col("date_input").cast("timestamp"), F.col("first_status")))
-    _, r = FE.ordinal_encode(r, "category_FR", "category_code")
+    _, r = FE.ordinal_encode(r.where("category_FR is not null"), "category_FR", "category_code")
     r = r.withColumn("dayofweek", dates.day_of_week_monday0(F.col("date_input"))).withColumn(
         "month", F.month("date_input"))
     r = FE.one_hot_drop_first(r, "dayofweek", levels=list(range(7)))
     r = FE.one_hot_drop_first(r, "month", levels=list(range(1, 13)))
     feats = district_features(spark, d).drop("name")
     out = left_join_dim(r, feats, "quartier_id")
-    out = out.drop("date_input", "first_status", "etat", "category_FR", "dayofweek", "month", "code_postal_id")
-    return out.fillna(0).dropna()
-
-
-@register("m05_count_dataset")
+    out = out.drop("date_input", "first_status", "etat", "category_FR", "dayofweek", "month", "code_postal_id",
+                   "id_dmr", "quartier_id")
+    return out.fillna(0, subset=["n_parking"]).dropna()
+
+
+def daily_traffic(spark, d):
+    """M-28: states counted by (day, arc), the arc's district joined, summed by (day, district)."""
+    from civlens.plans.scalar_queries import EVENT_STATES
+
+    e = rt(spark, d, "events").select(F.to_date("ts").alias("date"), "user_id", "event_type")
+    states = [F.count_if(F.col("event_type") == s).alias(f"etat_trafic_{k}") for k, s in enumerate(EVENT_STATES)]
+    by_arc = e.groupBy("date", "user_id").agg(*states, F.count(F.lit(1)).alias("n_states"))
+    arcs = rt(spark, d, "customer").select(F.col("c_custkey").alias("user_id"),
+                                           F.col("c_nationkey").cast("bigint").alias("quartier_id"))
+    names = [f"etat_trafic_{k}" for k in range(len(EVENT_STATES))] + ["n_states"]
+    return by_arc.join(arcs, "user_id").groupBy("date", "quartier_id").agg(*[F.sum(c).alias(c) for c in names])
+
+
+_TRAFFIC_SQL = """
+traffic AS (SELECT CAST(e.ts AS DATE) AS date, CAST(c.c_nationkey AS BIGINT) AS quartier_id,
+       COUNT(*) FILTER (WHERE event_type = 'click') AS etat_trafic_0,
+       COUNT(*) FILTER (WHERE event_type = 'error') AS etat_trafic_1,
+       COUNT(*) FILTER (WHERE event_type = 'purchase') AS etat_trafic_2,
+       COUNT(*) FILTER (WHERE event_type = 'signup') AS etat_trafic_3,
+       COUNT(*) FILTER (WHERE event_type = 'view') AS etat_trafic_4, COUNT(*) AS n_states
+     FROM events e JOIN customer c ON e.user_id = c.c_custkey GROUP BY 1, 2)"""
+
+
+@register("m28_daily_traffic", with_ctes(_TRAFFIC_SQL) + """
+SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date) FROM traffic""")
+def m28_daily_traffic(spark, d):
+    """M-28: daily traffic states per district."""
+    return daily_traffic(spark, d)
+
+
+COUNT_WINDOW = 7
+_LEADS_SQL = ", ".join(f"LEAD(count, {k}) OVER w AS f_{k % COUNT_WINDOW}" for k in range(1, COUNT_WINDOW + 1))
+_COMPLETE_SQL = " AND ".join(f"l.f_{k} IS NOT NULL" for k in range(COUNT_WINDOW))
+
+
+@register("m05_count_dataset", with_ctes(R, GEOREF_SHOPS_SQL, _PARKING_SQL, _FEATURES_SQL, _TRAFFIC_SQL, f"""
+dd AS (SELECT date_input AS date, quartier_id, COUNT(*) AS count FROM reports GROUP BY 1, 2),
+leads AS (SELECT *, {_LEADS_SQL} FROM dd WINDOW w AS (PARTITION BY quartier_id ORDER BY date))""") + f"""
+SELECT l.* REPLACE (strftime(l.date, '%Y-%m-%d') AS date), CAST(isodow(l.date) - 1 AS BIGINT) AS dayofweek,
+       CAST(month(l.date) AS BIGINT) AS month, f.* EXCLUDE (quartier_id, name),
+       t.* EXCLUDE (date, quartier_id)
+FROM leads l LEFT JOIN feats f ON l.quartier_id = f.quartier_id
+     LEFT JOIN traffic t ON l.date = t.date AND l.quartier_id = t.quartier_id
+WHERE {_COMPLETE_SQL}""")
 def m05_count_dataset(spark, d):
-    """M-05: daily counts per district with 3 lead features, weekday and district features."""
+    """M-05: daily counts per district with 7 lead features, weekday, month, district features and
+    the day's traffic (kept with nulls where no traffic was measured)."""
     daily = tables.reports(spark, d).groupBy(F.col("date_input").alias("date"), "quartier_id").agg(
         F.count(F.lit(1)).alias("count"))
-    leads = W.lead_features(daily, "count", 3, ["date"], ["quartier_id"])
-    leads = leads.withColumn("dayofweek", dates.day_of_week_monday0(F.col("date")))
-    return left_join_dim(leads, district_features(spark, d).drop("name"), "quartier_id")
+    leads = W.lead_features(daily, "count", COUNT_WINDOW, ["date"], ["quartier_id"])
+    leads = leads.withColumn("dayofweek", dates.day_of_week_monday0(F.col("date"))).withColumn("month", F.month("date"))
+    out = left_join_dim(leads, district_features(spark, d).drop("name"), "quartier_id")
+    return out.join(daily_traffic(spark, d), ["date", "quartier_id"], "left")
