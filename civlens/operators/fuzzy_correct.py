@@ -1,8 +1,8 @@
 """Sub-category correction against official lists (T-06, T-08).
 
-Distinct (category, text) pairs that equal an official name keep it. The others are scored
-against the names of their category by one Arrow UDF call per pair; the best name wins from
-MATCH_THRESHOLD on. Below it, a small table of rules (category, pattern, label) decides, then the
+Distinct (category, text) pairs are compared with the official names of their category. A text that
+holds a name, or that a name holds, scores 100 by definition and is settled by built-in functions;
+the others are scored by one Arrow UDF call per pair; the best name wins from MATCH_THRESHOLD on. Below it, a small table of rules (category, pattern, label) decides, then the
 category's fallback. Results are joined back on (category, text); Python never runs per report.
 """
 
@@ -79,8 +79,11 @@ def correct_subcategories(
     pairs = df.select(F.col(category).alias("__cat"), F.col(text).alias("__txt")).distinct()
     told = pairs.where("__cat is not null and __txt is not null and __txt <> ''")
     # names of one category are few by nature; a pair meets each name of its own category once
-    equal = F.col("__txt") == F.col("__name")
-    exact = told.join(off.select("__cat", "__name"), "__cat").where(equal).select("__cat", "__txt").distinct()
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", " "))
+    met = told.withColumn("__t", plain(F.col("__txt"))).join(off.withColumn("__n", plain(F.col("__name"))), "__cat")
+    held = (F.col("__t") != "") & (F.col("__n") != "") & (F.contains("__t", "__n") | F.contains("__n", "__t"))
+    first = F.min(F.struct("__ord", "__name"))["__name"]
+    exact = met.where(held).groupBy("__cat", "__txt").agg(first.alias("__fixed"))
     rest = told.join(exact, ["__cat", "__txt"], "left_anti").join(off, "__cat")
     scored = rest.withColumn("__score", fuzzy.best_window_udf(F.col("__txt"), F.col("__name")))
     rank = F.struct((-F.col("__score")).alias("neg"), F.col("__ord").alias("o"), F.col("__name").alias("n"))
@@ -92,7 +95,7 @@ def correct_subcategories(
         return pd.Series([n if s >= MATCH_THRESHOLD else label_below_threshold(c, t, n, strict) for c, t, n, s in rows], dtype="object")
 
     fixed = best.select("__cat", "__txt", labelled("__cat", "__txt", "__b.n", -F.col("__b.neg")).alias("__fixed"))
-    fixed = fixed.union(exact.select("__cat", "__txt", F.col("__txt").alias("__fixed")))
+    fixed = fixed.union(exact)
     has_list = off.select("__cat").distinct().withColumn("__has", F.lit(True))
     lookup = pairs.join(has_list, "__cat", "left").join(fixed, ["__cat", "__txt"], "left")
     lookup = lookup.select(

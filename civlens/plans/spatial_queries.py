@@ -251,12 +251,30 @@ def sp15_haversine(spark, d):
     return j.select("id_dmr", dist.alias("dist_km"))
 
 
-@register("sp09_utm_projection")
+_UTM_SQL = """
+e AS (SELECT 1 / 298.257223563::DOUBLE AS f), c0 AS (SELECT f * (2 - f) AS e2 FROM e),
+c1 AS (SELECT e2, e2 / (1 - e2) AS ep2 FROM c0),
+p AS (SELECT id_dmr, radians(lat + 46.0) AS phi, radians(lon) - radians(3.0) AS lam, e2, ep2 FROM reports, c1),
+q AS (SELECT *, 6378137.0 / sqrt(1 - e2 * sin(phi) * sin(phi)) AS n, tan(phi) * tan(phi) AS t,
+             ep2 * cos(phi) * cos(phi) AS c, cos(phi) * lam AS a,
+             6378137.0 * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256) * phi
+               - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024) * sin(2 * phi)
+               + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024) * sin(4 * phi)
+               - (35 * e2 * e2 * e2 / 3072) * sin(6 * phi)) AS m FROM p)"""
+
+
+@register("sp09_utm_projection", with_ctes(REPORTS_SQL, _UTM_SQL) + """
+SELECT id_dmr,
+       round(0.9996 * n * (a + (1 - t + c) * pow(a, 3) / 6
+             + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * pow(a, 5) / 120) + 500000.0, 3) AS x_m,
+       round(0.9996 * (m + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24
+             + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * pow(a, 6) / 720)), 3) AS y_m
+FROM q""")
 def sp09_utm_projection(spark, d):
-    """SP-09: report points projected to UTM zone 31N metres."""
+    """SP-09: report points projected to UTM zone 31N, in metres to the millimetre."""
     r = tables.reports(spark, d)
     p = geo.utm31(F.col("lon"), F.col("lat") + F.lit(46.0))
-    return r.select("id_dmr", p["x"].alias("x_m"), p["y"].alias("y_m"))
+    return r.select("id_dmr", F.round(p["x"], 3).alias("x_m"), F.round(p["y"], 3).alias("y_m"))
 
 
 _HEX = (-0.2, -0.2, 5.2, 5.2)
