@@ -24,6 +24,17 @@ HASHED_BYTES = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable Latin-1 bytes by
+    themselves, the others by the characters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -103,6 +114,7 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         # a byte-level token is written with one character a byte
         vocabulary = self.tok.get_vocab(with_added_tokens=False)
         self.width = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), np.int64)
@@ -120,10 +132,17 @@ class PieceTokenizer:
         self.used = 0
 
     def _learn_new(self, new: list[bytes]):
-        """Encode and store pieces. Those that begin with their space or line feed are encoded many
-        at a time in one text; the ids' byte lengths tell where each one ends."""
-        plain = [p for p in new if joinable(p)]
-        single = [p for p in new if not joinable(p)]
+        """Encode and store pieces. A run of letters (after a space or not) is one unit of the merges
+        and goes straight to the model. Of the others, those that begin with their space or line
+        feed are encoded many at a time in one text, where the ids' byte lengths tell where each one
+        ends."""
+        units, plain, single = [], [], []
+        for p in new:
+            core = p[1:] if p[0] == 32 else p
+            if core.isalpha() if core.isascii() else core.decode().isalpha():
+                units.append(p)
+            else:
+                (plain if joinable(p) else single).append(p)
         for a in range(0, len(plain), 1024):
             some = plain[a : a + 1024]
             ids = np.array(self._ids(b"".join(some)), np.uint32)
@@ -134,9 +153,10 @@ class PieceTokenizer:
                 self._store(some, ids, np.diff(at, prepend=-1))
             else:
                 single += some
-        rows = [self._ids(p) for p in single]
+        rows = [[t.id for t in self.model.tokenize(p.decode("latin-1").translate(BYTE_LETTERS))] for p in units]
+        rows += [self._ids(p) for p in single]
         flat = np.array([i for r in rows for i in r], np.uint32)
-        self._store(single, flat, np.fromiter(map(len, rows), np.int64, len(rows)))
+        self._store(units + single, flat, np.fromiter(map(len, rows), np.int64, len(rows)))
 
     def _ids(self, piece: bytes) -> list[int]:
         return self.tok.encode_batch_fast([piece.decode()], add_special_tokens=False)[0].ids
