@@ -115,6 +115,9 @@ def assign_geometries(
     def ok(c):
         box = (c["b"]["minx"] <= F.col("__ib.maxx")) & (c["b"]["maxx"] >= F.col("__ib.minx")) & (
             c["b"]["miny"] <= F.col("__ib.maxy")) & (c["b"]["maxy"] >= F.col("__ib.miny"))
+        # of the cells that both boxes share, only the one of the overlap's lower left corner tests
+        box = box & (F.col("__cx") == geo.cell_of(F.greatest(c["b"]["minx"], F.col("__ib.minx")), cell)) & (
+            F.col("__cy") == geo.cell_of(F.greatest(c["b"]["miny"], F.col("__ib.miny")), cell))
         if predicate == "within":
             return box & geo.polygon_within(F.col("__ig"), c["g"])
         return box & geo.polygons_intersect(F.col("__ig"), c["g"])
@@ -209,18 +212,16 @@ def line_length_in_polygons(
                       F.col("__hit.len").alias("length_in"))
 
 
-def dissolve(polygons: DataFrame, key: Column, geom: str = "geometry", out: str = "geometry") -> DataFrame:
-    """SP-12: polygons grouped into one multipolygon per key, with summed area and the
-    area-weighted centroid. Interiors are assumed disjoint (districts), so no overlay is
-    needed and the area is exact."""
-    a = geo.area(F.col(geom))
-    c = geo.centroid(F.col(geom))
-    parts = polygons.select(key.alias("key"), F.col(geom).alias("g"), a.alias("a"), c.alias("c"))
+def dissolve(polygons: DataFrame, key: Column, geom: str = "geometry") -> DataFrame:
+    """SP-12: polygons grouped per key: summed area, area-weighted centroid and number of parts. The
+    parts stay rows of ``polygons``; no key's geometry is gathered. Interiors are assumed disjoint
+    (districts), so no overlay is needed and the area is exact."""
+    parts = polygons.select(key.alias("key"), geo.area(F.col(geom)).alias("a"), geo.centroid(F.col(geom)).alias("c"))
     return parts.groupBy("key").agg(
-        F.flatten(F.collect_list("g")).alias(out),
         F.sum("a").alias("area"),
         (F.sum(F.col("a") * F.col("c.x")) / F.sum("a")).alias("centroid_x"),
         (F.sum(F.col("a") * F.col("c.y")) / F.sum("a")).alias("centroid_y"),
+        F.count(F.lit(1)).alias("n_parts"),
     )
 
 
