@@ -125,7 +125,7 @@ class Rule:
         return F.ceil((a + b) * self.num / (self.den + self.num)).cast("int")
 
 
-def slices(pdfs, rows: int = 512):
+def slices(pdfs, rows: int = 256):
     """Smaller frames, so that what is made of one stays small."""
     for pdf in pdfs:
         for a in range(0, len(pdf), rows):
@@ -173,9 +173,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
         for pdf in pdfs:
             at = pdf["at"].to_numpy(np.int64)
             kept = pdf["text"][(bitmap.value[at >> 6] >> (at & 63)) & 1 == 1].tolist()
-            for a in range(0, len(kept), 512):
+            for a in range(0, len(kept), 256):
                 rows = []
-                for s in shingle_sets([t or "" for t in kept[a : a + 512]], rule.n):
+                for s in shingle_sets([t or "" for t in kept[a : a + 256]], rule.n):
                     six = np.ascontiguousarray(s.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
                     rows.append((set_key(s), len(s), six.tobytes()))
                 yield pd.DataFrame(rows, columns=["cid", "n", "elements"])

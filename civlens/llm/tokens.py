@@ -16,9 +16,9 @@ from itertools import repeat
 import numpy as np
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE_PIECES = 600_000
-SEGMENT_CHARS = 1 << 20
-BATCH_CHARS = 2 << 20
+CACHE_PIECES = 300_000
+SEGMENT_CHARS = 1 << 19
+BATCH_CHARS = 1 << 20
 #: Longer pieces are not told apart by their hash.
 HASHED_BYTES = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)

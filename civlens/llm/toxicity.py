@@ -47,7 +47,9 @@ DECAY = 0.6
 TOP, FEW = 3, 20
 THRESHOLD = 0.3
 WORD_CHARS = 40  # a longer word is scored in overlapping windows of this length
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
+#: Words whose subsequences are held at a time.
+PART_WORDS = 8_000
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 #: Three or more single characters in a row, parted by single spaces.
@@ -241,8 +243,8 @@ class Model:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         new = list(set().union(*bags) - cache.keys()) if bags else []
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
+        for a in range(0, len(new), PART_WORDS):
+            part = new[a : a + PART_WORDS]
             cache.update(zip(part, word_scores(part, self.weights, self.bias).tolist(), strict=True))
         out = np.full((len(texts), TOP + 1), -1.0)
         for k, bag in enumerate(bags):
@@ -256,7 +258,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(measures @ self.coefficients[:-1] + self.coefficients[-1], -500, 500)))
 
 
-def _batches(texts: list[str], chars: int = 4_000_000):
+def _batches(texts: list[str], chars: int = 1_000_000):
     at, size = 0, 0
     for k, t in enumerate(texts):
         size += len(t)
