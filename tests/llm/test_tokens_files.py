@@ -131,6 +131,30 @@ def test_packing_puts_lexical_neighbours_together():
     assert sorted(order) == list(range(30)) and len({k % 3 for k in order[:10]}) == 1
 
 
+def test_packing_retrieves_from_the_whole_input(frame):
+    """Near copies of other ids come into one shard, among many shards; so do groups above HOT."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(150):
+        base = [f"p{k}q{j}" for j in range(20)] + rng.choices([f"c{j}" for j in range(300)], k=60)
+        for copy in range(2):
+            rows.append((1000 * copy + k, " ".join(w if rng.random() > 0.05 else f"z{rng.random()}" for w in base), "s"))
+    rows += [(5000 + k, "the same words in many a text " * 4, "s") for k in range(3 * packing.HOT)]
+    shards = {}
+    for r in packing.pack(frame(rows), PATH, 256, 0, 4000).collect():
+        shards[r.doc_id] = r.sequence_id >> 32
+    assert len(shards) == len(rows) and len(set(shards.values())) > 10
+    assert sum(shards[k] == shards[1000 + k] for k in range(150)) == 150
+
+
+def test_packing_weights_are_of_the_whole_input():
+    codes = [np.array([1, 2]), np.array([1, 3]), np.array([2, 3])]
+    known = packing.pd.Series([900, 2, 2], [1, 2, 3])
+    index = packing.Index(codes, (1000, 2.0, known))
+    # in the shard all terms are in two documents; in the input term 1 is common
+    assert index.neighbours(0, np.array([False, True, True])).tolist() == [2, 1]
+
+
 def test_warc_ranges_own_each_record_once():
     rng, sink, want = random.Random(1), io.BytesIO(), []
     for k in range(120):
