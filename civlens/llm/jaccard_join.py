@@ -26,7 +26,8 @@ element). Words are runs of other characters than space and tab to carriage retu
 lower case. Fewer words than a shingle: the whole sequence is the one shingle. Null or empty text,
 or no words: an empty set, linked with nothing, its own component. Null doc_id: kept; a component
 with any doc_id takes the smallest. Repeated rows: in one class. Empty table: no rows. Extra columns
-are ignored (linked) or kept (one_of_each).
+are ignored (linked) or kept (one_of_each). one_of_each goes by component, never by doc_id: different
+texts that share a doc_id, or have none, are told apart by a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civlens.llm.common import release, written
+from civlens.llm.common import WORD_PATTERN, release, written
 from civlens.llm.tokens import batches, byte_tables
 
 #: The l a class may choose: numbers, and 4 plus a share of its size.
@@ -133,17 +134,19 @@ def slices(pdfs, rows: int = 256):
 
 
 def class_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, cid, n, prefix) of every document: its class, set size and longest prefix."""
+    """(doc_id, digest, cid, n, prefix) of every document: the hash of its text, its class, set size
+    and longest prefix."""
 
     def run(pdfs):
         for pdf in slices(pdfs):
             rows = []
-            for doc_id, s in zip(pdf["doc_id"], shingle_sets([t or "" for t in pdf["text"]], rule.n), strict=True):
-                rows.append((doc_id, set_key(s), len(s), s[: rule.longest(len(s))].astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "cid", "n", "prefix"])
+            sets = shingle_sets([t or "" for t in pdf["text"]], rule.n)
+            for doc_id, digest, s in zip(pdf["doc_id"], pdf["digest"], sets, strict=True):
+                rows.append((doc_id, digest, set_key(s), len(s), s[: rule.longest(len(s))].astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "digest", "cid", "n", "prefix"])
 
-    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
-        run, "doc_id string, cid long, n int, prefix array<long>"
+    rows = docs.select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("digest"), "text").mapInPandas(
+        run, "doc_id string, digest long, cid long, n int, prefix array<long>"
     )
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -355,8 +358,8 @@ def heavy_pairs(prefix: DataFrame, rule: Rule, sets: DataFrame) -> DataFrame:
     return found.union(checked(more, sets, rule))
 
 
-def linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, digest, n, label) of every document: the label is its component's."""
     rule = Rule(n, num, den)
     spark = docs.sparkSession
     rows = written(class_rows(docs, rule), "join-classes")
@@ -376,8 +379,13 @@ def linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     release(spark)
     links = checked(pairs, sets, rule).union(heavy_pairs(heavy_prefixes(sets, heavy, rule), rule, sets))
     label = components(written(links, "join-links"))
-    own = rows.select("doc_id", "cid", "n").join(label, rows["cid"] == label["v"], "left")
-    own = own.select("doc_id", "n", F.coalesce("label", "cid").alias("label"))
+    own = rows.select("doc_id", "digest", "cid", "n").join(label, rows["cid"] == label["v"], "left")
+    return own.select("doc_id", "digest", "n", F.coalesce("label", "cid").alias("label"))
+
+
+def linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    own = labelled(docs, n, num, den)
     least = own.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     full = own.where("n > 0").join(least, "label").select("doc_id", "n", F.col("least").alias("component_id"))
     bare = own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -385,12 +393,17 @@ def linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, with their columns; of rows that
-    share it, one. Documents without a doc_id are kept where their component has none, once."""
+    """One document of each component, with its columns: the one of the smallest (doc_id, text hash),
+    rows without a doc_id last; of equal ones, one. Every document without words is kept."""
     names = docs.columns
-    keep = linked(docs, n, num, den).where("doc_id <=> component_id").select("doc_id").distinct()
-    own = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return own.dropDuplicates(["doc_id"]).select(*names)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    first = labelled(docs, n, num, den).where("n > 0").groupBy("label").agg(F.min(order).alias("m"))
+    keep = first.select(F.col("m.doc_id").alias("__id"), F.col("m.digest").alias("__kept"))
+    own = docs.withColumn("__digest", F.xxhash64("text"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD_PATTERN)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept"))
+    kept = own.where(worded).join(keep, same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return kept.union(own.where(~worded)).select(*names)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
