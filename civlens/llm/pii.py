@@ -1,7 +1,7 @@
 """PII: anchor expansion.
 
 One Aho-Corasick automaton finds the anchors of a text in one pass: at-signs, plus signs, digits,
-schemes and identifier cues. At each anchor a deterministic local parser expands to the left and
+schemes and identifier cues, these in any mix of cases. At each anchor a deterministic local parser expands to the left and
 right as far as its own characters go and validates what it found; no pattern is run over the text.
 
 Kinds: ``email``, ``ip``, ``card``, ``phone`` are the base kinds, found leftmost and without overlap
@@ -40,8 +40,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _IBAN = re.compile(r"[\s:#.-]{0,5}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30})(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"(?:\s*(?:number|no|nr)\b)?[\s:#.]{0,5}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
-_SSN = re.compile(r"(?:\s*(?:number|no)\b)?[\s:#.]{0,5}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+_ACCOUNT = re.compile(r"(?:\s*(?i:number|no|nr)\b)?[\s:#.]{0,5}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
+_SSN = re.compile(r"(?:\s*(?i:number|no)\b)?[\s:#.]{0,5}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 _USERINFO = re.compile(r"://([^\s/?#@:]+:[^\s/?#@]+)@([A-Za-z0-9.-]+)")
 
@@ -60,6 +60,12 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def folded(text: str) -> str:
+    """The text in lower case, character by character, so that places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 _AUTOMATON = None
 
 
@@ -75,9 +81,7 @@ def automaton():
         for word, kind in {"@": "at", "+": "plus", **dict.fromkeys(SCHEMES, "scheme")}.items():
             a.add_word(word, (kind, len(word)))
         for cue, kind in CUES.items():
-            # cues are spelled in lower case, with a capital, or in capitals
-            for form in {cue, cue.capitalize(), cue.upper()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
         a.make_automaton()
         _AUTOMATON = a
     return _AUTOMATON
@@ -87,7 +91,7 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind in a text, by start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     after = dict.fromkeys(("email", "ip", "card", "phone", *KINDS[4:]), 0)  # where a kind may begin again
-    for last, (anchor, length) in automaton().iter(text):
+    for last, (anchor, length) in automaton().iter(folded(text)):
         at = last - length + 1
         if anchor == "digit":
             if at >= after["ip"]:

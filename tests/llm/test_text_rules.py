@@ -82,6 +82,25 @@ def test_pii_base_spans_equal_the_patterns():
         assert {k: got[k] for k in pii.BASE_KINDS} == want, x
 
 
+@pytest.mark.parametrize("text,kind,value", [
+    ("Social Security Number: 123-45-6789", "ssn", "123-45-6789"),
+    ("SSN Number: 123-45-6789", "ssn", "123-45-6789"),
+    ("sOCIAL sECURITY nO 123-45-6789", "ssn", "123-45-6789"),
+    ("Account Number: 1234567890", "account", "1234567890"),
+    ("Account No. 123456", "account", "123456"),
+    ("Acct No. 12345678", "account", "12345678"),
+    ("Número de Cuenta 12345678", "account", "12345678"),
+    ("Numéro De Compte: 1234 5678", "account", "1234 5678"),
+    ("İİ KontoNummer 12345678", "account", "12345678"),
+    ("Iban: GB82 WEST 1234 5698 7654 32", "iban", "GB82 WEST 1234 5698 7654 32"),
+    ("iBaN GB82WEST12345698765432", "iban", "GB82WEST12345698765432"),
+])
+def test_pii_cues_in_any_case(text, kind, value):
+    at = text.index(value)
+    assert pii.spans(text)[kind] == [(at, at + len(value))]
+    assert pii.redact(text) == text.replace(value, f"[{kind.upper()}]")
+
+
 @pytest.mark.parametrize(
     "text,kind,value",
     [
