@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from civlens.llm.bpe import op13_bpe
+from civlens.llm.conversations import op11_conversations
 from civlens.llm.fingerprints import op2_fingerprints
 from civlens.llm.html_text import op7_html
 from civlens.llm.jaccard_join import op3_jaccard_join
+from civlens.llm.lexical_search import op12_lexical_search
 from civlens.llm.mixing import OP4_SQL, op4_mixing
 from civlens.llm.packing import op6_packing
 from civlens.llm.pii import op8_pii
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_repetition": op9_repetition,
     "op10_warc": op10_warc,
+    "op11_conversations": op11_conversations,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_bpe": op13_bpe,
     "pipeline": corpus_pipeline.run,
 }
 
