@@ -30,8 +30,10 @@ from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civlens.llm.tokens import HASHED_BYTES, byte_tables
 
@@ -190,10 +192,17 @@ class Ranks:
                 a, b = self.rank.get(t[:cut]), self.rank.get(t[cut:])
                 if a is not None and b is not None:
                     merges[a << 32 | b] = r
-        self.merges = merges
         self.key = np.fromiter(sorted(merges), np.int64, len(merges))
         self.merged = np.fromiter((merges[k] for k in self.key.tolist()), np.int64, len(merges))
         self.none = size
+        self._merges: dict[int, int] | None = None
+
+    @property
+    def merges(self) -> dict[int, int]:
+        """Merged ids by pair, for pieces that are merged one by one; made when first needed."""
+        if self._merges is None:
+            self._merges = dict(zip(self.key.tolist(), self.merged.tolist(), strict=True))
+        return self._merges
 
     def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each merged pair, ``none`` if it is no token."""
@@ -206,7 +215,8 @@ class Ranks:
         ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        rank = lambda i: self.merges.get(ids[i] << 32 | ids[after[i]]) if after[i] < n else None
+        merged = self.merges
+        rank = lambda i: merged.get(ids[i] << 32 | ids[after[i]]) if after[i] < n else None
         heap = [(r, i) for i in range(n) if (r := rank(i)) is not None]
         heapq.heapify(heap)
         while heap:
@@ -329,11 +339,23 @@ class Encoder:
         upto = np.concatenate([[0], ends])[np.searchsorted(first, np.append(begins, len(data)))]
         return ids, np.diff(upto)
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def offsets(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The byte at which each token begins in its own text; text t has ``counts[t]`` tokens."""
+        width = self.ranks.width[ids]
+        begin = np.cumsum(width) - width
+        head = (np.cumsum(counts) - counts)[counts > 0]
+        return begin - np.repeat(begin[head], counts[counts > 0])
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
         """The bytes of tokens that follow each other at ``offsets`` (the first one's is 0)."""
         width = self.ranks.width[ids]
         total = int(offsets[-1] + width[-1]) if len(ids) else 0
-        return self.ranks.blob[np.repeat(self.ranks.place[ids] - offsets, width) + np.arange(total)]
+        return self.ranks.blob[np.repeat(self.ranks.place[ids] - offsets, width) + np.arange(total)].tobytes()
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of several texts; text t has the tokens from ``ends[t]`` to ``ends[t + 1]``."""
+        cuts = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+        return pa.array([self.decode(ids[a:b], offsets[a:b]) for a, b in cuts], pa.binary())
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -346,17 +368,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def some_texts(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about BATCH_CHARS characters."""
-    part, held = [], 0
-    for text in texts:
-        part.append(text)
-        held += len(text)
-        if held >= BATCH_CHARS:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+def parts_of(sizes: list[int], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs (first, behind the last) of rows of about ``most`` in all, one row at least."""
+    first, held = 0, 0
+    for k, size in enumerate(sizes, 1):
+        held += size
+        if held >= most or k == len(sizes):
+            yield first, k
+            first, held = k, 0
 
 
 def default_ranks() -> str:
@@ -365,59 +384,69 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum(counts)])
+def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def _with(batch: pa.RecordBatch, schema: T.StructType, new: dict[str, pa.Array]) -> pa.RecordBatch:
+    columns = [new[f.name] if f.name in new else batch.column(f.name) for f in schema]
+    return pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+
+
+def _schema(of: DataFrame, new: dict[str, T.DataType]) -> T.StructType:
+    kept = [f for f in of.schema if f.name not in new]
+    return T.StructType(kept + [T.StructField(name, kind) for name, kind in new.items()])
+
+
+def encoded(docs: DataFrame, path: str, text: str = "text", decode: bool = False) -> DataFrame:
     """``docs`` with ``token_ids`` array<int> and ``token_offsets`` array<int>, the byte of the UTF-8
-    text at which each token begins."""
+    text at which each token begins. ``decode`` adds ``decoded`` as the function of that name does, in
+    the same pass."""
+    ints = T.ArrayType(T.IntegerType())
+    new = {"token_ids": ints, "token_offsets": ints} | ({"decoded": T.BinaryType()} if decode else {})
+    schema = _schema(docs, new)
 
-    @F.arrow_udf("struct<ids: array<int>, offsets: array<int>>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-            for part in some_texts([t or "" for t in batch.to_pylist()]):
-                some, count = coder.encode(part)
-                ids.append(some)
-                counts.append(count)
-            flat, count = np.concatenate(ids), np.concatenate(counts)
-            width = coder.ranks.width[flat]
-            begin = np.cumsum(width) - width
-            filled = count > 0
-            head = (np.cumsum(count) - count)[filled]
-            offset = begin - np.repeat(begin[head], count[filled])
-            yield pa.StructArray.from_arrays([lists(flat.astype(np.int32), count), lists(offset, count)], ["ids", "offsets"])
-
-    return (
-        docs.withColumn("__bpe", encode(F.col(text)))
-        .withColumn("token_ids", F.col("__bpe.ids"))
-        .withColumn("token_offsets", F.col("__bpe.offsets"))
-        .drop("__bpe")
-    )
+            column = batch.column(text)
+            sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+            for a, b in parts_of(sizes):
+                part = batch.slice(a, b - a)
+                ids, counts = coder.encode([t or "" for t in part.column(text).to_pylist()])
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                begins = coder.offsets(ids, counts)
+                out = {"token_ids": lists(ids.astype(np.int32), ends), "token_offsets": lists(begins, ends)}
+                if decode:
+                    out["decoded"] = coder.decode_all(ids, begins, ends)
+                yield _with(part, schema, out)
+
+    return docs.mapInArrow(encode, schema)
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
     """Rows of ``encoded`` with ``decoded`` binary: the bytes of their ids."""
+    schema = _schema(tokens, {"decoded": T.BinaryType()})
 
-    @F.arrow_udf("binary")
-    def decode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for ids, offsets in batches:
-            ends = np.asarray(ids.offsets).tolist()
-            values, begins = np.asarray(ids.values), np.asarray(offsets.values, dtype=np.int64)
-            yield pa.array([coder.decode(values[a:b], begins[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("token_ids")).to_pylist()
+            for a, b in parts_of(sizes):
+                part = batch.slice(a, b - a)
+                ids, begins = part.column("token_ids"), part.column("token_offsets")
+                ends = np.concatenate([[0], np.cumsum(sizes[a:b], dtype=np.int64)])
+                values = np.asarray(ids.flatten()), np.asarray(begins.flatten(), dtype=np.int64)
+                yield _with(part, schema, {"decoded": coder.decode_all(*values, ends)})
 
-    return tokens.withColumn("decoded", decode("token_ids", "token_offsets"))
+    return tokens.mapInArrow(decode, schema)
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text of documents by the rank file, decode the ids; digests of both."""
     path = default_ranks()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = decoded(encoded(docs, path), path)
+    rows = encoded(docs, path, decode=True)
     decimal = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
     return rows.select(
         "doc_id",

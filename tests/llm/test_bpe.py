@@ -61,6 +61,9 @@ def test_scan_equals_stepping(coder):
 
 def test_odd_rows(odd, library):
     rows = bpe.decoded(bpe.encoded(odd, PATH), PATH).collect()
+    at_once = bpe.encoded(odd, PATH, decode=True)
+    assert at_once.columns == [*odd.columns, "token_ids", "token_offsets", "decoded"]
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, rows))
     assert len(rows) == odd.count() and {"idx", "token", "size", "source"} <= set(rows[0].asDict())
     for r in rows:
         text = r.text or ""
