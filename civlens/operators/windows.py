@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lag_change(
@@ -64,19 +65,68 @@ def lead_features(
     """W-05: ``f_i = lead(target, i)`` for i = 1..L-1 and ``f_0 = lead(target, L)``;
     rows with a missing lead are dropped.
 
-    With ``partition_by`` the leads stay inside each series (our default); without it the
-    leads run over the whole ordered table (parity with Q-12) -- only for grouped data
-    whose size is bounded by days x districts.
+    With ``partition_by`` the leads stay inside each series (our default); without it they run over
+    the whole ordered table (parity with Q-12), range by range: see ``global_leads``.
     """
-    w = Window.partitionBy(*partition_by).orderBy(*order_by) if partition_by else Window.orderBy(*order_by)
-    out = df
-    names = []
-    for i in range(1, window_length):
-        out = out.withColumn(f"{prefix}_{i}", F.lead(target, i).over(w))
-        names.append(f"{prefix}_{i}")
-    out = out.withColumn(f"{prefix}_0", F.lead(target, window_length).over(w))
-    names.append(f"{prefix}_0")
-    return out.dropna(subset=names)
+    steps = {f"{prefix}_{i}": i for i in range(1, window_length)} | {f"{prefix}_0": window_length}
+    if not partition_by:
+        return global_leads(df, target, steps, order_by).dropna(subset=list(steps))
+    w = Window.partitionBy(*partition_by).orderBy(*order_by)
+    return df.select("*", *[F.lead(target, i).over(w).alias(name) for name, i in steps.items()]).dropna(subset=list(steps))
+
+
+def _as_number(c: Column, kind: T.DataType) -> Column:
+    """A number that grows with a numeric, date or timestamp column (nulls first, like the order)."""
+    if isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    elif isinstance(kind, T.TimestampNTZType):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    elif not isinstance(kind, T.NumericType):
+        raise TypeError(f"order first by a number, date or timestamp, not by {kind.simpleString()}")
+    return F.coalesce(c.cast("double"), F.lit(float("-inf")))
+
+
+def global_leads(df: DataFrame, target: str, steps: dict[str, int], order_by: Sequence[str], ranges: int = 256) -> DataFrame:
+    """Leads of ``target`` by ``steps`` (name -> rows ahead) over the whole table in the order of
+    ``order_by``, without a window over all rows.
+
+    The table is cut into ranges of the first order column (number, date or timestamp) of about equal
+    size; rows of one value stay together, so that column should have many values. Each range lends
+    its first rows to those before it that need them: a range of fewer rows than the longest lead
+    lets its neighbours ask further on, so ranges may be tiny or empty. Windows then run within a
+    range and what it has borrowed. Ranges, their sizes and the cuts are part of one lazy plan. Ties in
+    ``order_by`` are ordered arbitrarily, as by any window.
+    """
+    reach = max(steps.values())
+    by = df.withColumn("__v", _as_number(F.col(f"`{order_by[0]}`"), df.schema[order_by[0]].dataType))
+    cuts = by.agg(F.percentile_approx("__v", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(20 * ranges))).scalar()
+    # one row's arrays as columns: at most ``ranges`` numbers
+    dealt = by.withColumn("__cuts", F.array_distinct(cuts))
+    number = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__v"))), F.lit(0))
+    dealt = dealt.withColumn("__range", number).drop("__v", "__cuts")
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    held = sizes.agg(F.collect_list(F.struct(F.col("__range").alias("r"), "n")).alias("held"))
+    below = held.select(  # rows of the ranges under r, for r = 0 .. ranges
+        F.transform(
+            F.sequence(F.lit(0), F.lit(ranges)),
+            lambda r: F.aggregate(F.filter("held", lambda q: q["r"] < r), F.lit(0).cast("long"), lambda total, q: total + q["n"]),
+        )
+    ).scalar()
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order_by))
+    placed = dealt.withColumn("__place", place).withColumn("__below", below)
+    # range p borrows a row if fewer than ``reach`` rows stand between the end of p and the row
+    before = lambda p: F.element_at("__below", F.col("__range") + 1) - F.element_at("__below", p + 2) + F.col("__place") - 1
+    none = F.array().cast("array<int>")
+    earlier = F.when(
+        (F.col("__place") <= reach) & (F.col("__range") > 0),
+        F.filter(F.sequence(F.lit(0), F.col("__range") - 1), lambda p: before(p) < reach),
+    ).otherwise(none)
+    lent = placed.withColumn("__to", F.explode(F.concat(F.array("__range"), earlier))).drop("__below")
+    w = Window.partitionBy("__to").orderBy("__range", "__place")
+    led = lent.select("*", *[F.lead(target, i).over(w).alias(name) for name, i in steps.items()])
+    return led.where("__to = __range").drop("__to", "__range", "__place")
 
 
 def dedup_keep_last(df: DataFrame, key: str, seq: str) -> DataFrame:

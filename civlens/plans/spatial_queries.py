@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from civlens.functions import geo
 from civlens.operators import spatial as S
 from civlens.operators.aggregates import count_by
+from civlens.operators.clustering import RADIUS_KM, dbscan
 from civlens.plans.catalog import register
 from civlens.sources import tables
 from civlens.sources.tables import REPORTS_SQL, SHOPS_SQL, point_lat, point_lon, with_ctes
@@ -291,3 +292,33 @@ SELECT CAST(hq AS BIGINT) AS hex_q, CAST(hr AS BIGINT) AS hex_r, COUNT(*) AS cou
 def sp17_hexbin_counts(spark, d):
     """SP-17: report counts per hexagon (10 across the extent, min count 1)."""
     return S.hexbin_counts(tables.reports(spark, d), "lon", "lat", _HEX, nx_hexagon=10, min_count=1)
+
+
+# Fixed role: a customer lives in a box around the middle of its nation's district.
+EPS_KM, MIN_SAMPLES = 8.0, 4
+
+
+@register("sp16_dbscan", f"""
+WITH RECURSIVE homes AS (
+  SELECT c_custkey AS id, radians(c_nationkey // 5 + 0.1 + 0.8 * ((c_custkey * 7919) % 1009) / 1009.0) AS lat,
+         radians(c_nationkey % 5 + 0.5 + c_acctbal / 25000.0) AS lon
+  FROM customer),
+near AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM homes a JOIN homes b
+  ON b.lat BETWEEN a.lat - {EPS_KM / 6371} AND a.lat + {EPS_KM / 6371}
+  WHERE pow(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * pow(sin((b.lon - a.lon) / 2), 2)
+        <= pow(sin({EPS_KM} / {RADIUS_KM} / 2), 2)),
+core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING COUNT(*) >= {MIN_SAMPLES}),
+links AS MATERIALIZED (SELECT n.a, n.b FROM near n JOIN core x ON n.a = x.id JOIN core y ON n.b = y.id),
+reach(id, root) AS (
+  SELECT id, id FROM core UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+clusters AS (SELECT id, MIN(root) AS cluster FROM reach GROUP BY id)
+SELECT h.id, COALESCE(MIN(c.cluster), -1) AS cluster
+FROM homes h JOIN near n ON n.a = h.id LEFT JOIN clusters c ON c.id = n.b GROUP BY h.id""")
+def sp16_dbscan(spark, d):
+    """SP-16: density clusters of customers' homes by great-circle distance; noise is -1."""
+    c = rt(spark, d, "customer")
+    lat = F.floor(F.col("c_nationkey") / 5) + 0.1 + 0.8 * ((F.col("c_custkey") * 7919) % 1009) / 1009.0
+    lon = F.col("c_nationkey") % 5 + 0.5 + F.col("c_acctbal") / 25000.0
+    homes = c.select(F.col("c_custkey").alias("id"), lat.alias("lat"), lon.alias("lon"))
+    return dbscan(homes, "id", "lat", "lon", EPS_KM, MIN_SAMPLES).select("id", "cluster")
