@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from civlens.functions import geo
+from civlens.operators import outline
 from civlens.operators import spatial as S
 from civlens.operators.aggregates import count_by
 from civlens.operators.clustering import RADIUS_KM, dbscan
@@ -322,3 +323,54 @@ def sp16_dbscan(spark, d):
     lon = F.col("c_nationkey") % 5 + 0.5 + F.col("c_acctbal") / 25000.0
     homes = c.select(F.col("c_custkey").alias("id"), lat.alias("lat"), lon.alias("lon"))
     return dbscan(homes, "id", "lat", "lon", EPS_KM, MIN_SAMPLES).select("id", "cluster")
+
+
+# Fixed role: the area of a status is made of the grid squares that hold a report of it.
+SQUARES = 50.0  # a degree
+
+
+@register("sp12_union_outline", with_ctes(REPORTS_SQL, f"""
+held AS (
+  SELECT DISTINCT etat AS key, CAST(floor(lon * {SQUARES}) AS BIGINT) AS x, CAST(floor(lat * {SQUARES}) AS BIGINT) AS y
+  FROM reports)""", """
+near AS (
+  SELECT h.key, COUNT(o.x) AS shared FROM held h
+  LEFT JOIN (SELECT key, x + dx AS x, y + dy AS y
+             FROM held, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS side(dx, dy)) o
+  ON o.key = h.key AND o.x = h.x AND o.y = h.y GROUP BY h.key)""") + """
+SELECT h.key, CAST(COUNT(*) AS DOUBLE) AS area, CAST(4 * COUNT(*) - MIN(n.shared) AS DOUBLE) AS perimeter
+FROM held h JOIN near n ON n.key = h.key GROUP BY h.key""")
+def sp12_union_outline(spark, d):
+    """SP-12: outline of the union of grid squares per status: area and perimeter, in squares."""
+    r = tables.reports(spark, d)
+    held = r.select("etat", F.floor(F.col("lon") * SQUARES).alias("x"), F.floor(F.col("lat") * SQUARES).alias("y")).distinct()
+    squares = held.select("etat", square(F.col("x") + 0.5, F.col("y") + 0.5, F.lit(0.5)).alias("geometry"))
+    return outline.measures(outline.outline(squares, F.col("etat"))).select("key", "area", "perimeter")
+
+
+@register("sp12_union_districts", """
+WITH held AS (
+  SELECT n_regionkey AS key, 2 * (n_nationkey % 5) + dx AS x, 2 * (n_nationkey // 5) + dy AS y
+  FROM nation, (VALUES (0, 0), (1, 0), (0, 1)) AS quarter(dx, dy)),
+near AS (
+  SELECT h.key, COUNT(*) AS shared FROM held h JOIN held o
+  ON o.key = h.key AND abs(o.x - h.x) + abs(o.y - h.y) = 1 GROUP BY h.key)
+SELECT CAST(h.key AS BIGINT) AS key, COUNT(*) * 0.25 AS area, (4 * COUNT(*) - COALESCE(MIN(n.shared), 0)) * 0.5 AS perimeter
+FROM held h LEFT JOIN near n ON n.key = h.key GROUP BY h.key""")
+def sp12_union_districts(spark, d):
+    """SP-12: outline of the union of the districts of each postcode."""
+    return outline.measures(outline.outline(_districts(spark, d), F.col("code_postal_id"))).select("key", "area", "perimeter")
+
+
+@register("s18_merged_feature", """
+SELECT CASE WHEN n_nationkey < 4 THEN n_nationkey || '_OLD' ELSE CAST(n_nationkey AS VARCHAR) END AS c_ar, n_name AS l_ar,
+       0.75 AS surface, 0.75 AS area FROM nation
+UNION ALL
+SELECT '1', 'Centre', 0.75 * COUNT(*), 0.75 * COUNT(*) FROM nation WHERE n_nationkey < 4""")
+def s18_merged_feature(spark, d):
+    """S-18: features of the districts, the first four renamed and merged into a new one."""
+    of = _districts(spark, d).select(
+        F.col("quartier_id").cast("string").alias("c_ar"), F.col("name").alias("l_ar"), geo.area(F.col("geometry")).alias("surface"), "geometry"
+    )
+    out = outline.merge_features(of, "c_ar", ["0", "1", "2", "3"], "1", {"l_ar": "Centre"}, "surface")
+    return out.select("c_ar", "l_ar", "surface", geo.area(F.col("geometry")).alias("area"))
