@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from civlens.functions import dates, geo
 from civlens.operators import features as FE
 from civlens.operators import ml as ML
+from civlens.operators import neighbours as N
 from civlens.operators import windows as W
 from civlens.operators.aggregates import count_by
 from civlens.operators.joins import chain_left_joins, left_join_dim
@@ -350,3 +351,50 @@ def m05_count_dataset(spark, d):
     leads = leads.withColumn("dayofweek", dates.day_of_week_monday0(F.col("date"))).withColumn("month", F.month("date"))
     out = left_join_dim(leads, district_features(spark, d).drop("name"), "quartier_id")
     return out.join(daily_traffic(spark, d), ["date", "quartier_id"], "left")
+
+
+_PAIR_SQL = "list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE) for x in list_zip(a.embedding, b.embedding)])"
+
+
+@register("m14_knn", f"""
+WITH near AS (
+  SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_PAIR_SQL}, b.vec_id) AS r
+  FROM embeddings a, embeddings b WHERE b.vec_id % 4 <> 0),
+votes AS (
+  SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY COUNT(*) DESC, label) AS r
+  FROM near WHERE near.r <= 8 GROUP BY vec_id, label)
+SELECT e.vec_id, CAST(e.vec_id % 4 = 0 AS BIGINT) AS is_test, CAST(e.label AS BIGINT) AS label, CAST(v.label AS BIGINT) AS predicted
+FROM embeddings e JOIN votes v ON v.vec_id = e.vec_id AND v.r = 1""")
+def m14_knn(spark, d):
+    """M-14: k-NN classifier (k = 8): predictions for the train and the test rows."""
+    e = rt(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    said = N.knn_classify(e.where("vec_id % 4 <> 0"), e, "vec_id", "embedding", "label", 8)
+    return e.join(said, "vec_id").select("vec_id", (F.col("vec_id") % 4 == 0).alias("is_test"), "label", "predicted")
+
+
+def _draw_sql(seed, what):
+    return f"('0x' || substr(md5('{seed}:{what}:' || base || ':' || copy), 1, 15))::BIGINT"
+
+
+@register("m13_smote", f"""
+WITH sized AS (
+  SELECT vec_id AS base, label, COUNT(*) OVER (PARTITION BY label) AS n,
+         row_number() OVER (PARTITION BY label ORDER BY {_hash_sql(9, 'vec_id')}) AS r FROM embeddings),
+lack AS (SELECT *, (SELECT MAX(n) FROM sized) - n AS m FROM sized),
+copies AS (
+  SELECT base, label, n, unnest(generate_series(1, m // n + CAST(r <= m % n AS BIGINT))) AS copy FROM lack),
+drawn AS (
+  SELECT *, {_draw_sql(9, 'neighbour')} % least(5, n - 1) + 1 AS rank, {_draw_sql(9, 'share')} / 1152921504606846976.0 AS u FROM copies),
+near AS (
+  SELECT a.vec_id AS base, b.vec_id AS neighbour, a.embedding AS ea, b.embedding AS eb,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY {_PAIR_SQL}, b.vec_id) AS rank
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT CAST(d.label AS BIGINT) AS label, d.base, CAST(d.copy AS BIGINT) AS copy, n.neighbour, round(d.u, 6) AS u,
+       round(list_sum([x[3] * (x[1]::DOUBLE + x[4] * (x[2]::DOUBLE - x[1]::DOUBLE))
+                       for x in list_zip(n.ea, n.eb, range(1, len(n.ea) + 1), list_resize([d.u], len(n.ea), d.u))]), 6) AS weighted_sum
+FROM drawn d JOIN near n ON n.base = d.base AND n.rank = d.rank""")
+def m13_smote(spark, d):
+    """M-13: synthetic rows that level the classes; weighted_sum digests their vectors."""
+    new = N.smote(rt(spark, d, "embeddings"), "vec_id", "embedding", "label", 5, seed=9)
+    digest = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return new.select("label", "base", "copy", "neighbour", "u", digest.alias("weighted_sum"))

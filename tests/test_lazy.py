@@ -4,7 +4,7 @@ from civlens.plans import catalog
 
 SF_SMALL = "/root/testdata/sf0.001"
 #: Queries that fit a model, an index of categories or clusters while they are built.
-FITTED = ("m01", "m06", "m15", "m16", "m17", "m18", "m19", "m21_forest", "sp16", "s18")
+FITTED = ("m01", "m06", "m11", "m13", "m14", "m15", "m16", "m17", "m18", "m19", "m21_forest", "sp16", "s18")
 
 
 def test_building_runs_no_jobs(spark):
