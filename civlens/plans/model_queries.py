@@ -8,6 +8,7 @@ from civlens.functions import dates, geo
 from civlens.operators import features as FE
 from civlens.operators import ml as ML
 from civlens.operators import neighbours as N
+from civlens.operators import power as PW
 from civlens.operators import windows as W
 from civlens.operators.aggregates import count_by
 from civlens.operators.joins import chain_left_joins, left_join_dim
@@ -398,3 +399,46 @@ def m13_smote(spark, d):
     new = N.smote(rt(spark, d, "embeddings"), "vec_id", "embedding", "label", 5, seed=9)
     digest = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
     return new.select("label", "base", "copy", "neighbour", "u", digest.alias("weighted_sum"))
+
+
+def _yj_sql(v, lam):
+    up = f"CASE WHEN {lam} = 0 THEN ln(1 + {v}) ELSE (pow({v} + 1, {lam}) - 1) / {lam} END"
+    down = f"CASE WHEN {lam} = 2 THEN -ln(1 - {v}) ELSE -(pow(1 - {v}, 2 - {lam}) - 1) / (2 - {lam}) END"
+    return f"CASE WHEN {v} >= 0 THEN {up} ELSE {down} END"
+
+
+_POWER_COLUMNS = ["l_extendedprice", "l_discount"]
+
+
+def _power_sql():
+    ctes = ["x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, CAST({c} AS DOUBLE) AS v FROM lineitem" for c in _POWER_COLUMNS) + ")"]
+    grid = f"SELECT c, v, unnest(generate_series({-PW.BOUND}, {PW.BOUND}, {PW.SPACINGS[0]})) AS k FROM x"
+    for r, _ in enumerate(PW.SPACINGS):
+        if r:
+            grid = f"SELECT c, v, k + unnest(generate_series(-10, 10)) * {PW.SPACINGS[r]} AS k FROM x JOIN best{r - 1} USING (c)"
+        ctes.append(f"""best{r} AS MATERIALIZED (
+  SELECT c, arg_max(k, ll) AS k FROM (
+    SELECT c, k, -n / 2.0 * ln(var) + (k * {PW.STEP} - 1) * s AS ll FROM (
+      SELECT c, k, COUNT(v) AS n, AVG(y) AS m, AVG(y * y) AS m2, SUM(sign(v) * ln(1 + abs(v))) AS s,
+             CASE WHEN isfinite(AVG(y * y)) THEN var_pop(y) FILTER (WHERE abs(y) < 1e150) END AS var
+      FROM (SELECT c, v, k, {_yj_sql('v', f'(k * {PW.STEP})')} AS y FROM ({grid})) GROUP BY c, k)
+    WHERE var > {PW.FLAT} * greatest(1, m * m) AND isfinite(var)) GROUP BY c)""")
+    last = f"best{len(PW.SPACINGS) - 1}"
+    ys = ", ".join(
+        f"{_yj_sql(c, f'{c}_lam')} AS {c}_y" for c in _POWER_COLUMNS
+    )
+    lams = ", ".join(f"(SELECT k * {PW.STEP} FROM {last} WHERE c = '{c}') AS {c}_lam" for c in _POWER_COLUMNS)
+    ctes.append(f"t AS (SELECT *, {ys} FROM (SELECT l_orderkey, l_linenumber, {', '.join(_POWER_COLUMNS)}, {lams} FROM lineitem))")
+    out = ", ".join(
+        f"round(({c}_y - (SELECT AVG({c}_y) FROM t)) / (SELECT stddev_pop({c}_y) FROM t), 6) AS {c}, round({c}_lam, 6) AS {c}_lambda"
+        for c in _POWER_COLUMNS
+    )
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {out} FROM t"
+
+
+@register("m11_power_transform", _power_sql())
+def m11_power_transform(spark, d):
+    """M-11: Yeo-Johnson transform, most likely lambdas, standardised."""
+    li = rt(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_POWER_COLUMNS)
+    lambdas = PW.fit_lambdas(li, _POWER_COLUMNS)
+    return PW.power_apply(li, li, lambdas).select("*", *[F.lit(v).alias(f"{c}_lambda") for c, v in lambdas.items()])
