@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civlens.operators.joins import with_group_row
+
 # The three report date layouts tried in this order.
 REPORT_DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm")
 
@@ -41,7 +43,7 @@ def convert_date_format(
     for i in reversed(range(len(formats))):
         chosen = F.when(F.col(f"__ok{i}"), F.try_to_timestamp(c, F.lit(formats[i]))).otherwise(chosen)
     if group_by:
-        joined = df.join(decision, on=list(group_by), how="left")
+        joined = with_group_row(df, decision, list(group_by), column, "left")
     else:
         joined = _attach_one_row(df, decision)
     return joined.withColumn(out, chosen).drop(*[f"__ok{i}" for i in range(len(formats))])

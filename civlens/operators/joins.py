@@ -46,3 +46,16 @@ def lookup_divide(
     means = lookup.groupBy(key).agg(F.avg(denominator).alias("__den"))
     joined = fact.join(means, on=key, how="left")
     return joined.withColumn(out, F.try_divide(F.col(numerator), F.col("__den"))).drop("__den")
+
+
+#: Keys over which the rows of one group are dealt where a group's row is looked up.
+GROUP_SALTS = 256
+
+
+def with_group_row(df: DataFrame, rows: DataFrame, group: Sequence[str], spread: str, how: str = "inner") -> DataFrame:
+    """``df`` with the columns of the one row that ``rows`` has for its group. A group may hold any
+    share of ``df``: its rows are dealt by a hash of the column ``spread`` over GROUP_SALTS keys, on
+    each of which the group's row stands, so no task gets a whole group."""
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(GROUP_SALTS)).cast("int"))
+    copies = rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(GROUP_SALTS - 1))))
+    return dealt.join(copies, [*group, "__salt"], how).drop("__salt")

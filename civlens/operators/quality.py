@@ -57,16 +57,20 @@ def iqr_outliers(df: DataFrame, features: Sequence[str], key: Sequence[str] | No
     """A-30: rows beyond q25 - 1.5 IQR or q75 + 1.5 IQR of a feature; a row is repeated
     once per feature it is an outlier on, with ``Outlier`` = that feature's name.
 
-    The bounds of all features come from one pass of exact quantiles (a row a feature), joined to
-    the rows' (feature, value) pairs.
+    The bounds of all features come from one pass of exact quantiles, turned into one row and attached
+    as a scalar subquery: the rows are neither joined nor shuffled.
     """
     bounds = quantiles_of(df, features, [0.25, 0.75], ["q25", "q75"])
     span = (F.col("q75") - F.col("q25")) * 1.5
-    bounds = bounds.select(F.col("column").alias("Outlier"), (F.col("q25") - span).alias("__lo"), (F.col("q75") + span).alias("__hi"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), _col(f).cast("double").alias("v")) for f in features]))
-    long = df.withColumn("__p", pairs)
-    out = long.join(bounds, F.col("__p.f") == F.col("Outlier"))
-    return out.where("__p.v < __lo or __p.v > __hi").drop("__p", "__lo", "__hi")
+    of = lambda k, bound: F.max(F.when(F.col("column") == features[k], bound))
+    fences = [F.struct(of(k, F.col("q25") - span).alias("lo"), of(k, F.col("q75") + span).alias("hi")) for k in range(len(features))]
+    pairs = [
+        F.struct(F.lit(f).alias("f"), _col(f).cast("double").alias("v"), F.get("__fences", F.lit(k)).alias("fence"))
+        for k, f in enumerate(features)
+    ]
+    long = df.withColumn("__fences", bounds.agg(F.array(*fences)).scalar()).withColumn("__p", F.explode(F.array(*pairs)))
+    out = long.where("__p.v < __p.fence.lo or __p.v > __p.fence.hi").withColumn("Outlier", F.col("__p.f"))
+    return out.drop("__p", "__fences")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
