@@ -2,19 +2,24 @@
 
 Distinct (category, text) pairs are compared with the official names of their category. A text that
 holds a name, or that a name holds, scores 100 by definition and is settled by built-in functions;
-the others are scored by one Arrow UDF call per pair; the best name wins from MATCH_THRESHOLD on. Below it, a small table of rules (category, pattern, label) decides, then the
+the others are scored against the names that their letters do not rule out; the best name wins from
+MATCH_THRESHOLD on. Below it, a small table of rules (category, pattern, label) decides, then the
 category's fallback. Results are joined back on (category, text); Python never runs per report.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civlens.functions import fuzzy
+from civlens.operators.joins import with_group_row
 
 MATCH_THRESHOLD = 70
+#: Texts and names of a category that meet in one task.
+TEXTS_CHUNK, NAMES_CHUNK = 4096, 1024
 OTHER = "Autres"
 
 #: Category (empty: any), text to compare with, label of a text that is close to it.
@@ -58,6 +63,42 @@ def label_below_threshold(category: str, text: str, best: str, strict: bool = Fa
     return OTHER if fuzzy.ratio(text, LAST_RULE) > MATCH_THRESHOLD else best
 
 
+def best_names(texts: DataFrame, official: DataFrame) -> DataFrame:
+    """(__cat, __txt, __name, __score): the name of the text's category (of ``official``: __cat, __name,
+    __ord) with the highest partial score, the smallest (__ord, __name) of equal ones. ``texts`` are
+    distinct (__cat, __txt).
+
+    Texts and names of a category meet in chunks of bounded size; in each, a text is scored only
+    against names whose letters and letter pairs let them reach its best score so far.
+    """
+    parts = lambda df, size, n: df.groupBy("__cat").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(n))
+    sizes = parts(texts, TEXTS_CHUNK, "__turns").join(parts(official, NAMES_CHUNK, "__blocks"), "__cat")
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = with_group_row(texts, sizes, ["__cat"], "__txt").select(
+        "__cat", "__txt", deal("__txt", "__turns").alias("__turn"), every("__blocks").alias("__block")
+    )
+    right = with_group_row(official, sizes, ["__cat"], "__name").select(
+        "__cat", "__name", "__ord", deal("__name", "__blocks").alias("__block"), every("__turns").alias("__turn")
+    )
+    kind = official.schema["__ord"].dataType
+    schema = T.StructType([T.StructField("__cat", T.StringType()), T.StructField("__txt", T.StringType()), T.StructField("__name", T.StringType()),
+                           T.StructField("__ord", kind), T.StructField("__score", T.IntegerType())])
+
+    def choose(some: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        of = of.sort_values(["__ord", "__name"], ignore_index=True)
+        names = fuzzy.Names(of["__name"].tolist())
+        found = [names.best(t)[:2] for t in some["__txt"]] if len(of) else []
+        chosen = of.iloc[[i for _, i in found]].reset_index(drop=True)
+        out = some[["__cat", "__txt"]].iloc[: len(found)].reset_index(drop=True)
+        return out.assign(__name=chosen["__name"], __ord=chosen["__ord"], __score=[s for s, _ in found])
+
+    group = ["__cat", "__block", "__turn"]
+    met = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(choose, schema)
+    first = Window.partitionBy("__cat", "__txt").orderBy(F.desc("__score"), "__ord", "__name")
+    return met.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").select("__cat", "__txt", "__name", "__score")
+
+
 def correct_subcategories(
     df: DataFrame,
     official: DataFrame,
@@ -84,17 +125,14 @@ def correct_subcategories(
     held = (F.col("__t") != "") & (F.col("__n") != "") & (F.contains("__t", "__n") | F.contains("__n", "__t"))
     first = F.min(F.struct("__ord", "__name"))["__name"]
     exact = met.where(held).groupBy("__cat", "__txt").agg(first.alias("__fixed"))
-    rest = told.join(exact, ["__cat", "__txt"], "left_anti").join(off, "__cat")
-    scored = rest.withColumn("__score", fuzzy.best_window_udf(F.col("__txt"), F.col("__name")))
-    rank = F.struct((-F.col("__score")).alias("neg"), F.col("__ord").alias("o"), F.col("__name").alias("n"))
-    best = scored.groupBy("__cat", "__txt").agg(F.min(rank).alias("__b"))
+    best = best_names(told.join(exact, ["__cat", "__txt"], "left_anti"), off)
 
     @F.pandas_udf("string")
     def labelled(cats: pd.Series, texts: pd.Series, names: pd.Series, scores: pd.Series) -> pd.Series:
         rows = zip(cats, texts, names, scores, strict=True)
         return pd.Series([n if s >= MATCH_THRESHOLD else label_below_threshold(c, t, n, strict) for c, t, n, s in rows], dtype="object")
 
-    fixed = best.select("__cat", "__txt", labelled("__cat", "__txt", "__b.n", -F.col("__b.neg")).alias("__fixed"))
+    fixed = best.select("__cat", "__txt", labelled("__cat", "__txt", "__name", "__score").alias("__fixed"))
     fixed = fixed.union(exact)
     has_list = off.select("__cat").distinct().withColumn("__has", F.lit(True))
     lookup = pairs.join(has_list, "__cat", "left").join(fixed, ["__cat", "__txt"], "left")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from civlens.operators.fuzzy_correct import correct_subcategories
+from civlens.operators.fuzzy_correct import best_names, correct_subcategories
 from civlens.plans.catalog import register
 from civlens.plans.cleaning import clean_reports
 from civlens.plans.scalar_queries import _mixed_date_text
@@ -87,3 +87,21 @@ def c01_clean_reports(spark, d):
                             cell=0.25)
     return cleaned.groupBy("year", "quartier_id", "category_FR", "subcategory_FR").agg(
         F.count(F.lit(1)).alias("count"))
+
+
+@register("t07_fuzzy_best_name")
+def t07_fuzzy_best_name(spark, d):
+    """T-06 / T-07: names with two letters swapped or one replaced, and texts unlike any name, against
+    the official names of their type: best name and score."""
+    li = rt(spark, d, "lineitem").select("l_partkey", "l_linenumber", "l_orderkey")
+    part = rt(spark, d, "part").select("p_partkey", F.col("p_type").alias("__cat"), F.col("p_name").alias("name"))
+    at = F.col("l_orderkey") % F.greatest(F.length("name") - 1, F.lit(1)) + 1
+    cut = lambda a, n=None: F.substring("name", a, F.lit(1000) if n is None else n)
+    swapped = F.concat(cut(F.lit(1), (at - 1).cast("int")), cut((at + 1).cast("int"), F.lit(1)), cut(at.cast("int"), F.lit(1)), cut((at + 2).cast("int")))
+    replaced = F.concat(cut(F.lit(1), (at - 1).cast("int")), F.lit("#"), cut((at + 1).cast("int")))
+    kind = F.col("l_linenumber") % 3
+    text = F.when(kind == 0, swapped).when(kind == 1, replaced).otherwise(F.concat(F.lit("qqq "), F.col("l_linenumber").cast("string"), F.lit(" zzz")))
+    texts = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select("__cat", text.alias("__txt")).distinct()
+    names = _official(spark, d).select(F.col("category_FR").alias("__cat"), F.col("name_FR").alias("__name"), F.col("name_FR").alias("__ord"))
+    best = best_names(texts, names)
+    return best.select(F.col("__cat").alias("category"), F.col("__txt").alias("text"), F.col("__name").alias("name"), F.col("__score").alias("score"))
