@@ -110,7 +110,7 @@ def centroid(mp: Column) -> Column:
         )
 
     tot = F.aggregate(rings, zero, add)
-    return F.struct((tot["mx"] / tot["a"]).alias("x"), (tot["my"] / tot["a"]).alias("y"))
+    return F.struct(F.try_divide(tot["mx"], tot["a"]).alias("x"), F.try_divide(tot["my"], tot["a"]).alias("y"))
 
 
 def line_length(line: Column) -> Column:
@@ -400,6 +400,11 @@ def point_to_wkt(x: Column, y: Column) -> Column:
     return F.concat(F.lit("POINT ("), _fmt(x), F.lit(" "), _fmt(y), F.lit(")"))
 
 
+def multipoint_to_wkt(points: Column) -> Column:
+    each = F.transform(points, lambda p: F.concat(F.lit("("), _fmt(p["x"]), F.lit(" "), _fmt(p["y"]), F.lit(")")))
+    return F.concat(F.lit("MULTIPOINT ("), F.array_join(each, ", "), F.lit(")"))
+
+
 def wkt_polygon(txt: Column) -> Column:
     """SP-14 read: POLYGON or MULTIPOLYGON text -> multipolygon; null otherwise."""
     kind = F.upper(F.regexp_extract(txt, r"^\s*(\w+)", 1))

@@ -103,10 +103,11 @@ def year_from_file(file_col: str = "_file_name", pattern: str = r"(\d{4})") -> F
     return F.regexp_extract(F.col(file_col), pattern, 1).try_cast("int")
 
 
-def read_columns(spark: SparkSession, glob: str, columns: Sequence[str], sep: str = ";") -> DataFrame:
-    """S-07: many text files by glob, only ``columns`` kept (pruned by Catalyst)."""
-    df = spark.read.option("header", True).option("sep", sep).csv(glob)
-    return _strip_bom(df).select(*columns)
+def read_columns(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], sep: str = ";") -> DataFrame:
+    """S-07: many text files by glob, only ``columns`` kept, found by name in each file's header; a
+    file without one of them gives nulls."""
+    df = read_delimited(spark, paths, sep)
+    return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
 def read_geojson_features(spark: SparkSession, path: str) -> DataFrame:
@@ -146,24 +147,31 @@ def read_osm_elements(spark: SparkSession, path: str, key: str) -> DataFrame:
     """S-09 / T-09..T-11: OSM JSON export -> id, lat, lon, category, subcategory, name,
     geometry (WKT).
 
-    Coordinates: node lat/lon, else the element's centre, else the centroid of its line;
-    an element with more than 2 members takes the mean of its members' centroids
-    (multipoint); a point keeps its WKT point, other shapes their centroid point.
+    An element with more than 2 members is the MULTIPOINT of its members' centroids, at their mean; a
+    point is itself; another shape is the point of its centroid (of the area of a closed ring, else of
+    the line), or of its centre if the export has no geometry.
     """
     doc = spark.read.option("multiLine", True).schema(OSM_ELEMENT_SCHEMA).json(path)
     el = doc.select(F.explode("elements").alias("e")).select("e.*")
-    line = F.transform(F.col("geometry"), lambda p: geo.pt(p["lon"], p["lat"]))
+
+    def shape_centroid(points: Column) -> Column:
+        line = F.transform(points, lambda p: geo.pt(p["lon"], p["lat"]))
+        closed = (F.size(line) > 3) & (F.get(line, 0) == F.get(line, F.size(line) - 1))
+        inside = geo.centroid(F.array(F.array(line)))
+        return F.when(geo.line_length(line) == 0, F.get(line, 0)).when(closed & inside["x"].isNotNull(), inside).otherwise(geo.line_centroid(line))
+
     # a member is a point or a line; one without either is skipped
     placed = F.filter("members", lambda m: m["lat"].isNotNull() | (F.size(m["geometry"]) > 0))
     member_centroids = F.transform(placed, lambda m: F.when(m["lat"].isNotNull(), geo.pt(m["lon"], m["lat"])).otherwise(
-        geo.line_centroid(F.transform(m["geometry"], lambda p: geo.pt(p["lon"], p["lat"])))))
+        shape_centroid(m["geometry"])))
+    many = (F.size("members") > 2) & (F.size(placed) > 0)
     c = (
-        F.when((F.size("members") > 2) & (F.size(placed) > 0), geo.points_centroid(member_centroids))
+        F.when(many, geo.points_centroid(member_centroids))
         .when(F.col("lat").isNotNull(), geo.pt(F.col("lon"), F.col("lat")))
+        .when(F.size("geometry") > 0, shape_centroid(F.col("geometry")))
         .when(F.col("center").isNotNull(), geo.pt(F.col("center.lon"), F.col("center.lat")))
-        .when(F.size("geometry") > 0, geo.line_centroid(line))
     )
-    out = el.withColumn("__c", c)
+    out = el.withColumn("__c", c).withColumn("__many", F.when(many, geo.multipoint_to_wkt(member_centroids)))
     return out.select(
         F.col("id").cast("string").alias("id_"),
         F.col("__c.y").alias("lat"),
@@ -171,7 +179,7 @@ def read_osm_elements(spark: SparkSession, path: str, key: str) -> DataFrame:
         F.lit(key).alias("category"),
         text.first_of_list(F.col("tags")[key]).alias("subcategory"),
         text.normalise_apostrophes(F.col("tags")["name"]).alias("name"),
-        F.when(F.col("__c").isNotNull(), geo.point_to_wkt(F.col("__c.x"), F.col("__c.y"))).alias("geometry"),
+        F.coalesce("__many", F.when(F.col("__c").isNotNull(), geo.point_to_wkt(F.col("__c.x"), F.col("__c.y")))).alias("geometry"),
     )
 
 

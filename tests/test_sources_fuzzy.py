@@ -1,5 +1,6 @@
 """Readers, sinks, fuzzy scores and the correction ladder."""
 
+import json
 import random
 
 import pytest
@@ -133,4 +134,28 @@ def test_osm_members_without_geometry_are_skipped(spark, tmp_path):
            ' {"type": "way"}, {"geometry": [{"lat": 3.0, "lon": 4.0}, {"lat": 3.0, "lon": 4.0}]}]}]}')
     (tmp_path / "m.json").write_text(osm)
     row = readers.read_osm_elements(spark, str(tmp_path / "m.json"), "shop").first()
-    assert row.lat is not None and row.lon is not None and row.geometry is not None
+    assert (row.lat, row.lon, row.geometry) == (2.0, 3.0, "MULTIPOINT ((2.0 1.0), (4.0 3.0))")
+
+
+def test_osm_shapes(spark, tmp_path):
+    ring = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4), (0, 0)]
+    points = lambda of: [{"lon": float(x), "lat": float(y)} for x, y in of]
+    elements = [
+        {"id": 1, "geometry": points(ring), "center": {"lat": 9.0, "lon": 9.0}},
+        {"id": 2, "geometry": points([(0, 0), (3, 0), (3, 1)])},
+        {"id": 3, "geometry": points([(2, 2), (2, 2), (2, 2), (2, 2)])},
+        {"id": 4, "members": [{"lat": 1.0, "lon": 1.0}, {"lat": 3.0, "lon": 3.0}], "center": {"lat": 7.0, "lon": 8.0}},
+    ]
+    (tmp_path / "s.json").write_text(json.dumps({"elements": elements}))
+    rows = {r.id_: r for r in readers.read_osm_elements(spark, str(tmp_path / "s.json"), "shop").collect()}
+    # an L of the areas 4 and 3, centred at (2, 0.5) and (0.5, 2.5)
+    assert abs(rows["1"].lon - 9.5 / 7) < 1e-12 and abs(rows["1"].lat - 9.5 / 7) < 1e-12
+    assert abs(rows["2"].lon - (1.5 * 3 + 3) / 4) < 1e-12 and abs(rows["2"].lat - 0.5 / 4) < 1e-12
+    assert rows["3"].geometry == "POINT (2.0 2.0)" and rows["4"].geometry == "POINT (8.0 7.0)"
+
+
+def test_columns_of_many_files_by_name(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("iu_ac;t_1h;q\n1;2020-01-01;5\n")
+    (tmp_path / "b.txt").write_text("q;iu_ac\n7;2\n8;3\n")
+    rows = readers.read_columns(spark, str(tmp_path / "*.txt"), ["iu_ac", "q", "t_1h"]).collect()
+    assert sorted(map(tuple, rows)) == [("1", "5", "2020-01-01"), ("2", "7", None), ("3", "8", None)]
