@@ -21,8 +21,8 @@ def both(df, order, ranges):
     return rows(got), rows(want), got
 
 
-@pytest.mark.parametrize("ranges", [2, 7, 64])
-@pytest.mark.parametrize("n", [0, 1, 4, 40, 900])
+@pytest.mark.parametrize("ranges", [2, 64])
+@pytest.mark.parametrize("n", [0, 4, 300])
 def test_equal_a_global_window(spark, n, ranges):
     rng = random.Random(n)
     rows = [(rng.randint(0, max(1, n // 3)) if rng.random() < 0.9 else None, k, rng.randint(0, 99)) for k in range(n)]
