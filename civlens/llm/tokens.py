@@ -16,7 +16,7 @@ from itertools import repeat
 import numpy as np
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 SEGMENT_CHARS = 1 << 19
 BATCH_CHARS = 1 << 20
 #: Longer pieces are not told apart by their hash.
@@ -33,6 +33,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+SPACE_LETTER = BYTE_LETTERS[32]
 
 
 def default_path() -> str:
@@ -115,6 +116,7 @@ class PieceTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        self.model._resize_cache(0)  # pieces are remembered here, once
         # a byte-level token is written with one character a byte
         vocabulary = self.tok.get_vocab(with_added_tokens=False)
         self.width = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), np.int64)
@@ -129,6 +131,7 @@ class PieceTokenizer:
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.empty(1 << 14, np.int64)
         self.count = np.empty(1 << 14, np.int32)
+        self.again = np.zeros(1 << 14, bool)
         self.used = 0
 
     def _learn_new(self, new: list[bytes]):
@@ -136,11 +139,16 @@ class PieceTokenizer:
         and goes straight to the model. Of the others, those that begin with their space or line
         feed are encoded many at a time in one text, where the ids' byte lengths tell where each one
         ends."""
-        units, plain, single = [], [], []
+        units, words, plain, single = [], [], [], []
         for p in new:
-            core = p[1:] if p[0] == 32 else p
-            if core.isalpha() if core.isascii() else core.decode().isalpha():
+            spaced = p[0] == 32
+            core = p[1:] if spaced else p
+            if core.isalpha():  # of ASCII only; its letters stand for themselves
                 units.append(p)
+                words.append(SPACE_LETTER + core.decode() if spaced else core.decode())
+            elif not core.isascii() and core.decode().isalpha():
+                units.append(p)
+                words.append(p.decode("latin-1").translate(BYTE_LETTERS))
             else:
                 (plain if joinable(p) else single).append(p)
         for a in range(0, len(plain), 1024):
@@ -153,10 +161,16 @@ class PieceTokenizer:
                 self._store(some, ids, np.diff(at, prepend=-1))
             else:
                 single += some
-        rows = [[t.id for t in self.model.tokenize(p.decode("latin-1").translate(BYTE_LETTERS))] for p in units]
-        rows += [self._ids(p) for p in single]
-        flat = np.array([i for r in rows for i in r], np.uint32)
-        self._store(units + single, flat, np.fromiter(map(len, rows), np.int64, len(rows)))
+        flat, lens = [], []
+        for w in words:
+            got = self.model.tokenize(w)
+            lens.append(len(got))
+            flat += [t.id for t in got]
+        for p in single:
+            got = self._ids(p)
+            lens.append(len(got))
+            flat += got
+        self._store(units + single, np.array(flat, np.uint32), np.array(lens, np.int64))
 
     def _ids(self, piece: bytes) -> list[int]:
         return self.tok.encode_batch_fast([piece.decode()], add_special_tokens=False)[0].ids
@@ -178,6 +192,7 @@ class PieceTokenizer:
         while base + n > len(self.start):
             self.start = np.concatenate([self.start, np.empty_like(self.start)])
             self.count = np.concatenate([self.count, np.empty_like(self.count)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.count[base : base + n] = lens
         self.start[base : base + n] = self.used + np.cumsum(lens) - lens
@@ -185,9 +200,15 @@ class PieceTokenizer:
         self.code.update(zip(new, range(base, base + n), strict=True))
 
     def room(self):
-        """Forget the pieces if there are too many. Codes got before are void then."""
-        if len(self.code) > CACHE_PIECES:
-            self._clear()
+        """If there are too many pieces, forget those that no later batch has asked for again, and of
+        the others all but the newest half of the room. Codes got before are void then."""
+        if len(self.code) <= CACHE_PIECES:
+            return
+        pieces = list(self.code)
+        kept = np.flatnonzero(self.again[: len(pieces)])[-CACHE_PIECES // 2 :]
+        flat, lens = self.expand(kept), self.count[kept]
+        self._clear()
+        self._store([pieces[k] for k in kept.tolist()], flat, lens)
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts, and the position after each text's last piece.
@@ -208,6 +229,7 @@ class PieceTokenizer:
         _, place, piece = np.unique(key, return_index=True, return_inverse=True)
         different = [blob[a:b] for a, b in zip(first[place].tolist(), stop[place].tolist(), strict=True)]
         known = np.fromiter(map(self.code.get, different, repeat(-1)), np.int64, len(different))
+        self.again[known[known >= 0]] = True
         missing = np.flatnonzero(known < 0).tolist()
         if missing:
             self._learn(list(dict.fromkeys([different[k] for k in missing])))
