@@ -1,26 +1,25 @@
 """Packing: lexical retrieval packing with a sharded BM25 inverted index.
 
 Terms are the words of a text (told apart by 64-bit hashes); their document frequencies are those of
-the whole input. Neighbours are looked up in the postings of all documents, by a join on each
-document's QUERY_TERMS rarest shared terms. A term of more than HOT documents is looked up in blocks
-of documents that agree in a min-hash of their rarest terms, of about HOT documents each. The best
-NEIGHBOURS of each document are kept, and groups of documents grow by joining the group of their best
-outside neighbour, round by round, until they hold half of SHARD_BYTES of text. Groups are dealt by
-hash into shards of about SHARD_BYTES; a group that a round made larger is dealt by the groups it was
-made of.
-
-A task indexes a shard with BM25 weights of the whole input's statistics and fills windows of
-``window`` ids: a seed document first; then, while room is left, the unused documents that score
-highest for the seed's rarest terms; then the next seed, group by group. What a window cuts off goes
+the whole input. Documents are put in an order of their content: each has BANDS min-hashes of its
+terms, but for those that over 1/COMMON of all documents hold, and takes the smallest key among all
+documents with which it shares one; a key begins with the document's most frequent term, which parts
+languages. The order is range-partitioned, and each task cuts its range into shards of about
+SHARD_BYTES, one after the other, so near copies and texts of one kind meet in a shard.
+
+A task indexes a shard with BM25 weights of the whole input's statistics, all terms of all documents,
+and fills windows of ``window`` ids: a seed document first; then, while room is left, the unused
+documents that score highest for the seed's terms; then the next seed. What a window cuts off goes
 on in the next one, so only a shard's last window can be short; it is cut into sequences of descending
 powers of two, which need no padding.
 
-Null text: empty; its document holds only the end id. Null doc_id: kept. Repeated rows: each is
-packed by itself (they score highest for each other and so come to stand side by side). Empty table:
-no rows. A text longer than a shard: its shard is as long. Extra columns are ignored.
+Null text: empty; its document holds only the end id. Null doc_id: kept. Repeated rows and ties: each
+row is packed by itself; equal scores go by the place in the shard, equal rows stand side by side, over
+several shards if they are many. Empty table: no rows. A text longer than a shard: its shard is as
+long. Extra columns are ignored.
 
-A query uses at most QUERY_TERMS terms; this bounds its cost, and what it misses changes the
-order of documents only, never which ids are packed.
+The OFTEN most frequent terms have their exact document frequency; a rarer one has the shard's. This
+and the order shape which documents stand together, never which ids are packed.
 """
 
 from __future__ import annotations
@@ -30,129 +29,159 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civlens.llm.common import release, written
-from civlens.llm.jaccard_join import components, slices
-from civlens.llm.tokens import batches, default_path, tokenizer
+from civlens.llm.jaccard_join import slices
+from civlens.llm.tokens import batches, byte_tables, default_path, tokenizer
 
 WINDOW = 1024
 SHARD_BYTES = 4 << 20
-QUERY_TERMS = 12
-HOT = 64
-NEIGHBOURS = 8
+#: A shard's scores are a square of this side at most.
+SHARD_ROWS = 2048
+#: Shards a task packs, about; a task holds one at a time, so any number will do.
+TASK_SHARDS = 4
+MAX_TASKS = 10_000
+BANDS = 6
+COMMON = 64
 #: Terms whose document frequencies every task knows (2 MB), at most.
 OFTEN = 1 << 17
+#: Different terms that a task counts before it passes them on.
+COUNTED = 1 << 20
 #: The usual BM25 parameters.
 K1, B = 1.2, 0.75
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, the same in any worker."""
-    found = np.array(text.encode().split(), object)
-    return pd.util.hash_array(found, categorize=False).view(np.int64) if len(found) else np.empty(0, np.int64)
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, the same in any worker, and each text's number of words."""
+    keys, counts = [np.empty(0, np.int64)], np.zeros(len(texts), np.int64)
+    for owner, parts in batches(texts):
+        raw = [p.encode() for p in parts]
+        data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        inside = (data != 32) & ((data < 9) | (data > 13))
+        edge = np.flatnonzero(np.diff(inside, prepend=False))
+        first, stop = edge[::2], edge[1::2]
+        byte, up, down = byte_tables(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
+        keys.append(((sums[stop] - sums[first]) * down[first]).view(np.int64))
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+        np.add.at(counts, owner, np.diff(np.searchsorted(first, ends), prepend=0))
+    return np.concatenate(keys), counts
+
+
+def term_frequencies(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, tf) of the different terms of documents, by term, then document."""
+    order = np.argsort(flat, kind="stable")
+    term, doc = flat[order], np.repeat(np.arange(len(counts)), counts)[order]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return term[at], doc[at], np.diff(at, append=len(term))
+
+
+class Corpus:
+    """Number of documents, their mean length, and the document frequencies ``dfs`` of the sorted ``terms``."""
+
+    def __init__(self, total: int, mean: float, terms: np.ndarray, dfs: np.ndarray):
+        order = np.argsort(terms)
+        self.total, self.mean, self.terms, self.dfs = total, mean, terms[order], dfs[order]
+
+    def df(self, term: np.ndarray) -> np.ndarray:
+        """0 for terms that are not known."""
+        if not len(self.terms):
+            return np.zeros(len(term), np.int64)
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        return np.where(self.terms[at] == term, self.dfs[at], 0)
 
 
 class Index:
-    """BM25 inverted index of one shard: postings by term, and each document's best query terms.
-
-    ``corpus``: the whole input's number of documents, mean length, and document frequency by term;
-    without it the shard is the whole input."""
-
-    def __init__(self, codes: list[np.ndarray], corpus: tuple[int, float, pd.Series] | None = None):
-        n = len(codes)
-        lens = np.fromiter(map(len, codes), np.int64, n)
-        flat = np.concatenate(codes) if n else np.empty(0, np.int64)
-        vocabulary, at, term = np.unique(flat, return_index=True, return_inverse=True)
-        rank = np.empty(len(at), np.int64)
-        rank[np.argsort(at)] = np.arange(len(at))
-        term = rank[term]  # by first place in the shard: the same in any worker
-        doc = np.repeat(np.arange(n), lens)
-        key, tf = np.unique(term * n + doc, return_counts=True)  # by term, then document
-        term, doc = key // max(n, 1), key % max(n, 1)
-        df = np.bincount(term, minlength=len(vocabulary))
-        self.first = np.concatenate([[0], np.cumsum(df)])
-        total, mean, often = n, lens.mean() if n else 1, df
+    """BM25 inverted index of one shard and, made from its postings, ``scores[a, b]`` of document b for
+    all terms of document a. Without ``corpus`` the shard is the whole input."""
+
+    def __init__(self, flat: np.ndarray, counts: np.ndarray, corpus: Corpus | None = None):
+        self.n = n = len(counts)
+        term, doc, tf = term_frequencies(flat, counts)
+        first = np.flatnonzero(np.diff(term, prepend=term[:1] - 1)) if len(term) else np.empty(0, np.int64)
+        df = np.diff(first, append=len(term))
+        total, mean, often = n, counts.mean() if n else 1, df
         if corpus is not None:
-            total, mean, known = corpus
-            often = np.empty(len(vocabulary), np.int64)
-            often[rank] = known.reindex(vocabulary).fillna(1)
-            often = np.maximum(often, df)
+            total, mean, often = corpus.total, corpus.mean, np.maximum(corpus.df(term[first]), df)
         idf = np.log1p((total - often + 0.5) / (often + 0.5))
-        norm = K1 * (1 - B + B * lens / max(mean, 1))
-        self.doc, self.n = doc, n
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        shared = df[term] > 1  # a term of one document finds nothing
-        by_doc = np.lexsort((-idf[term[shared]], doc[shared]))
-        self.terms = term[shared][by_doc]
-        self.bounds = np.searchsorted(doc[shared][by_doc], np.arange(n + 1))
+        norm = K1 * (1 - B + B * counts / max(mean, 1))
+        weight = (np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        self.scores = np.zeros((n, n), np.float32)
+        rare = max(8, n // 16)
+        cells = self.scores.reshape(-1)
+        for d in np.unique(df[(df > 1) & (df <= rare)]).tolist():
+            some, step = first[df == d], max(1, (1 << 20) // (d * d))
+            for k in range(0, len(some), step):
+                spot = some[k : k + step, None] + np.arange(d)
+                docs = doc[spot]
+                pairs = docs[:, :, None] * n + docs[:, None, :]
+                np.add.at(cells, pairs.ravel(), np.broadcast_to(weight[spot][:, None, :], pairs.shape).ravel())
+        wide = np.flatnonzero(df > rare)
+        for k in range(0, len(wide), 256):
+            some = wide[k : k + 256]
+            spot = np.concatenate([np.arange(first[t], first[t] + df[t]) for t in some])
+            column = np.repeat(np.arange(len(some)), df[some])
+            held = np.zeros((n, len(some)), np.float32)
+            weighed = held.copy()
+            held[doc[spot], column] = 1
+            weighed[doc[spot], column] = weight[spot]
+            self.scores += held @ weighed.T
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents by falling score, then by number."""
-        a = self.bounds[seed]
-        terms = self.terms[a : min(a + QUERY_TERMS, self.bounds[seed + 1])]
-        if not len(terms):
-            return terms
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        scores = np.bincount(docs, np.concatenate([self.weight[s] for s in spans]), self.n)
-        found = np.unique(docs)
-        found = found[unused[found]]
-        return found[np.argsort(-scores[found], kind="stable")]
+        found = np.flatnonzero(unused & (self.scores[seed] > 0))
+        return found[np.argsort(-self.scores[seed][found], kind="stable")]
 
 
 def order_documents(index: Index, lens: np.ndarray, window: int) -> list[int]:
     """The order in which the documents fill windows."""
     unused, out, at = np.ones(index.n, bool), [], 0
+
+    def take(d: int):
+        nonlocal at
+        unused[d] = False
+        out.append(d)
+        at += int(lens[d])
+
     for seed in range(index.n):
-        if not unused[seed]:
-            continue
         current = seed
-        while True:
-            unused[current] = False
-            out.append(current)
-            at += int(lens[current])
-            if at % window == 0:
-                break  # the window is full: a new seed starts the next
-            near = index.neighbours(current, unused)
-            full, k = at // window, 0
-            while k < len(near) and at // window == full:
-                unused[near[k]] = False
-                out.append(int(near[k]))
-                at += int(lens[near[k]])
-                k += 1
-            if k == 0 or at // window == full or at % window == 0:
-                break  # neighbours ran out, or the last one fits exactly: next seed
-            # the cut document goes on in a new window and is its seed
-            near = index.neighbours(out[-1], unused)
-            if not len(near):
-                break
-            current = int(near[0])
+        while unused[current]:
+            take(current)
+            full = at // window
+            scores = np.where(unused, index.scores[current], 0)
+            while at % window and at // window == full:
+                best = int(scores.argmax())
+                if scores[best] <= 0:
+                    break
+                scores[best] = 0
+                take(best)
+            if at % window and at // window > full:
+                # the cut document goes on in a new window and is its seed
+                scores = np.where(unused, index.scores[out[-1]], 0)
+                best = int(scores.argmax())
+                if scores[best] > 0:
+                    current = best
     return out
 
 
-def pack_shard(pdf: pd.DataFrame, path: str, window: int, end_id: int, total: int, mean: float) -> pd.DataFrame:
-    pdf = pdf.assign(text=pdf["text"].fillna(""))
-    # the same order for any arrival of rows
-    pdf = pdf.assign(null=pdf["doc_id"].isna(), n=pdf["doc_id"].astype("Int64")).sort_values(["label", "null", "n", "text"])
+def pack_shard(doc_ids: list, texts: list[str], path: str, window: int, end_id: int, base: int, corpus: Corpus) -> pd.DataFrame:
     tok = tokenizer(path)
     tok.room()
-    parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(len(pdf))]
-    for owner, some in batches(pdf["text"].tolist()):
+    parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in texts]
+    for owner, some in batches(texts):
         flat, ends = tok.codes(some)
         for k, own in zip(owner, np.split(flat, ends[:-1]), strict=True):
             parts[k].append(own)
     ids = [np.append(tok.expand(np.concatenate(p)), np.uint32(end_id)).astype("<u4") for p in parts]
     lens = np.fromiter(map(len, ids), np.int64, len(ids))
-    terms = [word_hashes(t) for t in pdf["text"]]
-    known = pd.Series(np.concatenate([*pdf["dfs"], np.empty(0, np.int64)]), np.concatenate([*pdf["terms"], np.empty(0, np.int64)]))
-    known = known[~known.index.duplicated()].astype(np.int64)
-    # terms that no document of the shard asks for count in the lengths only
-    order = order_documents(Index(terms, (total, mean, known)), lens, window)
-    doc_ids = pdf["doc_id"].tolist()
-    base = int(pdf["shard"].iat[0]) << 32
+    order = order_documents(Index(*word_hashes(texts), corpus), lens, window)
     held = int(lens.sum())
     # where sequences end: full windows, then powers of two
     cuts, rest, at = [], held % window, held - held % window
@@ -182,142 +211,115 @@ def pack_shard(pdf: pd.DataFrame, path: str, window: int, end_id: int, total: in
     return pd.DataFrame(rows, columns=names)
 
 
-def counted(part: pd.DataFrame):
-    """(place of the document, its words, term, tf) of each document's different terms, as arrays."""
-    hashed = [word_hashes(t or "") for t in part["text"]]
-    lens = np.fromiter(map(len, hashed), np.int64, len(hashed))
-    term, code = np.unique(np.concatenate([*hashed, np.empty(0, np.int64)]), return_inverse=True)
-    width = max(len(term), 1)
-    key, tf = np.unique(np.repeat(np.arange(len(lens)), lens) * width + code, return_counts=True)
-    own = key // width
-    return own, lens[own], term[key % width], tf
-
-
 def term_counts(rows: DataFrame) -> DataFrame:
     """(term, df, tf) of the whole input."""
 
+    def merged(parts):
+        term, df, tf = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(term)
+        first = np.flatnonzero(np.diff(term[order], prepend=term[order][:1] - 1))
+        return term[order][first], np.add.reduceat(df[order], first), np.add.reduceat(tf[order], first)
+
     def run(pdfs):
-        for part in slices(pdfs, 2048):
-            _, _, term, tf = counted(part)
-            different, code = np.unique(term, return_inverse=True)
-            sums = np.bincount(code, tf, len(different)).astype(np.int64)
-            yield pd.DataFrame({"term": different, "df": np.bincount(code, minlength=len(different)), "tf": sums})
+        parts, held = [], 0
+        for part in slices(pdfs, 1024):
+            flat, counts = word_hashes([t or "" for t in part["text"]])
+            if not len(flat):
+                continue
+            term, _, tf = term_frequencies(flat, counts)
+            parts.append(merged([(term, np.ones(len(term), np.int64), tf)]))
+            held += len(parts[-1][0])
+            if held > 2 * COUNTED:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held > COUNTED:
+                    yield pd.DataFrame(dict(zip(["term", "df", "tf"], parts.pop(), strict=True)))
+                    held = 0
+        if parts:
+            yield pd.DataFrame(dict(zip(["term", "df", "tf"], merged(parts), strict=True)))
 
     some = rows.select("text").mapInPandas(run, "term long, df long, tf long")
     return some.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
-def posting_rows(rows: DataFrame, often: pd.DataFrame) -> DataFrame:
-    """(row, size, term, tf) of every document's different terms; of the terms ``often`` (term, df),
-    only a document's QUERY_TERMS rarest, as it can ask for no others."""
-    often = often.sort_values("term")
-    shared = rows.sparkSession.sparkContext.broadcast((often["term"].to_numpy(np.int64), often["df"].to_numpy(np.int64)))
+def mixed(x: np.ndarray, k: int) -> np.ndarray:
+    """Well-spread 64-bit numbers of ``x``, other ones for each ``k``."""
+    x = (x.view(np.uint64) + np.uint64(2 * k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def content_keys(rows: DataFrame, shared) -> DataFrame:
+    """(row, key, b0, b1, ...) of every document: its own key, 15 bits of its most frequent term before 48
+    of the row's, and its min-hashes (-1: it has no term for one)."""
+    names = [f"b{k}" for k in range(BANDS)]
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
 
     def run(pdfs):
-        names, dfs = shared.value
+        corpus = shared.value
         for part in slices(pdfs, 512):
-            own, size, term, tf = counted(part)
-            keep = np.ones(len(own), bool)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, term), len(names) - 1)
-                hit = np.flatnonzero(names[at] == term)
-                hit = hit[np.lexsort((term[hit], dfs[at[hit]], own[hit]))]
-                keep[hit] = np.arange(len(hit)) - np.searchsorted(own[hit], own[hit]) < QUERY_TERMS
-            yield pd.DataFrame({"row": part["row"].to_numpy()[own], "size": size, "term": term, "tf": tf})[keep]
-
-    return rows.select("row", "text").mapInPandas(run, "row long, size int, term long, tf int")
-
-
-def queries_of(rows: DataFrame, sizes: DataFrame, counts: DataFrame, total: int, mean: float) -> tuple[DataFrame, DataFrame]:
-    """Weighted postings (term, row, df, weight) of the terms that several documents hold, complete up
-    to HOT documents, and the rarest of each document (row, q: df, term, weight)."""
-    often = counts.where(F.col("df") > HOT).orderBy(F.desc("df"), "term").limit(OFTEN).select("term", "df").toPandas()
-    idf = F.log1p((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = K1 * (1 - B + B * F.col("size") / max(mean, 1))
-    # a repeated row counts once as a neighbour
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm) / F.coalesce("n", F.lit(1))
-    found = posting_rows(rows, often).join(counts.where("df > 1").select("term", "df"), "term")
-    found = found.join(sizes.where("n > 1").select("row", "n"), "row", "left")
-    shared = written(found.select("term", "row", "df", weight.cast("float").alias("weight")), "pack-postings")
-    every = F.sort_array(F.collect_set(F.struct("df", "term", "weight")))
-    asked = shared.groupBy("row").agg(F.slice(every, 1, QUERY_TERMS).alias("q"))
-    return shared, written(asked, "pack-queries")
-
-
-def neighbour_lists(shared: DataFrame, asked: DataFrame) -> DataFrame:
-    """(a, b, score): the NEIGHBOURS of highest score of every document."""
-    terms = asked.select("row", "q", F.explode("q").alias("e")).select("row", "q", "e.term", "e.df", "e.weight")
-    cold = terms.where(F.col("df") <= HOT).select("term", F.col("row").alias("a"))
-    held = shared.where(F.col("df") <= HOT).select("term", F.col("row").alias("b"), "weight")
-    cold = cold.join(held, "term").where("a <> b").select("a", "b", "weight")
-    least = F.array_min(F.transform("q", lambda e: F.xxhash64(F.col("term"), e["term"])))
-    hot = terms.where(F.col("df") > HOT).select("term", "row", "weight", least.alias("near"))
-    blocks = hot.groupBy("term", "near").agg(F.ceil(F.count("*") / HOT).alias("parts"))
-    hot = hot.join(blocks, ["term", "near"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
-    keys = ["term", "near", "part"]
-    other = hot.select(*keys, F.col("row").alias("b"), "weight")
-    hot = hot.select(*keys, F.col("row").alias("a")).join(other, keys).where("a <> b").select("a", "b", "weight")
-    pairs = cold.union(hot).groupBy("a", "b").agg(F.round(F.sum("weight"), 4).alias("score"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("score", "b")), asc=False), 1, NEIGHBOURS)
-    lists = pairs.groupBy("a").agg(best.alias("e")).select("a", F.explode("e").alias("e"))
-    return written(lists.select("a", "e.b", "e.score"), "pack-neighbours")
-
-
-def groups_of(sizes: DataFrame, edges: DataFrame, full: int) -> DataFrame:
-    """(row, label, part, bytes): each document's group of about ``full`` bytes or more, as far as
-    neighbours reach, the group it was in before the last round, and the group's bytes."""
-    groups = sizes.select("row", F.col("row").alias("label"), F.col("row").alias("part"), "bytes", F.col("bytes").alias("own"))
-    groups = written(groups, "pack-groups")
-    while True:
-        growing = groups.where(F.col("bytes") < full).select("row", "label")
-        met = edges.join(growing.toDF("a", "ga"), "a").join(growing.toDF("b", "gb"), "b").where("ga <> gb")
-        links = met.groupBy("ga").agg(F.max(F.struct("score", "gb")).alias("m")).select(F.col("ga").alias("a"), F.col("m.gb").alias("b"))
-        links = written(links, "pack-links")
-        if not links.limit(1).count():
-            return groups
-        joined = components(links).toDF("label", "new")
-        moved = groups.join(joined, "label", "left")
-        moved = moved.select(
-            "row", F.coalesce("new", "label").alias("label"), F.when(F.col("new").isNull(), F.col("part")).otherwise(F.col("label")).alias("part"), "own"
-        )
-        moved = written(moved, "pack-moved")
-        whole = moved.groupBy("label").agg(F.sum("own").alias("bytes"))
-        groups = written(moved.join(whole, "label").select("row", "label", "part", "bytes", "own"), "pack-groups")
+            term, doc, _ = term_frequencies(*word_hashes([t or "" for t in part["text"]]))
+            df = corpus.df(term)
+            order = np.lexsort((df, doc))
+            last = np.searchsorted(doc[order], np.arange(len(part)), "right") - 1
+            has = np.isin(np.arange(len(part)), doc)
+            most = np.zeros(len(part), np.uint64)
+            most[has] = mixed(term[order][last[has]], BANDS) >> np.uint64(49)
+            row = part["row"].to_numpy(np.int64)
+            key = (most << np.uint64(48)) | (row.view(np.uint64) >> np.uint64(16))
+            rare = df * COMMON <= corpus.total
+            term, doc = term[rare], doc[rare]
+            out = {"row": row, "key": key.view(np.int64)}
+            for k, name in enumerate(names):
+                least = np.full(len(part), none)
+                np.minimum.at(least, doc, mixed(term, k))
+                out[name] = least.view(np.int64)
+            yield pd.DataFrame(out)
+
+    return rows.select("row", "text").mapInPandas(run, "row long, key long, " + ", ".join(f"{b} long" for b in names))
+
+
+def placed(keys: DataFrame) -> DataFrame:
+    """(row, lead): the smallest key of the documents that share a min-hash with the row's."""
+    own = keys.select("row", "key", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band")).where("band <> -1")
+    leads = own.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
+    found = own.join(leads, "band").select("row", "lead").union(keys.select("row", "key"))
+    return found.groupBy("row").agg(F.min("lead").alias("lead"))
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for each piece of a document in a sequence of at most ``window`` ids."""
     spark = docs.sparkSession
-    # equal rows are one place in the neighbour lists, and stay together
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     counts = written(term_counts(rows), "pack-terms")
-    sizes = rows.groupBy("row").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"), F.count("*").alias("n"))
-    sizes = written(sizes, "pack-sizes")
-    size, total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size, total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     mean = (counts.agg(F.sum("tf")).first()[0] or 0) / max(total, 1)
-    shared, asked = queries_of(rows, sizes, counts, total, mean)
-    release(spark)
-    edges = neighbour_lists(shared, asked)
+    often = counts.where("df > 1").orderBy(F.desc("df"), "term").limit(OFTEN).select("term", "df").toPandas()
+    corpus = Corpus(total, mean, often["term"].to_numpy(np.int64), often["df"].to_numpy(np.int64))
+    shared = spark.sparkContext.broadcast(corpus)
     release(spark)
-    full = max(1, shard_bytes // 2)
-    groups = groups_of(sizes, edges, full)
+    places = written(placed(written(content_keys(rows, shared), "pack-keys")), "pack-places")
     release(spark)
-    shards = max(1, math.ceil(size / shard_bytes))
-    # a group far over the size is dealt by the smaller groups that it was made of
-    part = F.when(F.col("bytes") > 2 * full, F.pmod(F.xxhash64("part"), F.ceil(F.col("bytes") / full))).otherwise(F.lit(0))
-    placed = groups.join(asked, "row", "left").select(
-        "row",
-        "label",
-        F.pmod(F.xxhash64("label", part), F.lit(shards)).alias("shard"),
-        F.coalesce(F.col("q.term"), F.array().cast("array<long>")).alias("terms"),
-        F.coalesce(F.col("q.df"), F.array().cast("array<long>")).alias("dfs"),
-    )
-    dealt = rows.join(written(placed, "pack-places"), "row").select("doc_id", "text", "label", "shard", "terms", "dfs")
-
-    def run(pdf):
-        return pack_shard(pdf, path, window, end_id, total, mean)
-
-    return dealt.groupBy("shard").applyInPandas(run, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
+    tasks = min(MAX_TASKS, max(1, math.ceil(size / (TASK_SHARDS * shard_bytes))))
+    # equal rows have one place; the number parts them where they are many
+    numbered = rows.withColumn("number", F.monotonically_increasing_id())
+    dealt = numbered.join(places, "row").repartitionByRange(tasks, "lead", "row", "number")
+    dealt = dealt.sortWithinPartitions("lead", "row").select("doc_id", "text")
+
+    def run(pdfs):
+        doc_ids, texts, held, shard = [], [], 0, TaskContext.get().partitionId() << 20
+        for pdf in pdfs:
+            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+                doc_ids.append(doc_id)
+                texts.append(text or "")
+                held += len(texts[-1])
+                if held >= shard_bytes or len(texts) >= SHARD_ROWS:
+                    yield pack_shard(doc_ids, texts, path, window, end_id, shard << 28, shared.value)
+                    doc_ids, texts, held, shard = [], [], 0, shard + 1
+        if texts:
+            yield pack_shard(doc_ids, texts, path, window, end_id, shard << 28, shared.value)
+
+    return dealt.mapInPandas(run, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

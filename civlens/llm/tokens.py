@@ -46,7 +46,7 @@ def byte_tables(n: int, known: dict = {}) -> tuple[np.ndarray, np.ndarray, np.nd
     """A random number for each byte, powers of an odd number and of its inverse (mod 2^64)."""
     if "byte" not in known:
         known["byte"] = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        known["n"] = 0
+        known["n"] = -1
     if known["n"] < n:
         known["n"] = n = max(n, BATCH_CHARS + (1 << 20))
         inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
