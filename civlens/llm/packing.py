@@ -1,6 +1,6 @@
 """Packing: lexical retrieval packing with a sharded BM25 inverted index.
 
-Terms are the words of a text (told apart by 64-bit hashes); their document frequencies are those of
+Terms are the words of a text (told apart by 53-bit hashes); their document frequencies are those of
 the whole input. Documents are put in an order of their content: each has BANDS min-hashes of its
 terms, but for those that over 1/COMMON of all documents hold, and takes the smallest key among all
 documents with which it shares one; a key begins with the document's most frequent term, which parts
@@ -18,7 +18,7 @@ row is packed by itself; equal scores go by the place in the shard, equal rows s
 several shards if they are many. Empty table: no rows. A text longer than a shard: its shard is as
 long. Extra columns are ignored.
 
-The OFTEN most frequent terms have their exact document frequency; a rarer one has the shard's. This
+The most frequent terms, OFTEN at most, have their exact document frequency; a rarer one has the shard's. This
 and the order shape which documents stand together, never which ids are packed.
 """
 
@@ -41,6 +41,7 @@ WINDOW = 1024
 SHARD_BYTES = 4 << 20
 #: A shard's scores are a square of this side at most.
 SHARD_ROWS = 2048
+ROW_BITS = np.uint64(11)
 #: Shards a task packs, about; a task holds one at a time, so any number will do.
 TASK_SHARDS = 4
 MAX_TASKS = 10_000
@@ -56,7 +57,7 @@ PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens lon
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts, the same in any worker, and each text's number of words."""
+    """A 53-bit hash of each word of all texts, the same in any worker, and each text's number of words."""
     keys, counts = [np.empty(0, np.int64)], np.zeros(len(texts), np.int64)
     for owner, parts in batches(texts):
         raw = [p.encode() for p in parts]
@@ -67,20 +68,24 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         byte, up, down = byte_tables(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
-        keys.append(((sums[stop] - sums[first]) * down[first]).view(np.int64))
+        keys.append((((sums[stop] - sums[first]) * down[first]) >> ROW_BITS).view(np.int64))
         ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
         np.add.at(counts, owner, np.diff(np.searchsorted(first, ends), prepend=0))
     return np.concatenate(keys), counts
 
 
 def term_frequencies(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term, document, tf) of the different terms of documents, by term, then document."""
-    order = np.argsort(flat, kind="stable")
-    term, doc = flat[order], np.repeat(np.arange(len(counts)), counts)[order]
-    new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return term[at], doc[at], np.diff(at, append=len(term))
+    """(term, document, tf) of the different terms of at most SHARD_ROWS documents, by term, then document."""
+    key = (flat.view(np.uint64) << ROW_BITS) | np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    key.sort()
+    at = np.flatnonzero(np.concatenate([np.ones(len(key[:1]), bool), key[1:] != key[:-1]]))
+    key, tf = key[at], np.diff(at, append=len(key))
+    return (key >> ROW_BITS).view(np.int64), (key & np.uint64(SHARD_ROWS - 1)).astype(np.int64), tf
+
+
+def run_starts(term: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(len(term[:1]), bool), term[1:] != term[:-1]]))
 
 
 class Corpus:
@@ -105,7 +110,7 @@ class Index:
     def __init__(self, flat: np.ndarray, counts: np.ndarray, corpus: Corpus | None = None):
         self.n = n = len(counts)
         term, doc, tf = term_frequencies(flat, counts)
-        first = np.flatnonzero(np.diff(term, prepend=term[:1] - 1)) if len(term) else np.empty(0, np.int64)
+        first = run_starts(term)
         df = np.diff(first, append=len(term))
         total, mean, often = n, counts.mean() if n else 1, df
         if corpus is not None:
@@ -217,18 +222,20 @@ def term_counts(rows: DataFrame) -> DataFrame:
     def merged(parts):
         term, df, tf = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.argsort(term)
-        first = np.flatnonzero(np.diff(term[order], prepend=term[order][:1] - 1))
-        return term[order][first], np.add.reduceat(df[order], first), np.add.reduceat(tf[order], first)
+        term = term[order]
+        first = run_starts(term)
+        return term[first], np.add.reduceat(df[order], first), np.add.reduceat(tf[order], first)
 
     def run(pdfs):
         parts, held = [], 0
-        for part in slices(pdfs, 1024):
+        for part in slices(pdfs, SHARD_ROWS):
             flat, counts = word_hashes([t or "" for t in part["text"]])
             if not len(flat):
                 continue
             term, _, tf = term_frequencies(flat, counts)
-            parts.append(merged([(term, np.ones(len(term), np.int64), tf)]))
-            held += len(parts[-1][0])
+            first = run_starts(term)
+            parts.append((term[first], np.diff(first, append=len(term)), np.add.reduceat(tf, first)))
+            held += len(first)
             if held > 2 * COUNTED:
                 parts = [merged(parts)]
                 held = len(parts[0][0])
@@ -242,6 +249,20 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return some.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
+def least_df(counts: DataFrame) -> int:
+    """The smallest document frequency, in steps of a sixteenth of an octave, from which on there are at
+    most OFTEN terms."""
+    step = F.floor(F.log2(F.col("df")) * 16).alias("step")
+    found = counts.where("df > 1").groupBy(step).agg(F.count("*").alias("n"), F.min("df").alias("df")).collect()
+    least, n = 1 << 62, 0
+    for r in sorted(found, key=lambda r: -r.step):
+        n += r.n
+        if n > OFTEN:
+            break
+        least = r.df
+    return least
+
+
 def mixed(x: np.ndarray, k: int) -> np.ndarray:
     """Well-spread 64-bit numbers of ``x``, other ones for each ``k``."""
     x = (x.view(np.uint64) + np.uint64(2 * k + 1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -258,22 +279,23 @@ def content_keys(rows: DataFrame, shared) -> DataFrame:
     def run(pdfs):
         corpus = shared.value
         for part in slices(pdfs, 512):
-            term, doc, _ = term_frequencies(*word_hashes([t or "" for t in part["text"]]))
+            term, counts = word_hashes([t or "" for t in part["text"]])
             df = corpus.df(term)
-            order = np.lexsort((df, doc))
-            last = np.searchsorted(doc[order], np.arange(len(part)), "right") - 1
-            has = np.isin(np.arange(len(part)), doc)
+            # texts follow each other, so a document's least and greatest are those of its stretch
+            has = counts > 0
+            first = (np.cumsum(counts) - counts)[has]
             most = np.zeros(len(part), np.uint64)
-            most[has] = mixed(term[order][last[has]], BANDS) >> np.uint64(49)
             row = part["row"].to_numpy(np.int64)
-            key = (most << np.uint64(48)) | (row.view(np.uint64) >> np.uint64(16))
             rare = df * COMMON <= corpus.total
-            term, doc = term[rare], doc[rare]
-            out = {"row": row, "key": key.view(np.int64)}
-            for k, name in enumerate(names):
-                least = np.full(len(part), none)
-                np.minimum.at(least, doc, mixed(term, k))
-                out[name] = least.view(np.int64)
+            out = {"row": row, "key": most}
+            for name in names:
+                out[name] = np.full(len(part), -1)
+            if len(first):
+                top = (df.astype(np.uint64) << np.uint64(15)) | (mixed(term, BANDS) >> np.uint64(49))
+                most[has] = np.maximum.reduceat(top, first) & np.uint64((1 << 15) - 1)
+                for k, name in enumerate(names):
+                    out[name][has] = np.minimum.reduceat(np.where(rare, mixed(term, k), none), first).view(np.int64)
+            out["key"] = ((most << np.uint64(48)) | (row.view(np.uint64) >> np.uint64(16))).view(np.int64)
             yield pd.DataFrame(out)
 
     return rows.select("row", "text").mapInPandas(run, "row long, key long, " + ", ".join(f"{b} long" for b in names))
@@ -294,7 +316,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, shar
     counts = written(term_counts(rows), "pack-terms")
     size, total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     mean = (counts.agg(F.sum("tf")).first()[0] or 0) / max(total, 1)
-    often = counts.where("df > 1").orderBy(F.desc("df"), "term").limit(OFTEN).select("term", "df").toPandas()
+    often = counts.where(F.col("df") >= least_df(counts)).select("term", "df").toPandas()
     corpus = Corpus(total, mean, often["term"].to_numpy(np.int64), often["df"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(corpus)
     release(spark)
