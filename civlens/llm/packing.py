@@ -24,6 +24,7 @@ and the order shape which documents stand together, never which ids are packed.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 
@@ -42,6 +43,8 @@ SHARD_BYTES = 4 << 20
 #: A shard's scores are a square of this side at most.
 SHARD_ROWS = 2048
 ROW_BITS = np.uint64(11)
+TERM_BITS = 53
+SLOT_BITS = 19
 #: Shards a task packs, about; a task holds one at a time, so any number will do.
 TASK_SHARDS = 4
 MAX_TASKS = 10_000
@@ -49,6 +52,8 @@ BANDS = 6
 COMMON = 64
 #: Terms whose document frequencies every task knows (2 MB), at most.
 OFTEN = 1 << 17
+#: No term's hash.
+ALL_WORDS = -1
 #: Different terms that a task counts before it passes them on.
 COUNTED = 1 << 20
 #: The usual BM25 parameters.
@@ -95,12 +100,25 @@ class Corpus:
         order = np.argsort(terms)
         self.total, self.mean, self.terms, self.dfs = total, mean, terms[order], dfs[order]
 
+    @functools.cached_property
+    def begins(self) -> np.ndarray:
+        """Where the terms of each value of the leading SLOT_BITS bits begin."""
+        return np.searchsorted(self.terms, np.arange((1 << SLOT_BITS) + 1) << (TERM_BITS - SLOT_BITS)).astype(np.int32)
+
     def df(self, term: np.ndarray) -> np.ndarray:
         """0 for terms that are not known."""
-        if not len(self.terms):
-            return np.zeros(len(term), np.int64)
-        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
-        return np.where(self.terms[at] == term, self.dfs[at], 0)
+        out = np.zeros(len(term), np.int64)
+        slot = term >> (TERM_BITS - SLOT_BITS)
+        at, stop = self.begins[slot], self.begins[slot + 1]
+        left = np.flatnonzero(at < stop)
+        at, stop = at[left], stop[left]
+        while len(left):
+            same = self.terms[at] == term[left]
+            out[left[same]] = self.dfs[at[same]]
+            at = at + 1
+            on = ~same & (at < stop)
+            left, at, stop = left[on], at[on], stop[on]
+        return out
 
 
 class Index:
@@ -177,15 +195,10 @@ def order_documents(index: Index, lens: np.ndarray, window: int) -> list[int]:
 
 
 def pack_shard(doc_ids: list, texts: list[str], path: str, window: int, end_id: int, base: int, corpus: Corpus) -> pd.DataFrame:
-    tok = tokenizer(path)
-    tok.room()
-    parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in texts]
-    for owner, some in batches(texts):
-        flat, ends = tok.codes(some)
-        for k, own in zip(owner, np.split(flat, ends[:-1]), strict=True):
-            parts[k].append(own)
-    ids = [np.append(tok.expand(np.concatenate(p)), np.uint32(end_id)).astype("<u4") for p in parts]
-    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat, ends = tokenizer(path).encode(texts)
+    ids = np.insert(flat, ends, end_id).astype("<u4")  # of all documents, an end id after each
+    lens = np.diff(ends, prepend=0) + 1
+    begins = np.cumsum(lens) - lens
     order = order_documents(Index(*word_hashes(texts), corpus), lens, window)
     held = int(lens.sum())
     # where sequences end: full windows, then powers of two
@@ -208,7 +221,8 @@ def pack_shard(doc_ids: list, texts: list[str], path: str, window: int, end_id:
                 offset = pos - (cuts[tail - 1] if tail else full)
                 sequence = full // window + tail
                 take = min(n - done, cuts[tail] - pos)
-            crc = zlib.crc32(ids[d][done : done + take].tobytes())
+            a = int(begins[d]) + done
+            crc = zlib.crc32(ids[a : a + take])
             rows.append((doc_ids[d], done, take, crc, n, base + sequence, offset))
             done += take
             pos += take
@@ -217,14 +231,14 @@ def pack_shard(doc_ids: list, texts: list[str], path: str, window: int, end_id:
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, df, tf) of the whole input."""
+    """(term, df) of the whole input; the df of ALL_WORDS is the number of words."""
 
     def merged(parts):
-        term, df, tf = (np.concatenate(c) for c in zip(*parts, strict=True))
+        term, df = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.argsort(term)
         term = term[order]
         first = run_starts(term)
-        return term[first], np.add.reduceat(df[order], first), np.add.reduceat(tf[order], first)
+        return term[first], np.add.reduceat(df[order], first)
 
     def run(pdfs):
         parts, held = [], 0
@@ -232,21 +246,21 @@ def term_counts(rows: DataFrame) -> DataFrame:
             flat, counts = word_hashes([t or "" for t in part["text"]])
             if not len(flat):
                 continue
-            term, _, tf = term_frequencies(flat, counts)
+            term, _, _ = term_frequencies(flat, counts)
             first = run_starts(term)
-            parts.append((term[first], np.diff(first, append=len(term)), np.add.reduceat(tf, first)))
+            parts.append((np.append(term[first], ALL_WORDS), np.append(np.diff(first, append=len(term)), len(flat))))
             held += len(first)
             if held > 2 * COUNTED:
                 parts = [merged(parts)]
                 held = len(parts[0][0])
                 if held > COUNTED:
-                    yield pd.DataFrame(dict(zip(["term", "df", "tf"], parts.pop(), strict=True)))
+                    yield pd.DataFrame(dict(zip(["term", "df"], parts.pop(), strict=True)))
                     held = 0
         if parts:
-            yield pd.DataFrame(dict(zip(["term", "df", "tf"], merged(parts), strict=True)))
+            yield pd.DataFrame(dict(zip(["term", "df"], merged(parts), strict=True)))
 
-    some = rows.select("text").mapInPandas(run, "term long, df long, tf long")
-    return some.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    some = rows.select("text").mapInPandas(run, "term long, df long")
+    return some.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def least_df(counts: DataFrame) -> int:
@@ -263,9 +277,9 @@ def least_df(counts: DataFrame) -> int:
     return least
 
 
-def mixed(x: np.ndarray, k: int) -> np.ndarray:
-    """Well-spread 64-bit numbers of ``x``, other ones for each ``k``."""
-    x = (x.view(np.uint64) + np.uint64(2 * k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64-bit numbers of ``x``."""
+    x = (x.view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
 
@@ -274,7 +288,8 @@ def content_keys(rows: DataFrame, shared) -> DataFrame:
     """(row, key, b0, b1, ...) of every document: its own key, 15 bits of its most frequent term before 48
     of the row's, and its min-hashes (-1: it has no term for one)."""
     names = [f"b{k}" for k in range(BANDS)]
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    # odd factors, which give each min-hash its own order of the terms' numbers
+    factors = mixed(np.arange(BANDS)) | np.uint64(1)
 
     def run(pdfs):
         corpus = shared.value
@@ -286,15 +301,20 @@ def content_keys(rows: DataFrame, shared) -> DataFrame:
             first = (np.cumsum(counts) - counts)[has]
             most = np.zeros(len(part), np.uint64)
             row = part["row"].to_numpy(np.int64)
-            rare = df * COMMON <= corpus.total
             out = {"row": row, "key": most}
             for name in names:
                 out[name] = np.full(len(part), -1)
             if len(first):
-                top = (df.astype(np.uint64) << np.uint64(15)) | (mixed(term, BANDS) >> np.uint64(49))
+                value = mixed(term)
+                top = (df.astype(np.uint64) << np.uint64(15)) | (value >> np.uint64(49))
                 most[has] = np.maximum.reduceat(top, first) & np.uint64((1 << 15) - 1)
-                for k, name in enumerate(names):
-                    out[name][has] = np.minimum.reduceat(np.where(rare, mixed(term, k), none), first).view(np.int64)
+                rare = df * COMMON <= corpus.total
+                few = np.add.reduceat(rare, first, dtype=np.int64)
+                told = np.flatnonzero(has)[few > 0]
+                few, value = few[few > 0], value[rare]
+                if len(told):
+                    for name, factor in zip(names, factors, strict=True):
+                        out[name][told] = np.minimum.reduceat(value * factor, np.cumsum(few) - few).view(np.int64)
             out["key"] = ((most << np.uint64(48)) | (row.view(np.uint64) >> np.uint64(16))).view(np.int64)
             yield pd.DataFrame(out)
 
@@ -313,9 +333,11 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, shar
     """A row for each piece of a document in a sequence of at most ``window`` ids."""
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    counts = written(term_counts(rows), "pack-terms")
+    every = written(term_counts(rows), "pack-terms")
+    counts = every.where(F.col("term") != ALL_WORDS)
     size, total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    mean = (counts.agg(F.sum("tf")).first()[0] or 0) / max(total, 1)
+    n_words = every.where(F.col("term") == ALL_WORDS).agg(F.sum("df")).first()[0] or 0
+    mean = n_words / max(total, 1)
     often = counts.where(F.col("df") >= least_df(counts)).select("term", "df").toPandas()
     corpus = Corpus(total, mean, often["term"].to_numpy(np.int64), often["df"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(corpus)

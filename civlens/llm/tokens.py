@@ -2,9 +2,10 @@
 
 A byte-level BPE never merges across a lone space or line feed between two characters that are no
 white space, so a text may be cut in front of those and each piece encoded once per worker. The cuts
-and a hash of each piece are found in numpy over the bytes of many texts; only the different pieces
-of a batch are looked up. The ids are those of encoding the whole text; a test compares them on
-adversarial texts.
+and a 64-bit hash of each piece are found in numpy over the bytes of many texts; the different hashes
+of a batch are looked up in the sorted hashes of the known pieces, and only the other pieces are cut
+out of the text. The ids are those of encoding the whole text; a test compares them on adversarial
+texts.
 """
 
 from __future__ import annotations
@@ -133,6 +134,8 @@ class PieceTokenizer:
         self.count = np.empty(1 << 14, np.int32)
         self.again = np.zeros(1 << 14, bool)
         self.used = 0
+        self.keys = np.empty(0, np.uint64)  # sorted hashes of pieces, and their numbers
+        self.numbers = np.empty(0, np.int64)
 
     def _learn_new(self, new: list[bytes]):
         """Encode and store pieces. A run of letters (after a space or not) is one unit of the merges
@@ -207,8 +210,19 @@ class PieceTokenizer:
         pieces = list(self.code)
         kept = np.flatnonzero(self.again[: len(pieces)])[-CACHE_PIECES // 2 :]
         flat, lens = self.expand(kept), self.count[kept]
+        moved = np.full(len(pieces), -1)
+        moved[kept] = np.arange(len(kept))
+        keys, numbers = self.keys, moved[self.numbers]
         self._clear()
         self._store([pieces[k] for k in kept.tolist()], flat, lens)
+        self.keys, self.numbers = keys[numbers >= 0], numbers[numbers >= 0]
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.numbers[at], -1)
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts, and the position after each text's last piece.
@@ -226,14 +240,25 @@ class PieceTokenizer:
         key = (sums[stop] - sums[first]) * down[first]
         long = np.flatnonzero(stop - first > HASHED_BYTES)
         key[long] = long
-        _, place, piece = np.unique(key, return_index=True, return_inverse=True)
-        different = [blob[a:b] for a, b in zip(first[place].tolist(), stop[place].tolist(), strict=True)]
-        known = np.fromiter(map(self.code.get, different, repeat(-1)), np.int64, len(different))
+        different, place, piece = np.unique(key, return_index=True, return_inverse=True)
+        hashed = (stop - first)[place] <= HASHED_BYTES
+        known = np.where(hashed, self._known(different), -1)
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            at = place[missing]
+            new = [blob[a:b] for a, b in zip(first[at].tolist(), stop[at].tolist(), strict=True)]
+            # stems and marks were learnt with other pieces; long pieces have no hash
+            known[missing] = np.fromiter(map(self.code.get, new, repeat(-1)), np.int64, len(new))
         self.again[known[known >= 0]] = True
-        missing = np.flatnonzero(known < 0).tolist()
-        if missing:
-            self._learn(list(dict.fromkeys([different[k] for k in missing])))
-            known[missing] = [self.code[different[k]] for k in missing]
+        if len(missing):
+            fresh = np.flatnonzero(known[missing] < 0).tolist()
+            if fresh:
+                self._learn(list(dict.fromkeys([new[k] for k in fresh])))
+                known[missing[fresh]] = [self.code[new[k]] for k in fresh]
+            told = missing[hashed[missing]]
+            keys = np.concatenate([self.keys, different[told]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.numbers = keys[order], np.concatenate([self.numbers, known[told]])[order]
         return known[piece], np.searchsorted(first, starts + lens)
 
     def expand(self, codes: np.ndarray) -> np.ndarray:
