@@ -67,6 +67,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """Let Spark pass at most ``rows`` rows at once to Python from now on, for this session. With whole
+    texts, Spark's usual 10,000 rows take far more memory, in the JVM and in each Python worker, than
+    the work on them. A smaller number that the session already has stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def words(text):
     """Column: the words of a text as an array (null text: empty array), in native expressions."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WORD_SPACE}]+"), lambda w: w != "")
