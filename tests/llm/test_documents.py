@@ -13,6 +13,7 @@ import tokenizers
 
 import corpus_pipeline
 from civlens.llm import fingerprints, jaccard_join, mixing
+from civlens.llm.common import small_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -234,3 +235,15 @@ def test_pipeline_stages(spark):
     for parts in places.values():
         ends = list(accumulate(n for _, n in sorted(parts)))
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
+def test_small_batches_only_lower(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    try:
+        for before, after in (("10000", "1000"), ("200", "200"), ("0", "1000")):
+            spark.conf.set(key, before)
+            small_batches(spark, 1000)
+            assert spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, usual)
