@@ -91,3 +91,38 @@ def test_smote_levels_classes_on_segments(spark):
     assert set(made.values()) == {4, 5} and len({r.neighbour for r in out if r.label == 1}) > 5
     again = N.smote(df.repartition(7), "id", "v", "label", 5, seed=3).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_closest_equals_exact_distances():
+    rng = np.random.default_rng(8)
+    b = np.concatenate([rng.normal(0, 1, (5000, 6)), rng.normal(0, 1e-3, (300, 6))]) + 1e6
+    b = np.concatenate([b, b[:40], b[:40], np.full((1, 6), np.inf), np.full((2, 6), 1e200)])
+    ids = rng.permutation(len(b))
+    a = np.concatenate([b[::90], rng.normal(1e6, 2, (50, 6)), np.full((1, 6), np.inf)])
+    for own in (None, np.concatenate([ids[::90], np.full(51, -1)])):
+        i, j, far = N.closest(a, b, 7, ids, own)
+        with np.errstate(all="ignore"):
+            exact = N.squares(a, b)
+        if own is not None:
+            exact[own[:, None] == ids] = np.inf
+        for q, d in enumerate(exact):
+            want = np.lexsort((ids, d))[:7]
+            want = want[np.isfinite(d[want])]
+            assert (ids[j[i == q]] == ids[want]).all() and (far[i == q] == d[want]).all()
+
+
+def test_queries_travel_once_a_chunk(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points = frame(spark, rng.normal(0, 1, (700, 32)))  # bounds exclude nothing: a row for each part would be 26 * 700
+    seen, asked = [], N._asked
+    monkeypatch.setattr(N, "_asked", lambda *a: seen.append(asked(*a)) or seen[-1])
+    assert N.nearest(points, points, "id", "v", 3, exclude_self=True).count() == 2100
+    assert seen[0].selectExpr("sum(length(id)) div 8").first()[0] == 700
+
+
+def test_smote_asks_for_rows_with_copies_only(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    df = frame(spark, rng.normal(0, 1, (110, 3)), np.repeat([0, 1], [60, 50]))
+    asked, near = [], N.nearest
+    monkeypatch.setattr(N, "nearest", lambda queries, *a, **more: asked.append(queries.count()) or near(queries, *a, **more))
+    assert N.smote(df, "id", "v", "label", 5, seed=3).count() == 10 and asked == [10]
