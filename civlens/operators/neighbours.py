@@ -76,7 +76,7 @@ def closest(a: np.ndarray, b: np.ndarray, k: int, ids: np.ndarray, own: np.ndarr
                 taken = k if own is None else k + 1
                 if not start and near.shape[1] >= taken:
                     limit = np.partition(near, taken - 1, axis=1)[:, taken - 1] + 2 * error[rows]
-                i, j = np.nonzero(~(near > limit[:, None]))
+                i, j = np.divmod(np.flatnonzero(~(near > limit[:, None])), near.shape[1])
                 i, j = i + at, dealt[j + start]
                 if own is not None:
                     other = own[i] != ids[j]
