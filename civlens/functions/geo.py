@@ -13,7 +13,10 @@ Every function returns a Column; the work runs inside Spark tasks.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -249,24 +252,30 @@ UTM_FALSE_EASTING = 500000.0
 UTM31_CENTRAL_MERIDIAN_DEG = 3.0
 
 
-def utm31(lon: Column, lat: Column) -> Column:
-    """SP-09: EPSG:4326 (lon, lat) -> EPSG:32631 metres, transverse Mercator series
-    (Snyder's formulas; sub-metre within the zone)."""
-    e2 = WGS84_F * (2 - WGS84_F)
-    ep2 = e2 / (1 - e2)
+def _utm_angles(lon: Column, lat: Column) -> Column:
     phi = F.radians(lat)
     lam = F.radians(lon) - F.lit(math.radians(UTM31_CENTRAL_MERIDIAN_DEG))
-    sin_p, cos_p, tan_p = F.sin(phi), F.cos(phi), F.tan(phi)
+    return F.struct(phi.alias("phi"), lam.alias("lam"), F.sin(phi).alias("sin"), F.cos(phi).alias("cos"), F.tan(phi).alias("tan"))
+
+
+def _utm_terms(s: Column) -> Column:
+    e2 = WGS84_F * (2 - WGS84_F)
+    ep2 = e2 / (1 - e2)
+    phi, lam, sin_p, cos_p, tan_p = (s[c] for c in ("phi", "lam", "sin", "cos", "tan"))
     n = F.lit(WGS84_A) / F.sqrt(F.lit(1.0) - F.lit(e2) * sin_p * sin_p)
-    t = tan_p * tan_p
-    c = F.lit(ep2) * cos_p * cos_p
-    a = cos_p * lam
     m = F.lit(WGS84_A) * (
         F.lit(1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi
         - F.lit(3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * phi)
         + F.lit(15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * phi)
         - F.lit(35 * e2**3 / 3072) * F.sin(6 * phi)
     )
+    return F.struct(n.alias("n"), (tan_p * tan_p).alias("t"), (F.lit(ep2) * cos_p * cos_p).alias("c"), (cos_p * lam).alias("a"), m.alias("m"), tan_p.alias("tan"))
+
+
+def _utm_point(s: Column) -> Column:
+    e2 = WGS84_F * (2 - WGS84_F)
+    ep2 = e2 / (1 - e2)
+    n, t, c, a, m, tan_p = (s[x] for x in ("n", "t", "c", "a", "m", "tan"))
     x = F.lit(UTM_K0) * n * (
         a + (F.lit(1.0) - t + c) * a**3 / 6 + (F.lit(5.0) - 18 * t + t * t + 72 * c - F.lit(58 * ep2)) * a**5 / 120
     ) + F.lit(UTM_FALSE_EASTING)
@@ -277,8 +286,15 @@ def utm31(lon: Column, lat: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
+def utm31(lon: Column, lat: Column) -> Column:
+    """SP-09: EPSG:4326 (lon, lat) -> EPSG:32631 metres, transverse Mercator series
+    (Snyder's formulas; sub-metre within the zone)."""
+    return _utm_point(_utm_terms(_utm_angles(lon, lat)))
+
+
 def project_line(line: Column) -> Column:
-    return F.transform(line, lambda p: utm31(p["x"], p["y"]))
+    """``utm31`` of each point, in stages: no term is computed twice."""
+    return F.transform(F.transform(F.transform(line, lambda p: _utm_angles(p["x"], p["y"])), _utm_terms), _utm_point)
 
 
 def project_multipolygon(mp: Column) -> Column:
@@ -338,6 +354,76 @@ def clipped_length(line: Column, mp: Column, edges: Column | None = None) -> Col
     return F.when(n >= 2, F.aggregate(staged, F.lit(0.0), lambda a, b: a + b)).otherwise(F.lit(0.0))
 
 
+def flat_points(line: Column) -> Column:
+    """x, y of all points of a line as one array."""
+    return F.flatten(F.transform(line, lambda p: F.array(p["x"], p["y"])))
+
+
+def flat_edges(mp: Column) -> Column:
+    """Number of the polygon, ax, ay, bx, by of all edges of a multipolygon as one array."""
+    flat = lambda k, e: F.array(k.cast("double"), e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
+    return F.flatten(F.flatten(F.transform(mp, lambda poly, k: F.transform(polygon_edges(F.array(poly)), lambda e: flat(k, e)))))
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers, each ``n`` times, and the numbers first, first + 1, ... beside them."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+
+
+def _clipped(lines: Sequence[np.ndarray], edges: Sequence[np.ndarray], eps: float = 1e-12) -> np.ndarray:
+    """``clipped_length`` of each line and the multipolygon beside it, from flat points and edges."""
+    points, per = np.concatenate(lines).astype(float).reshape(-1, 2), np.array([len(x) // 2 for x in lines])
+    poly, ax, ay, bx, by = np.concatenate(edges).astype(float).reshape(-1, 5).T
+    sides = np.array([len(x) // 5 for x in edges])
+    start = np.cumsum(sides) - sides
+    with np.errstate(all="ignore"):
+        of, p = _spread(np.cumsum(per) - per, np.maximum(per - 1, 0))  # segments: line, first point
+        (px, py), (qx, qy) = points[p].T, points[p + 1].T
+        dx, dy = qx - px, qy - py
+        seg, e = _spread(start[of], sides[of])
+        ex, ey = bx[e] - ax[e], by[e] - ay[e]
+        den = dx[seg] * ey - dy[seg] * ex
+        t = ((ax[e] - px[seg]) * ey - (ay[e] - py[seg]) * ex) / den
+        u = ((ax[e] - px[seg]) * dy[seg] - (ay[e] - py[seg]) * dx[seg]) / den
+        cut = (den != 0) & (u >= 0) & (u <= 1) & (t > 0) & (t < 1)
+        every = np.arange(len(of))
+        s, t = np.concatenate([every, every, seg[cut]]), np.concatenate([np.zeros(len(of)), np.ones(len(of)), t[cut]])
+        order = np.lexsort((t, s))
+        s, t = s[order], t[order]
+        whole = np.flatnonzero(s[1:] == s[:-1])  # a piece lies between two cuts of a segment
+        s, t0, t1 = s[whole], t[whole], t[whole + 1]
+        mid = (t0 + t1) / 2
+        x, y = px[s] + dx[s] * mid, py[s] + dy[s] * mid
+        piece, e = _spread(start[of[s]], sides[of[s]])
+        ex, ey, x, y = bx[e] - ax[e], by[e] - ay[e], x[piece], y[piece]
+        crosses = ((ay[e] > y) != (by[e] > y)) & (x < ex * (y - ay[e]) / ey + ax[e])
+        near = (x >= np.minimum(ax[e], bx[e]) - eps) & (x <= np.maximum(ax[e], bx[e]) + eps)
+        near &= (y >= np.minimum(ay[e], by[e]) - eps) & (y <= np.maximum(ay[e], by[e]) + eps)
+        near &= np.abs(ex * (y - ay[e]) - ey * (x - ax[e])) <= eps
+        inside = np.bincount(piece[near], minlength=len(s)) > 0
+        if len(piece):
+            runs = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (poly[e][1:] != poly[e][:-1])]))
+            odd = np.add.reduceat(crosses.astype(int), runs) % 2 == 1
+            inside[piece[runs[odd]]] = True
+        length = np.where(inside, (t1 - t0) * np.sqrt(dx * dx + dy * dy)[s], 0.0)
+    return np.bincount(of[s], length, minlength=len(per))
+
+
+#: Lines that are clipped at once.
+CLIPPED = 4096
+
+
+def _clipped_rows(lines: pd.Series, edges: pd.Series) -> pd.Series:
+    steps = range(0, len(lines), CLIPPED)
+    return pd.Series(np.concatenate([np.zeros(0), *[_clipped(lines[k : k + CLIPPED].to_list(), edges[k : k + CLIPPED].to_list()) for k in steps]]))
+
+
+def clipped_lengths(lines: Column, edges: Column) -> Column:
+    """SP-08: ``clipped_length`` from ``flat_points`` and ``flat_edges``, many rows at a time."""
+    return F.pandas_udf(_clipped_rows, "double")(lines, edges)
+
+
 # ---------------------------------------------------------------- GeoJSON and WKT
 
 

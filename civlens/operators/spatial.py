@@ -81,6 +81,14 @@ def assign_points(
     )
 
 
+def _picked(joined: DataFrame, key: str, hits: Column, payload: Sequence[str], pick: str) -> DataFrame:
+    """key and ``__hit``, the first or last of its ``hits`` by rank: only rank and payload travel on."""
+    slim = F.transform(F.filter(hits, lambda c: c["rank"].isNotNull()), lambda c: F.struct(c["rank"], *[c[p] for p in payload]))
+    one, best = (F.array_min, F.min) if pick == "first" else (F.array_max, F.max)
+    found = joined.select(key, one(slim).alias("__hit")).where(F.col("__hit").isNotNull())
+    return found.groupBy(key).agg(best("__hit").alias("__hit"))
+
+
 def assign_geometries(
     items: DataFrame,
     polygons: DataFrame,
@@ -99,8 +107,8 @@ def assign_geometries(
     (``'within'`` or ``'intersects'``).
 
     Candidates come from the cells of the item's own bounds (Q-26 decision); an item
-    spanning several cells is matched per cell and the choice is a ``min_by``/``max_by``
-    aggregate by item key (partial aggregation, so no item's rows gather in one task).
+    spanning several cells is matched per cell and the choice is a minimum or maximum by item key
+    (partial aggregation, so no item's rows gather in one task).
     Items without a match are kept with null payload.
     """
     rank = rank if rank is not None else F.col(payload[0])
@@ -122,9 +130,7 @@ def assign_geometries(
             return box & geo.polygon_within(F.col("__ig"), c["g"])
         return box & geo.polygons_intersect(F.col("__ig"), c["g"])
 
-    hits = j.select(item_key, F.explode(F.filter("cands", ok)).alias("h"))
-    chooser = F.min_by if pick == "first" else F.max_by
-    best = hits.groupBy(item_key).agg(chooser(F.col("h"), F.col("h.rank")).alias("__hit"))
+    best = _picked(j, item_key, F.filter("cands", ok), payload, pick)
     out = items.join(best, item_key, "left")
     return out.select(*[F.col(f"`{c}`") for c in items.columns],
                       *[F.col("__hit")[c].alias(prefix + c) for c in payload])
@@ -148,23 +154,30 @@ def sampled_overlap(
 
     Samples come from a hash of (key, i, seed), so results do not depend on partitioning.
     """
-    ib = geo.bounds(item_geom)
-    base = items.select(F.col(item_key), ib.alias("__ib"))
-    s = base.withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
+    # dealt by key before the samples are made, so that a task's share does not hang on the files
+    base = items.select(F.col(item_key), geo.bounds(item_geom).alias("__ib")).repartition(F.col(item_key))
 
-    def unit(salt: int) -> Column:
-        h = F.xxhash64(F.col(item_key), F.col("__i"), F.lit(seed), F.lit(salt))
+    def unit(i: Column, salt: int) -> Column:
+        h = F.xxhash64(F.col(item_key), i, F.lit(seed), F.lit(salt))
         return (F.pmod(h, F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
 
-    s = s.withColumn("__sx", F.col("__ib.minx") + unit(1) * (F.col("__ib.maxx") - F.col("__ib.minx")))
-    s = s.withColumn("__sy", F.col("__ib.miny") + unit(2) * (F.col("__ib.maxy") - F.col("__ib.miny")))
+    def sample(i: Column) -> Column:
+        x = F.col("__ib.minx") + unit(i, 1) * (F.col("__ib.maxx") - F.col("__ib.minx"))
+        y = F.col("__ib.miny") + unit(i, 2) * (F.col("__ib.maxy") - F.col("__ib.miny"))
+        return F.struct(x.alias("x"), y.alias("y"), geo.cell_of(x, cell).alias("cx"), geo.cell_of(y, cell).alias("cy"))
+
+    s = base.select(item_key, F.transform(F.sequence(F.lit(1), F.lit(n_samples)), sample).alias("__s"))
+    at = F.array_distinct(F.transform("__s", lambda p: F.struct(p["cx"], p["cy"])))
+    s = s.withColumn("__at", F.explode(at))  # a row for each cell that holds samples
     rank = rank if rank is not None else F.col(payload[0])
     cells = polygon_cells(polygons, geom, cell, payload, rank)
-    x, y = F.col("__sx"), F.col("__sy")
-    j = _join_cells(s, cells, geo.cell_of(x, cell), geo.cell_of(y, cell), "inner")
-    hits = j.select(item_key, F.explode(F.filter("cands", lambda c: geo.in_bounds(c["b"], x, y)
-                                                 & geo.contains_point(c["g"], x, y, True))).alias("h"))
-    best = hits.groupBy(item_key).agg(F.max_by(F.col("h"), F.col("h.rank")).alias("__hit"))
+    j = _join_cells(s, cells, F.col("__at.cx"), F.col("__at.cy"), "inner")
+
+    def holds(c: Column) -> Column:
+        here = lambda p: (p["cx"] == F.col("__cx")) & (p["cy"] == F.col("__cy"))
+        return F.exists("__s", lambda p: here(p) & geo.in_bounds(c["b"], p["x"], p["y"]) & geo.contains_point(c["g"], p["x"], p["y"], True))
+
+    best = _picked(j, item_key, F.filter("cands", holds), payload, "last")
     out = items.join(best, item_key, "left")
     return out.select(*[F.col(f"`{c}`") for c in items.columns],
                       *[F.col("__hit")[c].alias(prefix + c) for c in payload])
@@ -188,24 +201,33 @@ def line_length_in_polygons(
     parity, the highest rank with a positive length). Output: line columns, payload,
     ``length_in`` (null when no polygon holds a part of the line)."""
     rank = rank if rank is not None else F.col(payload[0])
-    # Polygons are projected (and their edges listed) once, inside the small cell table;
-    # lines are projected once per line, before the cell explode.
+    # Polygons are projected and their edges listed once; lines are projected once, before the explode.
     pg = geo.project_multipolygon(F.col(geom)) if project else F.col(geom)
-    polys = polygons.withColumn("__pg", pg).withColumn("__pe", geo.polygon_edges(F.col("__pg")))
-    cells = polygon_cells(polys, geom, cell, [*payload, "__pg", "__pe"], rank)
-    lb = geo.line_bounds(F.col(line_col))
+    polys = polygons.where(F.col(geom).isNotNull()).select(
+        rank.alias("__rank"), *[F.col(c).alias(f"__p_{c}") for c in payload], geo.bounds(F.col(geom)).alias("__pb"), pg.alias("__pg"))
+    polys = polys.select("*", geo.bounds(F.col("__pg")).alias("__box"), geo.flat_edges(F.col("__pg")).alias("__pe")).drop("__pg")
+
+    def celled(df: DataFrame, b: str, name: str) -> DataFrame:
+        """A row for each cell of the bounds ``b``, with the least cell."""
+        for axis in "xy":
+            low, high = F.col(f"{b}.min{axis}"), F.col(f"{b}.max{axis}")
+            df = df.withColumn(f"{name}0{axis}", geo.cell_of(low, cell)).withColumn(f"{name}{axis}", F.explode(geo.cell_range(low, high, cell)))
+        return df.drop(b)
+
+    cells = celled(polys.where("__rank is not null"), "__pb", "__p")
     ln = geo.project_line(F.col(line_col)) if project else F.col(line_col)
-    base = lines.select(F.col(line_key), ln.alias("__ln"), lb.alias("__lb"))
-    ex = base.withColumn("cx", F.explode(geo.cell_range(F.col("__lb.minx"), F.col("__lb.maxx"), cell))).withColumn(
-        "cy", F.explode(geo.cell_range(F.col("__lb.miny"), F.col("__lb.maxy"), cell)))
-    j = _join_cells(ex, cells, F.col("cx"), F.col("cy"), "inner")
-    hits = j.select(line_key, "__ln", F.explode("cands").alias("h")).withColumn("__hr", F.col("h.rank"))
-    hits = hits.dropDuplicates([line_key, "__hr"])
-    hits = hits.withColumn("__len", geo.clipped_length(F.col("__ln"), F.col("h.__pg"), F.col("h.__pe")))
-    hits = hits.where(F.col("__len") > 0)
-    chooser = F.max_by if pick == "last" else F.min_by
-    keep = F.struct(*[F.col("h")[c].alias(c) for c in payload], F.col("__len").alias("len"))
-    best = hits.groupBy(line_key).agg(chooser(keep, F.col("__hr")).alias("__hit"))
+    # dealt by key, so that a task's share does not hang on the files
+    dealt = lines.where(F.col(line_key).isNotNull()).select(line_key, line_col).repartition(F.col(line_key))
+    base = dealt.select(F.col(line_key), ln.alias("__ln"), geo.line_bounds(F.col(line_col)).alias("__lb"))
+    base = base.select(line_key, "__lb", geo.flat_points(F.col("__ln")).alias("__pts"), geo.line_bounds(F.col("__ln")).alias("__lbox"))
+    on = F.lit(True)
+    for axis in "xy":
+        # of the cells that both share, only the least one tests the pair
+        on = on & (F.col(f"__l{axis}") == F.col(f"__p{axis}")) & (F.col(f"__l{axis}") == F.greatest(f"__l0{axis}", f"__p0{axis}"))
+        on = on & (F.col(f"__lbox.min{axis}") <= F.col(f"__box.max{axis}")) & (F.col(f"__lbox.max{axis}") >= F.col(f"__box.min{axis}"))
+    hits = celled(base, "__lb", "__l").join(cells, on).withColumn("len", geo.clipped_lengths(F.col("__pts"), F.col("__pe")))
+    keep = F.struct("__rank", *[F.col(f"__p_{c}").alias(c) for c in payload], "len")
+    best = hits.where(F.col("len") > 0).groupBy(line_key).agg((F.max if pick == "last" else F.min)(keep).alias("__hit"))
     out = lines.join(best, line_key, "left")
     return out.select(*[F.col(f"`{c}`") for c in lines.columns],
                       *[F.col("__hit")[c].alias(prefix + c) for c in payload],
