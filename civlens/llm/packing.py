@@ -54,6 +54,11 @@ COMMON = 64
 OFTEN = 1 << 17
 #: Different terms that a task counts before it passes them on.
 COUNTED = 1 << 20
+#: Bits of a term that choose its bucket of counts, at least; a bucket stands for up to BUCKET_BYTES of text.
+BUCKET_BITS = 10
+BUCKET_BYTES = 16 << 20
+#: Characters hashed at once: their numbers stay in the processor's cache.
+HASHED_CHARS = 1 << 17
 #: The usual BM25 parameters.
 K1, B = 1.2, 0.75
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -62,7 +67,7 @@ PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens lon
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A 53-bit hash of each word of all texts, the same in any worker, and each text's number of words."""
     keys, counts = [np.empty(0, np.int64)], np.zeros(len(texts), np.int64)
-    for owner, parts in batches(texts):
+    for owner, parts in batches(texts, HASHED_CHARS):
         raw = [p.encode() for p in parts]
         data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         inside = (data != 32) & ((data < 9) | (data > 13))
@@ -70,7 +75,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         first, stop = edge[::2], edge[1::2]
         byte, up, down = byte_tables(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
+        value = byte[data]
+        value *= up[: len(data)]
+        np.cumsum(value, out=sums[1:])
         keys.append((((sums[stop] - sums[first]) * down[first]) >> ROW_BITS).view(np.int64))
         ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
         np.add.at(counts, owner, np.diff(np.searchsorted(first, ends), prepend=0))
@@ -228,8 +235,10 @@ def pack_shard(doc_ids: list, texts: list[str], path: str, window: int, end_id:
     return pd.DataFrame(rows, columns=names)
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, df, tf) of the whole input."""
+def term_counts(rows: DataFrame, bits: int = BUCKET_BITS, single: bool = True) -> DataFrame:
+    """(term, df, tf) of the whole input. Counts go by the leading ``bits`` of the term, those of a task
+    and bucket in one row. Without ``single``, the terms of one document only are summed in rows of
+    term -1."""
 
     def merged(parts):
         term, df, tf = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -238,6 +247,12 @@ def term_counts(rows: DataFrame) -> DataFrame:
         first = run_starts(term)
         return term[first], np.add.reduceat(df[order], first), np.add.reduceat(tf[order], first)
 
+    def dealt(counts):
+        ends = np.searchsorted(counts[0], np.arange(1, 1 << bits) << (TERM_BITS - bits))
+        tables = np.split(np.stack(counts), ends, axis=1)
+        found = [(k, t.tobytes()) for k, t in enumerate(tables) if t.size]
+        return pd.DataFrame(found, columns=["bucket", "counts"])
+
     def run(pdfs):
         parts, held = [], 0
         for part in slices(pdfs, SHARD_ROWS):
@@ -252,13 +267,21 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 parts = [merged(parts)]
                 held = len(parts[0][0])
                 if held > COUNTED:
-                    yield pd.DataFrame(dict(zip(["term", "df", "tf"], parts.pop(), strict=True)))
+                    yield dealt(parts.pop())
                     held = 0
         if parts:
-            yield pd.DataFrame(dict(zip(["term", "df", "tf"], merged(parts), strict=True)))
+            yield dealt(merged(parts))
+
+    def summed(pdf):
+        term, df, tf = merged([np.frombuffer(c, np.int64).reshape(3, -1) for c in pdf["counts"]])
+        if not single:
+            one = df == 1
+            rest = tf[one].sum()
+            term, df, tf = (np.append(c[~one], x) for c, x in ((term, -1), (df, 1), (tf, rest)))
+        return pd.DataFrame({"term": term, "df": df, "tf": tf})
 
-    some = rows.select("text").mapInPandas(run, "term long, df long, tf long")
-    return some.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    some = rows.select("text").mapInPandas(run, "bucket int, counts binary")
+    return some.groupBy("bucket").applyInPandas(summed, "term long, df long, tf long")
 
 
 def least_df(counts: DataFrame) -> int:
@@ -331,8 +354,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, shar
     """A row for each piece of a document in a sequence of at most ``window`` ids."""
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    counts = written(term_counts(rows), "pack-terms")
     size, total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    bits = max(BUCKET_BITS, (size // BUCKET_BYTES).bit_length())
+    counts = written(term_counts(rows, bits, single=False), "pack-terms")
     mean = (counts.agg(F.sum("tf")).first()[0] or 0) / max(total, 1)
     often = counts.where(F.col("df") >= least_df(counts)).select("term", "df").toPandas()
     corpus = Corpus(total, mean, often["term"].to_numpy(np.int64), often["df"].to_numpy(np.int64))

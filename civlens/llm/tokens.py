@@ -1,7 +1,8 @@
 """Token ids of whole texts with the tokenizers library, cached per piece of text.
 
 A byte-level BPE never merges across a lone space or line feed between two characters that are no
-white space, so a text may be cut in front of those and each piece encoded once per worker. The cuts
+white space, nor across a letter or digit and a mark behind it, so a text may be cut in front of those
+spaces and marks and each piece encoded once per worker. The cuts
 and a 64-bit hash of each piece are found in numpy over the bytes of many texts; the different hashes
 of a batch are looked up in the sorted hashes of the known pieces, and only the other pieces are cut
 out of the text. The ids are those of encoding the whole text; a test compares them on adversarial
@@ -23,6 +24,9 @@ BATCH_CHARS = 1 << 20
 #: Longer pieces are not told apart by their hash.
 HASHED_BYTES = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LETTER = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+#: The vertical bar stands after letters in a special token, which is one piece.
+_MARK = np.array([32 < b < 127 and not chr(b).isalnum() and b != 124 for b in range(256)])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,9 +63,10 @@ def byte_tables(n: int, known: dict = {}) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where pieces begin in the bytes of texts that begin at ``starts``: there, and at each lone
-    space or line feed between characters that are no white space. Characters of three bytes that
-    may be white space count as white space here, which only makes pieces longer."""
+    """Where pieces begin in the bytes of texts that begin at ``starts``: there, at each lone space or
+    line feed between characters that are no white space, and at each mark behind a letter or digit, of
+    ASCII or a letter of Latin-1. Characters of three bytes that may be white space count as white
+    space here, which only makes pieces longer."""
     n = len(data)
     low = data <= 32
     space = low & ((data == 32) | ((data >= 9) & (data <= 13)) | (data >= 28))
@@ -80,8 +85,11 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     ok = ~space[before] & ~space[after]
     ok &= ~two(at(-2)[spot], at(-1)[spot]) & ~(three(at(-3)[spot]) & (at(-1)[spot] >= 0x80))
     ok &= ~two(at(1)[spot], at(2)[spot]) & ~three(at(1)[spot])
+    mark = np.flatnonzero(_MARK[data])
+    last = at(-1)[mark]
+    latin = (at(-2)[mark] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
     first = np.zeros(n + 1, bool)
-    first[spot[ok]] = first[starts] = True
+    first[spot[ok]] = first[mark[_LETTER[last] | latin]] = first[starts] = True
     return np.flatnonzero(first[:n])
 
 
@@ -137,7 +145,7 @@ class PieceTokenizer:
         self.keys = np.empty(0, np.uint64)  # sorted hashes of pieces, and their numbers
         self.numbers = np.empty(0, np.int64)
 
-    def _learn_new(self, new: list[bytes]):
+    def _learn(self, new: list[bytes]):
         """Encode and store pieces. A run of letters (after a space or not) is one unit of the merges
         and goes straight to the model. Of the others, those that begin with their space or line
         feed are encoded many at a time in one text, where the ids' byte lengths tell where each one
@@ -169,25 +177,14 @@ class PieceTokenizer:
             got = self.model.tokenize(w)
             lens.append(len(got))
             flat += [t.id for t in got]
-        for p in single:
-            got = self._ids(p)
-            lens.append(len(got))
-            flat += got
+        for got in self.tok.encode_batch_fast([p.decode() for p in single], add_special_tokens=False):
+            lens.append(len(got.ids))
+            flat += got.ids
         self._store(units + single, np.array(flat, np.uint32), np.array(lens, np.int64))
 
     def _ids(self, piece: bytes) -> list[int]:
         return self.tok.encode_batch_fast([piece.decode()], add_special_tokens=False)[0].ids
 
-    def _learn(self, new: list[bytes]):
-        # closing punctuation after a letter or digit is a token of its own: its stem may be known
-        stems = {p: p[:-1] for p in new if len(p) > 2 and p[-1] in b",.;:!?" and p[-2:-1].isalnum()}
-        parts = dict.fromkeys([stems.get(p, p) for p in new] + [p[-1:] for p in stems])
-        fresh = [p for p in parts if p not in self.code]
-        self._learn_new(fresh)
-        if stems:
-            both = np.array([(self.code[s], self.code[p[-1:]]) for p, s in stems.items()])
-            self._store(list(stems), self.expand(both.ravel()), self.count[both].sum(axis=1))
-
     def _store(self, new: list[bytes], flat: np.ndarray, lens: np.ndarray):
         base, n = len(self.code), len(new)
         while self.used + len(flat) > len(self.ids):
@@ -236,29 +233,36 @@ class PieceTokenizer:
         stop = np.append(first[1:], len(data))[: len(first)]
         byte, up, down = byte_tables(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
+        value = byte[data]
+        value *= up[: len(data)]
+        np.cumsum(value, out=sums[1:])
         key = (sums[stop] - sums[first]) * down[first]
         long = np.flatnonzero(stop - first > HASHED_BYTES)
         key[long] = long
-        different, place, piece = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(key)
+        key = key[order]
+        fresh = np.concatenate([np.ones(len(key[:1]), bool), key[1:] != key[:-1]])
+        different, place = key[fresh], order[fresh]
+        piece = np.empty(len(key), np.int64)
+        piece[order] = np.cumsum(fresh) - 1
         hashed = (stop - first)[place] <= HASHED_BYTES
         known = np.where(hashed, self._known(different), -1)
         missing = np.flatnonzero(known < 0)
         if len(missing):
             at = place[missing]
             new = [blob[a:b] for a, b in zip(first[at].tolist(), stop[at].tolist(), strict=True)]
-            # stems and marks were learnt with other pieces; long pieces have no hash
+            # long pieces have no hash, and other pieces that are known have theirs in ``keys``
             known[missing] = np.fromiter(map(self.code.get, new, repeat(-1)), np.int64, len(new))
         self.again[known[known >= 0]] = True
         if len(missing):
-            fresh = np.flatnonzero(known[missing] < 0).tolist()
-            if fresh:
-                self._learn(list(dict.fromkeys([new[k] for k in fresh])))
-                known[missing[fresh]] = [self.code[new[k]] for k in fresh]
+            unseen = np.flatnonzero(known[missing] < 0).tolist()
+            if unseen:
+                self._learn(list(dict.fromkeys([new[k] for k in unseen])))
+                known[missing[unseen]] = [self.code[new[k]] for k in unseen]
             told = missing[hashed[missing]]
-            keys = np.concatenate([self.keys, different[told]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.numbers = keys[order], np.concatenate([self.numbers, known[told]])[order]
+            at = np.searchsorted(self.keys, different[told])
+            self.keys = np.insert(self.keys, at, different[told])
+            self.numbers = np.insert(self.numbers, at, known[told])
         return known[piece], np.searchsorted(first, starts + lens)
 
     def expand(self, codes: np.ndarray) -> np.ndarray:
