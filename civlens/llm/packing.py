@@ -4,8 +4,14 @@ Terms are the words of a text (told apart by 53-bit hashes); their document freq
 the whole input. Documents are put in an order of their content: each has BANDS min-hashes of its
 terms, but for those that over 1/COMMON of all documents hold, and takes the smallest key among all
 documents with which it shares one; a key begins with the document's most frequent term, which parts
-languages. The order is range-partitioned, and each task cuts its range into shards of about
-SHARD_BYTES, one after the other, so near copies and texts of one kind meet in a shard.
+languages. The order, without the texts, is range-partitioned, and each range is cut into shards of
+about SHARD_BYTES, one after the other, so near copies and texts of one kind meet in a shard.
+
+Document frequencies are exact for every term, however many there are. Every task knows those of the
+terms that over 1/COMMON of all documents hold: 64 times as many at most as a document has on
+average. A document without any of them looks its terms up in a join. Each shard asks for the terms that
+meet in it (others have no part in its scores): they go to the buckets of counts, and the
+frequencies come back, so no task holds the whole table.
 
 A task indexes a shard with BM25 weights of the whole input's statistics, all terms of all documents,
 and fills windows of ``window`` ids: a seed document first; then, while room is left, the unused
@@ -18,8 +24,7 @@ row is packed by itself; equal scores go by the place in the shard, equal rows s
 several shards if they are many. Empty table: no rows. A text longer than a shard: its shard is as
 long. Extra columns are ignored.
 
-The most frequent terms, OFTEN at most, have their exact document frequency; a rarer one has the shard's. This
-and the order shape which documents stand together, never which ids are packed.
+The order and the scores shape which documents stand together, never which ids are packed.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civlens.llm.common import release, written
@@ -45,18 +50,19 @@ SHARD_ROWS = 2048
 ROW_BITS = np.uint64(11)
 TERM_BITS = 53
 SLOT_BITS = 19
-#: Shards a task packs, about; a task holds one at a time, so any number will do.
+#: Shards a task packs, and a range of the order has, about; a task holds one at a time, so any number will do.
 TASK_SHARDS = 4
 MAX_TASKS = 10_000
 BANDS = 6
 COMMON = 64
-#: Terms whose document frequencies every task knows (2 MB), at most.
-OFTEN = 1 << 17
 #: Different terms that a task counts before it passes them on.
 COUNTED = 1 << 20
 #: Bits of a term that choose its bucket of counts, at least; a bucket stands for up to BUCKET_BYTES of text.
 BUCKET_BITS = 10
 BUCKET_BYTES = 16 << 20
+#: The same of the buckets that shards ask.
+ASKED_BITS = 6
+ASKED_BYTES = 128 << 20
 #: Characters hashed at once: their numbers stay in the processor's cache.
 HASHED_CHARS = 1 << 17
 #: The usual BM25 parameters.
@@ -105,6 +111,10 @@ class Corpus:
         order = np.argsort(terms)
         self.total, self.mean, self.terms, self.dfs = total, mean, terms[order], dfs[order]
 
+    def whole(self, term: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """Document frequencies in the whole input of a shard's sorted terms, of which ``df`` are the shard's."""
+        return np.maximum(self.df(term), df)
+
     @functools.cached_property
     def begins(self) -> np.ndarray:
         """Where the terms of each value of the leading SLOT_BITS bits begin."""
@@ -126,6 +136,21 @@ class Corpus:
         return out
 
 
+class ShardCorpus(Corpus):
+    """What one shard knows: the document frequencies ``dfs`` of its terms of several documents, by term.
+    A term of one document only has no part in the scores."""
+
+    def __init__(self, total: int, mean: float, dfs: np.ndarray):
+        self.total, self.mean, self.dfs = total, mean, dfs
+
+    def whole(self, term: np.ndarray, df: np.ndarray) -> np.ndarray:
+        out, met = df.copy(), df > 1
+        if met.sum() != len(self.dfs):
+            raise ValueError(f"{met.sum()} terms meet in the shard, {len(self.dfs)} are known")
+        out[met] = self.dfs
+        return out
+
+
 class Index:
     """BM25 inverted index of one shard and, made from its postings, ``scores[a, b]`` of document b for
     all terms of document a. Without ``corpus`` the shard is the whole input."""
@@ -137,7 +162,7 @@ class Index:
         df = np.diff(first, append=len(term))
         total, mean, often = n, counts.mean() if n else 1, df
         if corpus is not None:
-            total, mean, often = corpus.total, corpus.mean, np.maximum(corpus.df(term[first]), df)
+            total, mean, often = corpus.total, corpus.mean, corpus.whole(term[first], df)
         idf = np.log1p((total - often + 0.5) / (often + 0.5))
         norm = K1 * (1 - B + B * counts / max(mean, 1))
         weight = (np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
@@ -284,20 +309,6 @@ def term_counts(rows: DataFrame, bits: int = BUCKET_BITS, single: bool = True) -
     return some.groupBy("bucket").applyInPandas(summed, "term long, df long, tf long")
 
 
-def least_df(counts: DataFrame) -> int:
-    """The smallest document frequency, in steps of a sixteenth of an octave, from which on there are at
-    most OFTEN terms."""
-    step = F.floor(F.log2(F.col("df")) * 16).alias("step")
-    found = counts.where("df > 1").groupBy(step).agg(F.count("*").alias("n"), F.min("df").alias("df")).collect()
-    least, n = 1 << 62, 0
-    for r in sorted(found, key=lambda r: -r.step):
-        n += r.n
-        if n > OFTEN:
-            break
-        least = r.df
-    return least
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Well-spread 64-bit numbers of ``x``."""
     x = (x.view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -306,8 +317,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def content_keys(rows: DataFrame, shared) -> DataFrame:
-    """(row, key, b0, b1, ...) of every document: its own key, 15 bits of its most frequent term before 48
-    of the row's, and its min-hashes (-1: it has no term for one)."""
+    """(row, size, key, b0, b1, ..., terms, marks) of every document: its length, its own key, 15 bits (the
+    mark) of its most frequent term before 48 of the row's, and its min-hashes (-1: it has no term for one).
+    A document that holds none of the terms in ``shared`` has no key, but its terms and their marks."""
     names = [f"b{k}" for k in range(BANDS)]
     # odd factors, which give each min-hash its own order of the terms' numbers
     factors = mixed(np.arange(BANDS)) | np.uint64(1)
@@ -315,20 +327,28 @@ def content_keys(rows: DataFrame, shared) -> DataFrame:
     def run(pdfs):
         corpus = shared.value
         for part in slices(pdfs, 512):
-            term, counts = word_hashes([t or "" for t in part["text"]])
+            texts = [t or "" for t in part["text"]]
+            term, counts = word_hashes(texts)
             df = corpus.df(term)
             # texts follow each other, so a document's least and greatest are those of its stretch
             has = counts > 0
-            first = (np.cumsum(counts) - counts)[has]
+            ends = np.cumsum(counts)
+            first = (ends - counts)[has]
             most = np.zeros(len(part), np.uint64)
             row = part["row"].to_numpy(np.int64)
-            out = {"row": row, "key": most}
+            out = {"row": row, "size": [len(t) for t in texts], "key": most}
             for name in names:
                 out[name] = np.full(len(part), -1)
+            terms, marks = [None] * len(part), [None] * len(part)
             if len(first):
                 value = mixed(term)
-                top = (df.astype(np.uint64) << np.uint64(15)) | (value >> np.uint64(49))
-                most[has] = np.maximum.reduceat(top, first) & np.uint64((1 << 15) - 1)
+                mark = value >> np.uint64(49)
+                top = np.maximum.reduceat((df.astype(np.uint64) << np.uint64(15)) | mark, first)
+                most[has] = top & np.uint64((1 << 15) - 1)
+                for k in np.flatnonzero(has)[top >> np.uint64(15) == 0]:
+                    own = slice(ends[k] - counts[k], ends[k])
+                    terms[k], at = np.unique(term[own], return_index=True)
+                    marks[k] = mark[own][at].view(np.int64)
                 rare = df * COMMON <= corpus.total
                 few = np.add.reduceat(rare, first, dtype=np.int64)
                 told = np.flatnonzero(has)[few > 0]
@@ -337,17 +357,89 @@ def content_keys(rows: DataFrame, shared) -> DataFrame:
                     for name, factor in zip(names, factors, strict=True):
                         out[name][told] = np.minimum.reduceat(value * factor, np.cumsum(few) - few).view(np.int64)
             out["key"] = ((most << np.uint64(48)) | (row.view(np.uint64) >> np.uint64(16))).view(np.int64)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out | {"terms": terms, "marks": marks})
+
+    bands = ", ".join(f"{b} long" for b in names)
+    schema = f"row long, size long, key long, {bands}, terms array<long>, marks array<long>"
+    return rows.select("row", "text").mapInPandas(run, schema)
+
 
-    return rows.select("row", "text").mapInPandas(run, "row long, key long, " + ", ".join(f"{b} long" for b in names))
+def with_rare_keys(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """The keys of all documents, from the document frequencies ``known`` of all terms of several documents."""
+    held = keys.where("terms is not null").select("row", F.explode(F.arrays_zip("terms", "marks")).alias("t"))
+    held = held.select("row", F.col("t.terms").alias("term"), F.col("t.marks").alias("mark"))
+    top = F.max(F.coalesce("df", F.lit(1)) * (1 << 15) + F.col("mark"))
+    most = held.join(known, "term", "left").groupBy("row").agg((top % (1 << 15)).alias("most"))
+    key = F.shiftleft("most", 48).bitwiseOR(F.shiftrightunsigned("row", 16))
+    names = [c for c in keys.columns if c not in ("terms", "marks")]
+    rare = keys.where("terms is not null").drop("key").join(most, "row").withColumn("key", key)
+    return keys.where("terms is null").select(names).union(rare.select(names))
 
 
 def placed(keys: DataFrame) -> DataFrame:
-    """(row, lead): the smallest key of the documents that share a min-hash with the row's."""
+    """(row, lead, size, copies): the smallest key of the documents that share a min-hash with the row's, and
+    how often the row comes."""
     own = keys.select("row", "key", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band")).where("band <> -1")
     leads = own.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
-    found = own.join(leads, "band").select("row", "lead").union(keys.select("row", "key"))
-    return found.groupBy("row").agg(F.min("lead").alias("lead"))
+    found = own.join(leads, "band").select("row", "lead", F.lit(0).cast("long").alias("size"), F.lit(0).alias("copies"))
+    found = found.union(keys.select("row", "key", "size", F.lit(1)))
+    return found.groupBy("row").agg(F.min("lead").alias("lead"), F.max("size").alias("size"), F.sum("copies").alias("copies"))
+
+
+def in_shards(places: DataFrame, tasks: int, shard_bytes: int) -> DataFrame:
+    """(row, shard, at, first, each): the row's copies are number ``at`` of their range of the order; the first
+    ``first`` of them stand in ``shard``, the others, ``each`` at a time, in the shards after it. A shard ends
+    once it holds ``shard_bytes`` or SHARD_ROWS rows."""
+
+    def run(pdfs):
+        shard, held, n, at = TaskContext.get().partitionId() << 20, 0, 0, 0
+        for pdf in pdfs:
+            out = []
+            for row, size, copies in zip(*(pdf[c].tolist() for c in ("row", "size", "copies")), strict=True):
+                size = max(size, 1)
+                each = min(SHARD_ROWS, -(-shard_bytes // size))
+                first = min(copies, SHARD_ROWS - n, -((held - shard_bytes) // size))
+                out.append((row, shard, at, first, each))
+                at, held, n = at + 1, held + first * size, n + first
+                if held >= shard_bytes or n >= SHARD_ROWS:
+                    shard, held, n = shard + 1, 0, 0
+                if copies > first:
+                    # the open shard was full
+                    full, n = divmod(copies - first, each)
+                    shard, held = shard + full, n * size
+            yield pd.DataFrame(out, columns=["row", "shard", "at", "first", "each"])
+
+    ranged = places.repartitionByRange(tasks, "lead", "row").sortWithinPartitions("lead", "row")
+    return ranged.select("row", "size", "copies").mapInPandas(run, "row long, shard long, at long, first long, each long")
+
+
+def shard_frequencies(dealt: DataFrame, known: DataFrame, bits: int = ASKED_BITS) -> DataFrame:
+    """(shard, bucket, dfs): the document frequencies ``known`` of the terms that several documents of a shard
+    hold, by term, those of a bucket (the leading ``bits`` of the term) in one row."""
+
+    def asked(pdf):
+        term, _, _ = term_frequencies(*word_hashes([t or "" for t in pdf["text"]]))
+        first = run_starts(term)
+        met = term[first][np.diff(first, append=len(term)) > 1]
+        parts = np.split(met, np.searchsorted(met, np.arange(1, 1 << bits) << (TERM_BITS - bits)))
+        found = [(k, t.tobytes()) for k, t in enumerate(parts) if len(t)]
+        return pd.DataFrame(found, columns=["bucket", "terms"]).assign(shard=pdf["shard"].iloc[0])
+
+    def answered(asks, counts):
+        order = np.argsort(counts["term"].to_numpy(np.int64))
+        term, df = (counts[c].to_numpy(np.int64)[order] for c in ("term", "df"))
+        dfs = []
+        for terms in asks["terms"]:
+            met = np.frombuffer(terms, np.int64)
+            at = np.searchsorted(term, met)
+            if not np.array_equal(term[at[at < len(term)]], met):
+                raise ValueError("a shard holds terms that were not counted")
+            dfs.append(df[at].tobytes())
+        return pd.DataFrame({"shard": asks["shard"], "bucket": asks["bucket"], "dfs": dfs})
+
+    asks = dealt.groupBy("shard").applyInPandas(asked, "shard long, bucket int, terms binary")
+    dealt_counts = known.withColumn("bucket", F.shiftright("term", TERM_BITS - bits).cast("int"))
+    return asks.groupBy("bucket").cogroup(dealt_counts.groupBy("bucket")).applyInPandas(answered, "shard long, bucket int, dfs binary")
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -358,32 +450,30 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, shar
     bits = max(BUCKET_BITS, (size // BUCKET_BYTES).bit_length())
     counts = written(term_counts(rows, bits, single=False), "pack-terms")
     mean = (counts.agg(F.sum("tf")).first()[0] or 0) / max(total, 1)
-    often = counts.where(F.col("df") >= least_df(counts)).select("term", "df").toPandas()
-    corpus = Corpus(total, mean, often["term"].to_numpy(np.int64), often["df"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast(corpus)
-    release(spark)
-    places = written(placed(written(content_keys(rows, shared), "pack-keys")), "pack-places")
+    known = counts.where("df > 1").select("term", "df")
+    common = known.where(F.col("df") * COMMON > total).toPandas()
+    shared = spark.sparkContext.broadcast(Corpus(total, mean, common["term"].to_numpy(np.int64), common["df"].to_numpy(np.int64)))
     release(spark)
     tasks = min(MAX_TASKS, max(1, math.ceil(size / (TASK_SHARDS * shard_bytes))))
-    # equal rows have one place; the number parts them where they are many
-    numbered = rows.withColumn("number", F.monotonically_increasing_id())
-    dealt = numbered.join(places, "row").repartitionByRange(tasks, "lead", "row", "number")
-    dealt = dealt.sortWithinPartitions("lead", "row").select("doc_id", "text")
-
-    def run(pdfs):
-        doc_ids, texts, held, shard = [], [], 0, TaskContext.get().partitionId() << 20
-        for pdf in pdfs:
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-                doc_ids.append(doc_id)
-                texts.append(text or "")
-                held += len(texts[-1])
-                if held >= shard_bytes or len(texts) >= SHARD_ROWS:
-                    yield pack_shard(doc_ids, texts, path, window, end_id, shard << 28, shared.value)
-                    doc_ids, texts, held, shard = [], [], 0, shard + 1
-        if texts:
-            yield pack_shard(doc_ids, texts, path, window, end_id, shard << 28, shared.value)
-
-    return dealt.mapInPandas(run, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
+    keys = with_rare_keys(written(content_keys(rows, shared), "pack-keys"), known)
+    places = written(in_shards(placed(keys), tasks, shard_bytes), "pack-places")
+    release(spark)
+    # equal rows have one place; the number of the copy parts them where they are many
+    copy = F.row_number().over(Window.partitionBy("row").orderBy("row")) - 1
+    numbered = rows.withColumn("copy", copy).join(places, "row")
+    later = F.when(F.col("copy") >= F.col("first"), F.expr("1 + (copy - first) div each")).otherwise(0)
+    dealt = numbered.select((F.col("shard") + later).alias("shard"), "at", "doc_id", "text").repartition(tasks, "shard")
+    dfs = shard_frequencies(dealt, known, max(ASKED_BITS, (size // ASKED_BYTES).bit_length()))
+
+    def run(pdf, dfs):
+        pdf = pdf.sort_values("at", kind="stable")
+        found = [np.frombuffer(d, np.int64) for d in dfs.sort_values("bucket")["dfs"]]
+        corpus = ShardCorpus(total, mean, np.concatenate([*found, np.empty(0, np.int64)]))
+        texts = [t or "" for t in pdf["text"]]
+        return pack_shard(pdf["doc_id"].tolist(), texts, path, window, end_id, int(pdf["shard"].iloc[0]) << 28, corpus)
+
+    pieces = dealt.groupBy("shard").cogroup(dfs.groupBy("shard")).applyInPandas(run, PIECES)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

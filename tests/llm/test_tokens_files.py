@@ -4,9 +4,12 @@ import gzip
 import io
 import random
 import zlib
+from collections import Counter
+from string import ascii_letters
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from civlens.llm import packing, simple8b, tokens, warc
@@ -220,6 +223,54 @@ def test_packing_weights_are_of_the_whole_input():
     assert index.neighbours(0, np.array([False, True, True])).tolist() == [2, 1]
 
 
+def test_packing_weighs_rare_terms_by_the_whole_input(frame):
+    """Behind more than 2^17 more frequent terms, too: what follows the first document of a shard in its first
+    window is the unused document that scores highest by naive BM25 of the whole input."""
+    rng, window = random.Random(5), 512
+    often = [a + b + c for a in ascii_letters for b in ascii_letters for c in ascii_letters]
+    texts = [" ".join(often)] * 7
+    for _ in range(1500):
+        texts.append(" ".join(rng.choices([f"r{j}" for j in range(5000)], k=12) + rng.choices([f"c{j}" for j in range(8)], k=12)))
+    words = [t.split() for t in texts]
+    mean = sum(map(len, words)) / len(words)
+    df = Counter(w for d in words for w in set(d))
+    assert sum(n < 7 for n in df.values()) > 4000 and sum(n >= 7 for n in df.values()) > 1 << 17
+
+    def score(a, b):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(words[b]) / mean)
+        weight = lambda w, tf: np.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (packing.K1 + 1) / (tf + norm)
+        return sum(weight(w, words[b].count(w)) for w in set(words[a]) & set(words[b]))
+
+    shards = {}
+    for r in packing.pack(frame([(k, t, "s") for k, t in enumerate(texts)]), PATH, window, 0, 20_000).collect():
+        if r.start == 0:
+            shards.setdefault(r.sequence_id >> 28, []).append((r.sequence_id, r.offset, r.doc_id))
+    checked = 0
+    for own in map(sorted, shards.values()):
+        seed, unused = own[0][2], [d for *_, d in own[1:]]
+        for _, _, d in (x for x in own[1:] if x[0] == own[0][0] and seed > 6):
+            best = max(score(seed, b) for b in unused)
+            assert abs(score(seed, d) - best) < 1e-3 * best
+            unused.remove(d)
+            checked += 1
+    assert checked > 200
+
+
+def test_packing_keys_of_documents_of_rare_terms(spark, frame):
+    """A document without any common term is told by its most frequent one, which a join finds."""
+    texts = [f"the w{k}" for k in range(100)] + ["x y z", "y z", "z", "", None, "p", "y z"]
+    rows = frame([(k, t, "s") for k, t in enumerate(texts)]).withColumn("row", F.xxhash64("doc_id", "text"))
+    codes = dict(zip(["the", "x", "y", "z", "p"], packing.word_hashes(["the x y z p"])[0], strict=True))
+    known = spark.createDataFrame([(int(codes[w]), n) for w, n in (("the", 100), ("y", 3), ("z", 4))], "term long, df long")
+    shared = spark.sparkContext.broadcast(packing.Corpus(len(texts), 2.0, np.array([codes["the"]]), np.array([100])))
+    keys = packing.with_rare_keys(packing.content_keys(rows, shared), known)
+    got = {r.doc_id: (r.key >> 48, r.key & ((1 << 48) - 1), r.row) for r in keys.join(rows.select("doc_id", "row"), "row").collect()}
+    marks = {w: int(packing.mixed(np.array([c]))[0] >> np.uint64(49)) for w, c in codes.items()}
+    want = ["the"] * 100 + ["z", "z", "z", None, None, "p", "z"]
+    assert [got[k][0] for k in range(len(texts))] == [marks[w] if w else 0 for w in want]
+    assert all(low == (row % (1 << 64)) >> 16 for _, low, row in got.values())
+
+
 def test_warc_ranges_own_each_record_once():
     rng, sink, want = random.Random(1), io.BytesIO(), []
     for k in range(120):
